@@ -6,7 +6,7 @@ from papyrus.plans import registry
 
 
 def _load() -> None:
-    from papyrus.plans import graph_queries, report_queries  # noqa: F401
+    from papyrus.plans import graph_queries, report_queries, text_queries  # noqa: F401
 
 
 def queries():
