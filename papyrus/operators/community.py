@@ -13,20 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrus.operators import rank
+from papyrus.operators.rank import CHECKPOINT_EVERY
 from papyrus.operators.graph import Graph, internal_edges
-from papyrus.session import cut_lineage, default_parallelism
+from papyrus.session import cut_lineage, partitioned_by, release
 
 
 def _symmetric_weights(graph: Graph) -> DataFrame:
     """``(src, dst, m)``: symmetric internal edges with multiplicity,
-    partitioned by ``src`` and checkpointed (reused by every step)."""
+    checkpointed, partitioned and sorted by ``src`` and persisted (reused
+    by every step without a shuffle on this side)."""
     e = internal_edges(graph).select("src", "dst")
     sym = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     agg = sym.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    return cut_lineage(agg.repartition(default_parallelism(graph.vertices.sparkSession), "src"))
+    return partitioned_by(agg, "src")
 
 
-def label_propagation(graph: Graph, max_iter: int = 30, checkpoint_every: int = 5) -> DataFrame:
+def label_propagation(graph: Graph, max_iter: int = 30, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """``(id, label)`` after ``max_iter`` synchronous steps.
 
     Per step: ``labels JOIN edges ON id = src`` -> partial-aggregated count
@@ -37,8 +39,9 @@ def label_propagation(graph: Graph, max_iter: int = 30, checkpoint_every: int =
     """
     sym = _symmetric_weights(graph)
     ids = graph.vertices.select("id").distinct()
-    linked = sym.select(F.col("src").alias("id")).distinct()
+    linked = cut_lineage(sym.select(F.col("src").alias("id")).distinct())
     labels = linked.select("id", F.col("id").alias("label"))
+    written = None
     for i in range(1, max_iter + 1):
         counts = (sym.join(labels, F.col("src") == F.col("id"))
                   .groupBy(F.col("dst").alias("v"), F.col("label"))
@@ -48,6 +51,10 @@ def label_propagation(graph: Graph, max_iter: int = 30, checkpoint_every: int =
                   .select(F.col("v").alias("id"), F.col("b.label").alias("label")))
         if i % checkpoint_every == 0 or i == max_iter:
             labels = cut_lineage(labels)
+            if written is not None:
+                release(written)
+            written = labels
+    sym.unpersist()
     alone = ids.join(linked, "id", "left_anti").select("id", F.col("id").alias("label"))
     return labels.unionByName(alone)
 

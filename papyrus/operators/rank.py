@@ -30,24 +30,27 @@ from pyspark.sql import functions as F
 from papyrus.functions.ranking import top_k_per_group
 from papyrus.operators.graph import (Graph, author_id_of_vertex, author_vertex_id,
                                      drop_isolated, transition_weights, undirected)
-from papyrus.session import cut_lineage, default_parallelism
+from papyrus.session import cut_lineage, partitioned_by, release
 
 DEFAULT_RESET = 0.15
 RANK_THRESHOLD = 1e-5
+# Iterations between reliable checkpoints: bounds lineage (recovery cost)
+# and the plan the adaptive optimizer re-plans after every stage.
+CHECKPOINT_EVERY = 3
 
 
 def prepared_weights(graph: Graph, make_undirected: bool = False) -> DataFrame:
-    """Transition table partitioned by ``src`` and checkpointed."""
+    """Transition table, checkpointed, then partitioned and sorted by
+    ``src`` and persisted (see :func:`papyrus.session.partitioned_by`);
+    the caller unpersists it after the iterations."""
     g = Graph(graph.vertices, undirected(graph.edges)) if make_undirected else graph
-    w = transition_weights(g)
-    n = default_parallelism(w.sparkSession)
-    return cut_lineage(w.repartition(n, "src"))
+    return partitioned_by(transition_weights(g), "src")
 
 
 # ---------------------------------------------------------------- cores
 
 def personalized_ranks(weights: DataFrame, sources: DataFrame, reset: float = DEFAULT_RESET,
-                       max_iter: int = 10, checkpoint_every: int = 5) -> DataFrame:
+                       max_iter: int = 10, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """``(source, id, r)``: personalised PageRank of every source at once,
     each source normalised to sum 1.  Equal to running the sources one by
     one (the state is keyed by source; sources never mix)."""
@@ -57,6 +60,7 @@ def personalized_ranks(weights: DataFrame, sources: DataFrame, reset: float = DE
     # one zero-message row per source keeps the source in the state even
     # when nothing flows back to it
     anchor = src.select("source", F.col("source").alias("id"), F.lit(0.0).alias("m"))
+    written = None
     for i in range(1, max_iter + 1):
         msgs = (state.join(weights, F.col("id") == F.col("src"))
                 .select("source", F.col("dst").alias("id"), (F.col("r") * F.col("w")).alias("m")))
@@ -67,17 +71,21 @@ def personalized_ranks(weights: DataFrame, sources: DataFrame, reset: float = DE
                           + F.lit(keep) * F.col("m")).alias("r")))
         if i % checkpoint_every == 0 or i == max_iter:
             state = cut_lineage(state)
+            if written is not None:
+                release(written)
+            written = state
     totals = state.groupBy("source").agg(F.sum("r").alias("t"))
     return state.join(totals, "source").select("source", "id", (F.col("r") / F.col("t")).alias("r"))
 
 
 def plain_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float = DEFAULT_RESET,
-                max_iter: int = 30, checkpoint_every: int = 5) -> DataFrame:
+                max_iter: int = 30, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """``(id, r)``: PageRank on every vertex, rescaled to sum ``|V|``."""
     keep = 1.0 - reset
     ids = cut_lineage(vertex_ids.select("id").distinct())
     zeros = ids.select("id", F.lit(0.0).alias("m"))
     state = ids.select("id", F.lit(1.0).alias("r"))
+    written = None
     for i in range(1, max_iter + 1):
         msgs = (state.join(weights, F.col("id") == F.col("src"))
                 .select(F.col("dst").alias("id"), (F.col("r") * F.col("w")).alias("m")))
@@ -85,6 +93,9 @@ def plain_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float = DEFAUL
                  .select("id", (F.lit(reset) + F.lit(keep) * F.col("m")).alias("r")))
         if i % checkpoint_every == 0 or i == max_iter:
             state = cut_lineage(state)
+            if written is not None:
+                release(written)
+            written = state
     if max_iter == 0:
         state = cut_lineage(state)
     n, total = state.agg(F.count(F.lit(1)), F.sum("r")).first()
@@ -93,7 +104,7 @@ def plain_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float = DEFAUL
 
 
 def delta_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float, tol: float,
-                source: str | None = None, checkpoint_every: int = 5,
+                source: str | None = None, checkpoint_every: int = CHECKPOINT_EVERY,
                 max_supersteps: int = 10_000) -> DataFrame:
     """``(id, r)`` by delta propagation until every change is <= ``tol``.
 
@@ -111,6 +122,7 @@ def delta_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float, tol: fl
         state = spark.createDataFrame([(source, 1.0, 1.0, True)],
                                       "id string, pr double, delta double, active boolean")
     state = cut_lineage(state)
+    superseded = [state]
     step = 0
     while True:
         msgs = (state.filter(F.col("active") & (F.col("delta") > F.lit(tol)))
@@ -118,6 +130,7 @@ def delta_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float, tol: fl
                 .groupBy(F.col("dst").alias("id"))
                 .agg(F.sum(F.col("delta") * F.col("w")).alias("m")))
         msgs = cut_lineage(msgs)
+        superseded.append(msgs)
         if msgs.isEmpty():
             break
         step += 1
@@ -132,7 +145,12 @@ def delta_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float, tol: fl
                          F.col("m").isNotNull().alias("active")))
         if step % checkpoint_every == 0:
             state = cut_lineage(state)
+            for old_cut in superseded:
+                release(old_cut)
+            superseded = [state]
     state = cut_lineage(state.select("id", F.col("pr").alias("r")))
+    for old_cut in superseded:
+        release(old_cut)
     n, total = state.agg(F.count(F.lit(1)), F.sum("r")).first()
     if source is None:
         factor = (n / total) if total else 0.0
@@ -167,7 +185,7 @@ def _require_known(graph: Graph, sources: DataFrame) -> None:
 # ---------------------------------------------------------------- operators
 
 def pagerank(graph: Graph, reset_probability: float = DEFAULT_RESET, max_iter: int | None = 30,
-             tol: float | None = None, checkpoint_every: int = 5) -> DataFrame:
+             tol: float | None = None, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """``(paper_doi, pagerank)`` sorted by rank descending.
 
     Exactly one of ``max_iter`` and ``tol`` must be given.
@@ -175,17 +193,20 @@ def pagerank(graph: Graph, reset_probability: float = DEFAULT_RESET, max_iter: i
     if (max_iter is None) == (tol is None):
         raise ValueError("exactly one of max_iter and tol must be set")
     weights = prepared_weights(graph)
-    if tol is None:
-        ranks = plain_ranks(weights, graph.vertices, reset_probability, max_iter, checkpoint_every)
-    else:
-        ranks = delta_ranks(weights, graph.vertices, reset_probability, tol, None, checkpoint_every)
+    try:
+        if tol is None:
+            ranks = plain_ranks(weights, graph.vertices, reset_probability, max_iter, checkpoint_every)
+        else:
+            ranks = delta_ranks(weights, graph.vertices, reset_probability, tol, None, checkpoint_every)
+    finally:
+        weights.unpersist()
     return (ranks.select(F.col("id").alias("paper_doi"), F.col("r").alias("pagerank"))
             .orderBy(F.desc("pagerank"), "paper_doi"))
 
 
 def topic_pagerank(graph: Graph, start, reset_probability: float = DEFAULT_RESET,
                    max_iter: int = 10, undirected: bool = False,
-                   threshold: float = RANK_THRESHOLD, checkpoint_every: int = 5) -> DataFrame:
+                   threshold: float = RANK_THRESHOLD, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """Papers related to one or many start papers.
 
     * ``start`` a string: ``(related_paper, pagerank)`` sorted descending;
@@ -197,7 +218,10 @@ def topic_pagerank(graph: Graph, start, reset_probability: float = DEFAULT_RESET
     sources, single = _sources_frame(graph, start)
     _require_known(graph, sources)
     weights = prepared_weights(graph, undirected)
-    ranks = personalized_ranks(weights, sources, reset_probability, max_iter, checkpoint_every)
+    try:
+        ranks = personalized_ranks(weights, sources, reset_probability, max_iter, checkpoint_every)
+    finally:
+        weights.unpersist()
     kept = ranks.filter((F.col("id") != F.col("source")) & (F.col("r") > F.lit(threshold)))
     if single:
         return (kept.select(F.col("id").alias("related_paper"), F.col("r").alias("pagerank"))
@@ -213,7 +237,10 @@ def topic_pagerank_tol(graph: Graph, start: str, tol: float,
     sources, _ = _sources_frame(graph, start)
     _require_known(graph, sources)
     weights = prepared_weights(graph, undirected)
-    ranks = delta_ranks(weights, graph.vertices, reset_probability, tol, source=start)
+    try:
+        ranks = delta_ranks(weights, graph.vertices, reset_probability, tol, source=start)
+    finally:
+        weights.unpersist()
     return (ranks.filter((F.col("id") != F.lit(start)) & (F.col("r") > F.lit(threshold)))
             .select(F.col("id").alias("related_paper"), F.col("r").alias("pagerank"))
             .orderBy(F.desc("pagerank"), "related_paper"))
@@ -222,7 +249,7 @@ def topic_pagerank_tol(graph: Graph, start: str, tol: float,
 def all_topic_pagerank(graph: Graph, reset_probability: float = DEFAULT_RESET, max_iter: int = 10,
                        undirected: bool = False, threshold: float = RANK_THRESHOLD,
                        keep_top: int | None = None, source_blocks: int = 1,
-                       output_path: str | None = None, checkpoint_every: int = 5) -> DataFrame:
+                       output_path: str | None = None, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """Personalised PageRank from every non-isolated paper.
 
     The output is quadratic in the worst case, so the sources can be split
@@ -245,20 +272,23 @@ def all_topic_pagerank(graph: Graph, reset_probability: float = DEFAULT_RESET, m
                                   keep_top)
         return out
 
-    if source_blocks <= 1 and output_path is None:
-        return block_result(all_sources)
-    if output_path is None:
-        raise ValueError("output_path (a shared folder) is needed when sources are blocked")
-    spark = graph.vertices.sparkSession
-    for b in range(max(1, source_blocks)):
-        block = all_sources.filter(F.pmod(F.xxhash64("source"), F.lit(source_blocks)) == b)
-        block_result(block).write.mode("overwrite" if b == 0 else "append").parquet(output_path)
-    return spark.read.parquet(output_path)
+    try:
+        if source_blocks <= 1 and output_path is None:
+            return block_result(all_sources)
+        if output_path is None:
+            raise ValueError("output_path (a shared folder) is needed when sources are blocked")
+        spark = graph.vertices.sparkSession
+        for b in range(max(1, source_blocks)):
+            block = all_sources.filter(F.pmod(F.xxhash64("source"), F.lit(source_blocks)) == b)
+            block_result(block).write.mode("overwrite" if b == 0 else "append").parquet(output_path)
+        return spark.read.parquet(output_path)
+    finally:
+        weights.unpersist()
 
 
 def author_similarity(graph_author: Graph, start_author, reset_probability: float = DEFAULT_RESET,
                       max_iter: int = 10, threshold: float = RANK_THRESHOLD,
-                      checkpoint_every: int = 5) -> DataFrame:
+                      checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """``(related_author INT, simrank)``: personalised PageRank from an
     author over the authorship (or combined) graph, authors only, sorted.
 
@@ -274,7 +304,10 @@ def author_similarity(graph_author: Graph, start_author, reset_probability: floa
         sources = spark.createDataFrame([(vid,)], "source string")
     _require_known(graph_author, sources)
     weights = prepared_weights(graph_author)
-    ranks = personalized_ranks(weights, sources, reset_probability, max_iter, checkpoint_every)
+    try:
+        ranks = personalized_ranks(weights, sources, reset_probability, max_iter, checkpoint_every)
+    finally:
+        weights.unpersist()
     authors = graph_author.vertices.filter(F.col("node_type") == "author").select("id")
     return (ranks.filter((F.col("id") != F.col("source")) & (F.col("r") > F.lit(threshold)))
             .join(authors, "id", "left_semi")

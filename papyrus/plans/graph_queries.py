@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from papyrus.operators import community, graph as G, rank
 from papyrus.plans import oracle as O
 from papyrus.plans.registry import register, rnd
+from papyrus.session import cut_lineage
 from papyrus.sources import testdata as td
 
 ITERS = 10          # personalised runs (reference default)
@@ -18,11 +19,14 @@ LPA_ITERS = 15      # label propagation as used by the paper report
 # ----------------------------------------------------------------- inputs
 
 def citation_graph(spark: SparkSession, sf: str) -> G.Graph:
-    return G.citation_graph_from_edges(td.papers_long(spark, sf), td.cites(spark, sf))
+    """Citation graph over the derived edges; the edges (a window over the
+    line items) are materialised once, since ranking reads them several
+    times (source choice, validation, weights)."""
+    return G.citation_graph_from_edges(td.papers_long(spark, sf), cut_lineage(td.cites(spark, sf)))
 
 
 def authorship_graph(spark: SparkSession, sf: str) -> G.Graph:
-    return G.authorship_graph_from_pairs(td.papers_long(spark, sf), td.wrote(spark, sf))
+    return G.authorship_graph_from_pairs(td.papers_long(spark, sf), cut_lineage(td.wrote(spark, sf)))
 
 
 def top_source(g: G.Graph) -> DataFrame:

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+KEEP_CACHE_PARTITIONING = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -23,6 +26,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -60,14 +64,60 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the reliable checkpoint folder.
-
-    Reliable checkpoints survive executor loss (unlike local checkpoints)
-    and keep the output partitioning, so a following join on the same key
-    does not shuffle again.
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder
+    and continue from a plain scan of it.
+
+    The files survive executor loss, and the new plan starts empty: unlike
+    ``Dataset.checkpoint``, a scan carries no constraints inherited from
+    the plan that produced it, so iterative plans do not grow harder to
+    optimise from step to step.  The scan reports no partitioning; use
+    :func:`partitioned_by` for a side table that joins repeatedly.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/papyrus-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files behind a :func:`cut_lineage` result that no later
+    plan reads any more (iterations drop superseded states this way)."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    if not folder.getName().startswith("papyrus-"):
+        return
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(folder, True)
+
+
+def partitioned_by(df: DataFrame, key: str) -> DataFrame:
+    """A reusable side table for iterations: checkpointed (lineage cut,
+    survives executor loss), then hash-partitioned and sorted by ``key``
+    and persisted.  The cache keeps the partitioning and ordering, so a
+    sort-merge join on ``key`` neither shuffles nor sorts this side again;
+    a lost cached block is recomputed from the checkpoint files only.
+    Call ``unpersist()`` when the iterations are done.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    n = default_parallelism(spark)
+    base = cut_lineage(df)
+    laid_out = base.repartition(n, key).sortWithinPartitions(key)
+    # The cache must promise its partitioning to later plans; adaptive
+    # execution may otherwise re-plan it, and every join would shuffle it.
+    prev = spark.conf.get(KEEP_CACHE_PARTITIONING, None)
+    spark.conf.set(KEEP_CACHE_PARTITIONING, "false")
+    try:
+        cached = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
+    finally:
+        if prev is None:
+            spark.conf.unset(KEEP_CACHE_PARTITIONING)
+        else:
+            spark.conf.set(KEEP_CACHE_PARTITIONING, prev)
+    return cached
 
 
 def default_parallelism(spark: SparkSession) -> int:
