@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from papyrus.functions.joins import broadcast_if_small
 from papyrus.functions.ranking import dense_index, top_k_per_group
 from papyrus.schemas import CORPUS
+from papyrus.session import cut_lineage
 from papyrus.sources.stopwords import stopword_list
 
 # Fixed values of the tokenizer: Latin word = a letter followed by letters
@@ -162,8 +163,12 @@ def keyword_vocab_join(by_index: DataFrame, vocab: DataFrame, titles: DataFrame)
 
 
 def corpus_statistics(corpus: DataFrame, stop) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(words, tf, idf)`` for a cleaned corpus (one count action for N)."""
+    """``(words, tf, idf)`` for a cleaned corpus (one count action for N).
+
+    ``tf`` feeds both the idf aggregation and the tf-idf join, so it is
+    materialised once instead of re-tokenising the corpus for each.
+    """
     words = word_lists(corpus, stop)
-    tf = term_freq(words)
+    tf = cut_lineage(term_freq(words))
     n_docs = corpus.count()
     return words, tf, idf_table(tf, n_docs)

@@ -22,7 +22,9 @@ TOKEN_SQL = f"regexp_extract_all(abstract, '{T.TOKEN_PATTERN}', 1)"
 # ----------------------------------------------------------------- Spark
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return T.clean_corpus(td.corpus(spark, sf))
+    """Cleaned corpus, materialised once: de-duplicating rows shuffles the
+    whole texts, and tokens, document count and titles all read it."""
+    return cut_lineage(T.clean_corpus(td.corpus(spark, sf)))
 
 
 def statistics(spark: SparkSession, sf: str):
@@ -32,13 +34,14 @@ def statistics(spark: SparkSession, sf: str):
 
 
 def fixture_keywords(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """``(keywords, idf)`` of the corpus."""
     c, words, tf, idf = statistics(spark, sf)
-    return T.keywords(T.tfidf(tf, idf), c), words
+    return T.keywords(T.tfidf(tf, idf), c), idf
 
 
 def fixture_doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    kw, words = fixture_keywords(spark, sf)
-    wv = td.word_vectors(spark, sf, words)
+    kw, idf = fixture_keywords(spark, sf)
+    wv = td.word_vectors(spark, sf, idf.select("word", "total"))
     return VEC.document_vectors(VEC.keyword_vectors(kw, wv))
 
 
@@ -185,8 +188,8 @@ def keyword_vocab_join(spark, sf):
 def keyword_vector_join(spark, sf):
     """J2 + T7: keywords that have a word vector, with the weighted vector
     summarised by its element sum."""
-    kw, words = fixture_keywords(spark, sf)
-    kv = VEC.keyword_vectors(kw, td.word_vectors(spark, sf, words))
+    kw, idf = fixture_keywords(spark, sf)
+    kv = VEC.keyword_vectors(kw, td.word_vectors(spark, sf, idf.select("word", "total")))
     vsum = F.aggregate("weighted", F.lit(0.0), lambda a, x: a + x)
     return kv.select("doi", "keyword", "weight", F.round(vsum, O.DP).alias("vsum"))
 

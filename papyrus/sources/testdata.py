@@ -130,19 +130,18 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
 
 
-def word_vectors(spark: SparkSession, sf_dir: str, words: DataFrame, min_count: int = 3,
-                 words_col: str = "words") -> DataFrame:
+def word_vectors(spark: SparkSession, sf_dir: str, word_counts: DataFrame,
+                 min_count: int = 3) -> DataFrame:
     """``(word, vector)``: the n-th word (alphabetical, from 0) among words
     seen at least ``min_count`` times takes embedding ``n % rows``.
 
-    A stand-in for trained vectors that SQL can reproduce; the vocabulary
-    matches what Word2Vec keeps with the same ``min_count``.
+    ``word_counts`` is ``(word, total)`` over the corpus (the idf table has
+    it).  A stand-in for trained vectors that SQL can reproduce; the
+    vocabulary matches what Word2Vec keeps with the same ``min_count``.
     """
     from papyrus.functions.ranking import dense_index
 
-    counts = (words.select(F.explode(words_col).alias("word"))
-              .groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-              .filter(F.col("total") >= min_count))
+    counts = word_counts.filter(F.col("total") >= min_count)
     vocab = dense_index(counts.select("word"), [F.asc("word")], "n")
     emb = embeddings(spark, sf_dir)
     rows = emb.count()
