@@ -278,3 +278,28 @@ def paper_graph_report(spark, sf):
     g = citation_graph(spark, sf)
     rep = community.paper_report(g, top_source(g), rank_iter=ITERS, lpa_iter=LPA_ITERS)
     return rep.select("related_paper", rnd("pagerank"), "same_cluster")
+
+
+TOL = 1e-3
+
+
+@register("pagerank_tol")
+def pagerank_tol(spark, sf):
+    """PageRank run until no vertex changes by more than ``TOL``
+    (delta propagation; the step count depends on the data, so there is no
+    unrolled SQL twin; tests compare it with a long fixed run)."""
+    return rank.pagerank(citation_graph(spark, sf), max_iter=None, tol=TOL).select(
+        "paper_doi", rnd("pagerank"))
+
+
+@register("papers_scan", O.with_(O.CITES, O.WROTE, O.PAPERS)
+          + "SELECT paper_doi, title, publishedby, publicationDate, "
+            "(SELECT count(*) FROM wrote w WHERE w.paper_doi = papers.paper_doi) AS n_authors, "
+            "(SELECT count(*) FROM cites c WHERE c.src = papers.paper_doi) AS n_refs FROM papers")
+def papers_scan(spark, sf):
+    """The papers table with its array columns, summarised by array
+    sizes (arrays of null count 0)."""
+    p = td.papers(spark, sf)
+    size0 = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return p.select("paper_doi", "title", "publishedby", "publicationDate",
+                    size0(F.col("author_id")).alias("n_authors"), size0(F.col("refs_doi")).alias("n_refs"))

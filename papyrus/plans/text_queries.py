@@ -245,3 +245,14 @@ def recommend_word2vec(spark, sf):
     docs = cut_lineage(VEC.document_vectors(VEC.keyword_vectors(kw, VEC.word_vectors(model))))
     return VEC.recommend(docs, first_doc(docs), exact=False).select("doi", "title", rnd("distance"))
 
+
+
+@register("vector_lookup_sql", O.with_(*VECTOR_CTES[:15])
+          + "SELECT doi, title AS search, len(vector) AS dims, "
+            f"round(list_sum(vector), {O.DP}) AS vsum FROM DVL WHERE doi = (SELECT min(doi) FROM DVL)")
+def vector_lookup_sql(spark, sf):
+    """Point lookup of the query document's vector with bound SQL."""
+    docs = cut_lineage(fixture_doc_vectors(spark, sf))
+    hit = VEC.lookup_vector_sql(docs, first_doc(docs))
+    vsum = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return hit.select("doi", "search", F.size("vector").alias("dims"), F.round(vsum, O.DP).alias("vsum"))

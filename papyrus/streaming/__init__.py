@@ -1,0 +1,7 @@
+"""Streaming.
+
+The system this library re-implements runs only batch jobs (no stream
+source, watermark or stateful operator), so no streaming operator is
+provided.  The report operators are plain aggregations and accept a
+streaming DataFrame of papers unchanged should one be needed.
+"""
