@@ -21,14 +21,14 @@ class YearSpec:
     """Parsed year argument: ``b-e`` (inclusive, empty when ``b >= e``),
     ``a, b, c`` (blanks removed; order and repeats kept) or ``y``."""
     kind: str
-    years: tuple[int, ...]
+    years: tuple[int, ...] | range
 
     @staticmethod
     def parse(text: str) -> "YearSpec":
         text = str(text)
         if "-" in text:
             b, e = (int(x) for x in text.split("-")[:2])
-            return YearSpec("range", tuple(range(b, e + 1)) if b < e else ())
+            return YearSpec("range", range(b, e + 1) if b < e else range(0))
         if "," in text:
             return YearSpec("list", tuple(int(x) for x in text.replace(" ", "").split(",")))
         return YearSpec("single", (int(text),))
@@ -39,10 +39,19 @@ def papers_per_year(papers: DataFrame, spec: str | YearSpec) -> DataFrame:
     request order; years without papers count 0."""
     ys = spec if isinstance(spec, YearSpec) else YearSpec.parse(spec)
     spark: SparkSession = papers.sparkSession
-    wanted = spark.createDataFrame(list(enumerate(ys.years)), "pos int, year int")
-    distinct_years = sorted(set(ys.years))
-    counts = (papers.filter(F.col("publicationDate").isin(distinct_years))
-              .groupBy(F.col("publicationDate").alias("year"))
+    year = F.col("publicationDate")
+    if ys.kind == "range" and ys.years:
+        # a range stays a distributed range and a pushed-down BETWEEN,
+        # however long it is
+        b, e = ys.years[0], ys.years[-1]
+        wanted = spark.range(b, e + 1).select((F.col("id") - b).cast("int").alias("pos"),
+                                             F.col("id").cast("int").alias("year"))
+        keep = year.between(b, e)
+    else:
+        wanted = spark.createDataFrame(list(enumerate(ys.years)), "pos int, year int")
+        keep = year.isin(sorted(set(ys.years)))
+    counts = (papers.filter(keep)
+              .groupBy(year.alias("year"))
               .agg(F.count(F.lit(1)).alias("paper_count")))
     return (wanted.join(counts, "year", "left")
             .select("pos", "year", F.coalesce(F.col("paper_count"), F.lit(0)).alias("paper_count")))
