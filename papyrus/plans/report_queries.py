@@ -38,14 +38,14 @@ def _value(df, col):
 @register("search_doi", O.with_(*BASE)
           + f"SELECT {SQL_SCALARS} FROM papers WHERE paper_doi = '{LOOKUP_DOI}'")
 def search_doi(spark, sf):
-    return lookup.search_by_doi(td.papers(spark, sf), LOOKUP_DOI).select(*SCALARS)
+    return lookup.search_by_doi(td.papers(spark, sf, with_refs=False), LOOKUP_DOI).select(*SCALARS)
 
 
 @register("search_title", O.with_(*BASE)
           + f"SELECT {SQL_SCALARS} FROM papers WHERE title = "
             f"(SELECT title FROM papers WHERE paper_doi = '{LOOKUP_DOI}') ORDER BY paper_doi LIMIT 1")
 def search_title(spark, sf):
-    p = td.papers(spark, sf)
+    p = td.papers(spark, sf, with_refs=False)
     title = _value(p.filter(F.col("paper_doi") == LOOKUP_DOI), "title")
     return lookup.search_by_title(p, title).select(*SCALARS)
 
@@ -57,7 +57,7 @@ SQL_KW = f"(SELECT p_brand FROM part WHERE 'P' || CAST(p_partkey AS VARCHAR) = '
           + f"SELECT {SQL_SCALARS} FROM papers WHERE paper_doi IN "
             f"(SELECT paper_doi FROM keywords WHERE kw = {SQL_KW})")
 def search_keyword(spark, sf):
-    p = td.papers(spark, sf)
+    p = td.papers(spark, sf, with_refs=False)
     kw = _value(p.filter(F.col("paper_doi") == KEYWORD_OF), F.col("ieee_keywords")[0])
     return lookup.search_by_keyword(p, kw).select(*SCALARS)
 
@@ -67,7 +67,7 @@ def search_keyword(spark, sf):
             f"(SELECT paper_doi FROM keywords WHERE kw = {SQL_KW}) "
             "ORDER BY md5(paper_doi || '#0'), paper_doi LIMIT 1")
 def search_keyword_pick(spark, sf):
-    p = td.papers(spark, sf)
+    p = td.papers(spark, sf, with_refs=False)
     kw = _value(p.filter(F.col("paper_doi") == KEYWORD_OF), F.col("ieee_keywords")[0])
     return lookup.pick_by_keyword(p, kw, seed=0).select(*SCALARS)
 
@@ -76,7 +76,7 @@ def search_keyword_pick(spark, sf):
           + f"SELECT {SQL_SCALARS} FROM papers WHERE paper_doi IN "
             "(SELECT paper_doi FROM wrote WHERE author_id = (SELECT author_id FROM TA))")
 def papers_by_author(spark, sf):
-    return lookup.papers_by_author(td.papers(spark, sf), _top_author_id(spark, sf)).select(*SCALARS)
+    return lookup.papers_by_author(td.papers(spark, sf, with_refs=False), _top_author_id(spark, sf)).select(*SCALARS)
 
 
 @register("resolve_author", O.with_(*BASE, SQL_TA, O.AUTHORS)
@@ -123,7 +123,7 @@ def papers_per_year_single(spark, sf):
             "WHERE publicationDate IS NOT NULL AND paper_doi IN (SELECT paper_doi FROM wrote "
             "WHERE author_id = (SELECT author_id FROM TA)) GROUP BY publicationDate")
 def author_year_histogram(spark, sf):
-    return reports.author_year_histogram(td.papers(spark, sf), _top_author_id(spark, sf))
+    return reports.author_year_histogram(td.papers(spark, sf, with_refs=False), _top_author_id(spark, sf))
 
 
 def _hotspot_sql(paper_filter: str, extra=()) -> str:
@@ -140,7 +140,7 @@ def _hotspot_sql(paper_filter: str, extra=()) -> str:
 
 @register("hotspots_year", _hotspot_sql(f"publicationDate = {HOTSPOT_YEAR}"))
 def hotspots_year(spark, sf):
-    return reports.hotspots_by_year(td.papers(spark, sf), SW.stopwords_frame(spark), HOTSPOT_YEAR)
+    return reports.hotspots_by_year(td.papers(spark, sf, with_refs=False), SW.stopwords_frame(spark), HOTSPOT_YEAR)
 
 
 AUTHOR_FILTER = "paper_doi IN (SELECT paper_doi FROM wrote WHERE author_id = (SELECT author_id FROM TA))"
@@ -148,7 +148,7 @@ AUTHOR_FILTER = "paper_doi IN (SELECT paper_doi FROM wrote WHERE author_id = (SE
 
 @register("hotspots_author", _hotspot_sql(AUTHOR_FILTER, [SQL_TA]))
 def hotspots_author(spark, sf):
-    return reports.hotspots_by_author(td.papers(spark, sf), SW.stopwords_frame(spark),
+    return reports.hotspots_by_author(td.papers(spark, sf, with_refs=False), SW.stopwords_frame(spark),
                                       _top_author_id(spark, sf))
 
 
@@ -158,4 +158,4 @@ def hotspots_author_name(spark, sf):
     authors = td.authors(spark, sf)
     name = _value(authors.filter(F.col("author_id") == _top_author_id(spark, sf)), "author_name")
     aid = lookup.resolve_author(authors, name)
-    return reports.hotspots_by_author(td.papers(spark, sf), SW.stopwords_frame(spark), aid)
+    return reports.hotspots_by_author(td.papers(spark, sf, with_refs=False), SW.stopwords_frame(spark), aid)

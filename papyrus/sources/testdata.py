@@ -94,18 +94,25 @@ def papers_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def papers(spark: SparkSession, sf_dir: str, with_refs: bool = True) -> DataFrame:
     """The papers table with its array columns (authors, references).
 
     Arrays are sorted ``collect_list`` results; duplicates are kept in
-    ``refs_doi``; both are null for papers without any row.
+    ``refs_doi``; both are null for papers without any row.  The reference
+    array of a heavily citing paper is as large as its out-degree, so
+    consumers that do not need it pass ``with_refs=False`` (null column).
     """
     base = papers_long(spark, sf_dir)
     auth = (wrote(spark, sf_dir).groupBy("paper_doi")
             .agg(F.sort_array(F.collect_list("author_id")).alias("author_id")))
-    refs = (cites(spark, sf_dir).groupBy(F.col("src").alias("paper_doi"))
-            .agg(F.sort_array(F.collect_list("dst")).alias("refs_doi")))
-    return (base.join(auth, "paper_doi", "left").join(refs, "paper_doi", "left")
+    joined = base.join(auth, "paper_doi", "left")
+    if with_refs:
+        refs = (cites(spark, sf_dir).groupBy(F.col("src").alias("paper_doi"))
+                .agg(F.sort_array(F.collect_list("dst")).alias("refs_doi")))
+        joined = joined.join(refs, "paper_doi", "left")
+    else:
+        joined = joined.withColumn("refs_doi", F.lit(None).cast("array<string>"))
+    return (joined
             .select("paper_doi", "title", "publishedby", "author_id", "ieee_keywords",
                     "authors_keywords",
                     F.lit(None).cast("array<string>").alias("pubTopics"),
