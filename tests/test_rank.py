@@ -155,3 +155,12 @@ def test_label_propagation_isolated_keeps_own_label(spark):
     labels = {r.id: r.label for r in community.label_propagation(Graph(v, e), 1).collect()}
     assert labels == {"a": "b", "b": "a", "c": "b", "z": "z"}
     assert not math.isnan(len(labels))
+
+
+def test_label_propagation_self_loop_counts_twice(spark):
+    # z hears b once, c once and itself twice (the loop in both directions):
+    # z keeps z; counted once it would tie and fall to the smallest label b
+    v = spark.createDataFrame([(x,) for x in "zbc"], "id string")
+    e = spark.createDataFrame([("z", "b"), ("z", "c"), ("z", "z")], "src string, dst string")
+    labels = {r.id: r.label for r in community.label_propagation(Graph(v, e), 1).collect()}
+    assert labels == {"z": "z", "b": "z", "c": "z"}
