@@ -55,7 +55,9 @@ def personalized_ranks(weights: DataFrame, sources: DataFrame, reset: float = DE
     each source normalised to sum 1.  Equal to running the sources one by
     one (the state is keyed by source; sources never mix)."""
     keep = 1.0 - reset
-    src = sources.select("source").distinct()
+    # materialised once: every step unions the anchor rows, and a lazy
+    # distinct would be re-shuffled by every job
+    src = cut_lineage(sources.select("source").distinct())
     state = src.select("source", F.col("source").alias("id"), F.lit(1.0).alias("r"))
     # one zero-message row per source keeps the source in the state even
     # when nothing flows back to it
@@ -74,6 +76,9 @@ def personalized_ranks(weights: DataFrame, sources: DataFrame, reset: float = DE
             if written is not None:
                 release(written)
             written = state
+    if max_iter == 0:
+        state = cut_lineage(state)
+    release(src)
     totals = state.groupBy("source").agg(F.sum("r").alias("t"))
     return state.join(totals, "source").select("source", "id", (F.col("r") / F.col("t")).alias("r"))
 

@@ -256,3 +256,20 @@ def vector_lookup_sql(spark, sf):
     hit = VEC.lookup_vector_sql(docs, first_doc(docs))
     vsum = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
     return hit.select("doi", "search", F.size("vector").alias("dims"), F.round(vsum, O.DP).alias("vsum"))
+
+
+@register("model_roundtrip", O.with_(*TEXT_CTES[:4])
+          + f"SELECT word, {VEC.W2V_SIZE} AS dim FROM IDF WHERE total >= {VEC.W2V_MIN_COUNT}")
+def model_roundtrip(spark, sf):
+    """A fitted Word2Vec model saved to the shared checkpoint folder
+    and loaded back serves the same vocabulary."""
+    import uuid
+
+    from papyrus.session import ensure_checkpoint_dir
+    from papyrus.sources import models
+
+    _, words, _, _ = statistics(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/papyrus-model-{uuid.uuid4().hex}"
+    models.save_model(VEC.train_word2vec(words), path)
+    back = models.load_word2vec(path)
+    return VEC.word_vectors(back).select("word", F.size("vector").alias("dim"))
