@@ -230,7 +230,7 @@ def recommend_lsh(spark, sf):
           + f"SELECT word, {VEC.W2V_SIZE} AS dim FROM IDF WHERE total >= {VEC.W2V_MIN_COUNT}")
 def word2vec_vocab(spark, sf):
     """The trained vocabulary equals the words seen >= 3 times."""
-    _, words, _, _ = statistics(spark, sf)
+    words = T.word_lists(corpus(spark, sf), STOP)
     model = VEC.train_word2vec(words)
     return VEC.word_vectors(model).select("word", F.size("vector").alias("dim"))
 
@@ -268,7 +268,7 @@ def model_roundtrip(spark, sf):
     from papyrus.session import ensure_checkpoint_dir
     from papyrus.sources import models
 
-    _, words, _, _ = statistics(spark, sf)
+    words = T.word_lists(corpus(spark, sf), STOP)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/papyrus-model-{uuid.uuid4().hex}"
     models.save_model(VEC.train_word2vec(words), path)
     back = models.load_word2vec(path)
