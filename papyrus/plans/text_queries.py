@@ -273,3 +273,12 @@ def model_roundtrip(spark, sf):
     models.save_model(VEC.train_word2vec(words), path)
     back = models.load_word2vec(path)
     return VEC.word_vectors(back).select("word", F.size("vector").alias("dim"))
+
+
+@register("similar_lsh")
+def similar_lsh(spark, sf):
+    """J4 approximate: documents within distance 2.0 of the query document
+    found through the LSH buckets (a subset of ``similar_exact``)."""
+    docs = cut_lineage(fixture_doc_vectors(spark, sf))
+    index = VEC.build_index(docs)
+    return VEC.similar_lsh(index, first_doc(docs)).select("doi", "title", rnd("distance"))
