@@ -64,7 +64,7 @@ TEXT_CTES = [
     "TI AS (SELECT TF.doi, TF.word, TF.tf, TF.tf * IDF.idf AS tfidf, IDF.total "
     "FROM TF JOIN IDF ON TF.word = IDF.word)",
     f"KW AS (SELECT k.doi, corpus.title, k.word AS keyword, round(k.tfidf, {T.WEIGHT_DIGITS}) AS weight, "
-    f"k.rk AS rank FROM (SELECT doi, word, tfidf, row_number() OVER (PARTITION BY doi "
+    f"CAST(k.rk AS INTEGER) AS rank FROM (SELECT doi, word, tfidf, row_number() OVER (PARTITION BY doi "
     f"ORDER BY tfidf DESC, total DESC, word) AS rk FROM TI) k JOIN corpus ON k.doi = corpus.doi "
     f"WHERE k.rk <= {T.TOP_KEYWORDS})",
 ]
@@ -78,7 +78,7 @@ VECTOR_CTES = TEXT_CTES + [
     "DS AS (SELECT DISTINCT doi, weighted FROM KV)",
     "DT AS (SELECT doi, min(title) AS title FROM KV GROUP BY doi)",
     "DN AS (SELECT doi, count(*) AS k FROM DS GROUP BY doi)",
-    "EL AS (SELECT doi, generate_subscripts(weighted, 1) - 1 AS dim, unnest(weighted) AS x FROM DS)",
+    "EL AS (SELECT doi, CAST(generate_subscripts(weighted, 1) - 1 AS INTEGER) AS dim, unnest(weighted) AS x FROM DS)",
     "DV AS (SELECT EL.doi, DT.title, EL.dim, sum(EL.x) / DN.k AS value FROM EL "
     "JOIN DN ON EL.doi = DN.doi JOIN DT ON EL.doi = DT.doi GROUP BY EL.doi, DT.title, EL.dim, DN.k)",
     "DVL AS (SELECT doi, title, list(value ORDER BY dim) AS vector FROM DV GROUP BY doi, title)",
@@ -96,7 +96,7 @@ def corpus_clean(spark, sf):
 
 
 @register("tokenize", O.with_(O.CORPUS)
-          + f"SELECT doi, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS token FROM "
+          + f"SELECT doi, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS pos, unnest(toks) AS token FROM "
             f"(SELECT doi, list_filter({TOKEN_SQL}, lambda x: length(x) >= {T.MIN_TOKEN_LENGTH}) AS toks "
             f"FROM corpus) t")
 def tokenize(spark, sf):
@@ -105,7 +105,7 @@ def tokenize(spark, sf):
 
 
 @register("tokens_no_stop", O.with_(*TEXT_CTES[:2])
-          + "SELECT doi, generate_subscripts(words, 1) - 1 AS pos, unnest(words) AS word FROM W")
+          + "SELECT doi, CAST(generate_subscripts(words, 1) - 1 AS INTEGER) AS pos, unnest(words) AS word FROM W")
 def tokens_no_stop(spark, sf):
     return T.token_table(T.word_lists(corpus(spark, sf), STOP))
 
@@ -131,7 +131,7 @@ def suffix_lexicon(c: DataFrame) -> DataFrame:
 
 @register("tokenize_lexicon", O.with_(
     O.CORPUS,
-    f"TK AS (SELECT doi, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS word FROM "
+    f"TK AS (SELECT doi, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS pos, unnest(toks) AS word FROM "
     f"(SELECT doi, {LEX_TOKEN_SQL} AS toks FROM corpus) t)",
     f"LEX AS (SELECT DISTINCT w AS word, {LEX_RULE} AS flag FROM corpus, "
     f"unnest({LEX_TOKEN_SQL}) AS t(w))",
@@ -248,7 +248,7 @@ def recommend_word2vec(spark, sf):
 
 
 @register("vector_lookup_sql", O.with_(*VECTOR_CTES[:15])
-          + "SELECT doi, title AS search, len(vector) AS dims, "
+          + "SELECT doi, title AS search, CAST(len(vector) AS INTEGER) AS dims, "
             f"round(list_sum(vector), {O.DP}) AS vsum FROM DVL WHERE doi = (SELECT min(doi) FROM DVL)")
 def vector_lookup_sql(spark, sf):
     """Point lookup of the query document's vector with bound SQL."""
