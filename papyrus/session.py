@@ -103,8 +103,8 @@ def partitioned_by(df: DataFrame, key: str) -> DataFrame:
     Call ``unpersist()`` when the iterations are done.
     """
     spark = df.sparkSession
-    n = default_parallelism(spark)
     base = cut_lineage(df)
+    n = partitions_for(base)
     laid_out = base.repartition(n, key).sortWithinPartitions(key)
     # The cache must promise its partitioning to later plans; adaptive
     # execution may otherwise re-plan it, and every join would shuffle it.
@@ -120,6 +120,21 @@ def partitioned_by(df: DataFrame, key: str) -> DataFrame:
     return cached
 
 
+def partitions_for(df: DataFrame) -> int:
+    """Partition count for a table that every iteration joins against:
+    its size (from the written files) divided by the adaptive advisory
+    partition size, at least 1.  Grows with the data instead of following
+    the session's fixed shuffle-partition count, so a small table does not
+    pin every iteration's shuffle to hundreds of tiny tasks and a large one
+    is split into advisory-sized pieces."""
+    spark = df.sparkSession
+    raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    size = raw if isinstance(raw, int) else int(raw.toString())
+    target = int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864")
+                 .lower().replace("b", "") or 67108864)
+    return max(1, -(-size // max(1, target)))
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is configured for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
