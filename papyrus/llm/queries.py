@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.llm import decontaminate, quality
+from papyrus.llm import decontaminate, quality, simhash
 from papyrus.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op4_simhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(X.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @register("op7_benchmark_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(X.read(spark, sf_dir, "documents"), X.read(spark, sf_dir, "benchmark"))

@@ -81,6 +81,14 @@ def filter_texts(docs: DataFrame, text_col: str, keep: Callable[[list[bytes]], n
     return docs.mapInArrow(run, docs.schema)
 
 
+def fresh(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def field(name: str, kind: str) -> T.StructField:
     kinds = {"long": T.LongType(), "string": T.StringType(), "boolean": T.BooleanType(),
              "double": T.DoubleType(), "binary": T.BinaryType(), "integer": T.IntegerType()}
@@ -166,5 +174,5 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["LOWER_AZ", "SLICE_BYTES", "F", "T", "Words", "as_bytes", "field", "filter_texts", "mix",
+__all__ = ["LOWER_AZ", "SLICE_BYTES", "F", "T", "Words", "as_bytes", "field", "fresh", "filter_texts", "mix",
            "per_text", "range_hashes", "read", "sha256", "slices"]
