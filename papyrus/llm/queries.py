@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.llm import bpe, decontaminate, quality, simhash
+from papyrus.llm import bpe, decontaminate, quality, secrets, simhash
 from papyrus.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@register("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = X.read(spark, sf_dir, "documents")
+    found = secrets.find(docs, secrets.train(docs))
+    counts = [F.size(F.filter("base", lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}")
+              for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
+                        F.array_join("spans", ",").alias("spans"))
+
+
 @register("op7_benchmark_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(X.read(spark, sf_dir, "documents"), X.read(spark, sf_dir, "benchmark"))
