@@ -5,15 +5,18 @@ kept, and returns a DataFrame that is written as Parquet and read again as
 the next stage's docs.  All stages but the last return the columns of the
 documents table.
 
-A stage's output goes to the session's shared checkpoint folder; stages
-cannot be expressed in SQL as a whole (see ``tests/llm``).
+``run`` writes the stages' outputs to the session's shared checkpoint folder.
+The stages cannot be expressed in SQL as a whole; ``tests/llm`` holds them
+against brute force.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from papyrus.llm import decontaminate, quality
+from papyrus.llm import bpe, decontaminate, quality, secrets, simhash
 from papyrus.llm import texts as X
 from papyrus.session import cut_lineage
 
@@ -25,12 +28,31 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     return decontaminate.keep_clean(docs, X.read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality_rules), ("benchmark_decontamination", benchmark_decontamination)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; all documents stay."""
+    return secrets.redact(docs, secrets.train(docs), length_col="n_chars")
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text (unsigned 32-bit little-endian, joined), with the
+    digests of the ids and of the bytes they decode to."""
+    done = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination),
+          ("secret_scan", secret_scan), ("byte_bpe", byte_bpe)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
