@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.llm import bpe, decontaminate, quality, secrets, simhash
+from papyrus.llm import bpe, decontaminate, line_dedup, quality, secrets, simhash
 from papyrus.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+@register("op9_line_dedup", line_dedup.SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(X.read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(X.read(spark, sf_dir, "documents"))
