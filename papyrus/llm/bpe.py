@@ -33,8 +33,8 @@ BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 LONG = BUCKETS[-1]
 CELLS = 1 << 20
 PIECES = 1 << 18
-#: Distinct pieces that a task remembers before it starts anew.
-MEMORY = 1 << 18
+#: Distinct pieces that a worker remembers before it starts anew.
+MEMORY = 1 << 19
 NONE = np.int32(np.iinfo(np.int32).max)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,7 +95,8 @@ class Vocabulary:
         left, right, merged = (np.array(x, dtype=np.int32) for x in (left, right, merged))
         self.pairs = PairTable(left, right, merged)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def encode_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        pieces = [t.encode() for t in texts]
         out: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]
         buckets: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
@@ -170,15 +171,11 @@ class Vocabulary:
             ids = np.delete(ids, at + 1)
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str, pattern: str) -> Vocabulary:
-    return Vocabulary(path, pattern)
-
-
 class Encoder:
-    """Encodes texts, remembering the ids of pieces seen before."""
+    """Encodes texts, remembering the ids of pieces seen before.  ``vocab``
+    has the ``pattern`` that splits a text and ``encode_pieces``."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab):
         self.vocab = vocab
         self._forget()
 
@@ -208,7 +205,7 @@ class Encoder:
                 self._forget()
             new = list(set(pieces) - self.known.keys())
             if new:
-                ids = self.vocab.encode_pieces([p.encode() for p in new])
+                ids = self.vocab.encode_pieces(new)
                 count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
                 self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(count) - count])
                 self.count = np.concatenate([self.count, count])
@@ -230,16 +227,19 @@ class Encoder:
         return b"".join(map(self.vocab.tokens.__getitem__, ids.tolist()))
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder per worker process."""
+    return Encoder(Vocabulary(path, pattern))
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ids (unsigned 32-bit little-endian integers, joined) and
     decoded (the bytes that these ids stand for).  ``path`` names the rank
     file, which is installed on all executors."""
-    ready: list[Encoder] = []
-
     def work(texts: list[bytes]) -> list:
-        if not ready:
-            ready.append(Encoder(vocabulary(path, pattern)))
-        ids = ready[0].encode([t.decode("utf-8", "replace") for t in texts])
-        return [[i.astype("<u4").tobytes() for i in ids], [ready[0].decode(i) for i in ids]]
+        bpe = encoder(path, pattern)
+        ids = bpe.encode([t.decode("utf-8", "replace") for t in texts])
+        return [[i.astype("<u4").tobytes() for i in ids], [bpe.decode(i) for i in ids]]
 
     return X.per_text(docs, id_col, text_col, [X.field("ids", "binary"), X.field("decoded", "binary")], work)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.llm import bpe, decontaminate, line_dedup, quality, secrets, simhash
+from papyrus.llm import bpe, decontaminate, line_dedup, quality, secrets, simhash, token_files
 from papyrus.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+@register("op8_token_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.scratch_path(spark)
+    token_files.write_tokens(X.read(spark, sf_dir, "documents"), path,
+                             public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_files.crc(token_files.read_tokens(spark, path)).drop("tokens")
+
+
 @register("op9_line_dedup", line_dedup.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(X.read(spark, sf_dir, "documents"))
