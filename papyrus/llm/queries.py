@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.llm import bpe, decontaminate, line_dedup, quality, secrets, simhash, token_files
+from papyrus.llm import bpe, decontaminate, line_dedup, quality, run_index, secrets, simhash, token_files
 from papyrus.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_run_index_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = run_index.dedup_substrings(X.read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                       (F.octet_length("spans") / 16).cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_decode(X.read(spark, sf_dir, "documents"),

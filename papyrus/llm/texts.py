@@ -166,6 +166,15 @@ def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def gram_hashes(buf: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-byte grams from every position of at most 2^20 + 512
+    bytes."""
+    up, down = _power(_P, "up"), _power(_P_INV, "down")
+    body = (buf.astype(np.uint64) + np.uint64(1)) * up[:len(buf)]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(body, dtype=np.uint64)])
+    return mix((total[n:] - total[:-n]) * down[:max(0, len(buf) - n + 1)])
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -174,5 +183,5 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["LOWER_AZ", "SLICE_BYTES", "F", "T", "Words", "as_bytes", "field", "fresh", "filter_texts", "mix",
+__all__ = ["LOWER_AZ", "SLICE_BYTES", "F", "T", "Words", "as_bytes", "field", "fresh", "filter_texts", "gram_hashes", "mix",
            "per_text", "range_hashes", "read", "sha256", "slices"]
