@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.llm import bpe, decontaminate, line_dedup, quality, run_index, secrets, simhash, token_files
+from papyrus.llm import bpe, decontaminate, line_dedup, ngram_lm, quality, run_index, secrets, simhash, token_files
 from papyrus.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@register("op5_ngram_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = X.read(spark, sf_dir, "documents")
+    scored = ngram_lm.score(docs, ngram_lm.train_model(docs))
+    return scored.select("doc_id", ngram_lm.held_out("doc_id").alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score", "perplexity")
+
+
 @register("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = X.read(spark, sf_dir, "documents")
