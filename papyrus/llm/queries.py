@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.llm import bpe, decontaminate, line_dedup, ngram_lm, quality, run_index, secrets, simhash, token_files
+from papyrus.llm import bpe, decontaminate, line_dedup, ngram_lm, quality, run_index, secrets, simhash, token_files, wrappers
 from papyrus.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register("op2_html_wrappers")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = wrappers.extract(X.read(spark, sf_dir, "pages"))
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @register("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_decode(X.read(spark, sf_dir, "documents"),
