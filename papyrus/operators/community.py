@@ -14,24 +14,21 @@ from pyspark.sql import functions as F
 
 from papyrus.operators import rank
 from papyrus.operators.rank import CHECKPOINT_EVERY
-from papyrus.operators.graph import Graph, internal_edges
-from papyrus.session import cut_lineage, partitioned_by, release
+from papyrus.operators.graph import Graph, SlicedEdges, internal_edges, undirected
+from papyrus.session import cut_lineage, release
 
 
-def _symmetric_weights(graph: Graph) -> DataFrame:
-    """``(src, dst, m)``: symmetric internal edges with multiplicity,
-    checkpointed, partitioned and sorted by ``src`` and persisted (reused
-    by every step without a shuffle on this side)."""
-    e = internal_edges(graph).select("src", "dst")
-    sym = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    agg = sym.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    return partitioned_by(agg, "src")
+def _symmetric_weights(graph: Graph) -> SlicedEdges:
+    """``(src, dst, m)``: symmetric internal edges with multiplicity, hubs in
+    slices, written once and read by every step."""
+    sym = undirected(internal_edges(graph).select("src", "dst"))
+    return SlicedEdges.of(sym.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")))
 
 
 def label_propagation(graph: Graph, max_iter: int = 30, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """``(id, label)`` after ``max_iter`` synchronous steps.
 
-    Per step: ``labels JOIN edges ON id = src`` -> partial-aggregated count
+    Per step: labels meet the sliced edges -> partial-aggregated count
     per ``(dst, label)`` -> best label per ``dst`` by ``min(struct(-n,
     label))``, itself partially aggregated, so a hub vertex with a huge
     neighbourhood is reduced map-side and never gathered in one task.
@@ -39,11 +36,11 @@ def label_propagation(graph: Graph, max_iter: int = 30, checkpoint_every: int =
     """
     sym = _symmetric_weights(graph)
     ids = graph.vertices.select("id").distinct()
-    linked = cut_lineage(sym.select(F.col("src").alias("id")).distinct())
+    linked = cut_lineage(sym.table.select(F.col("src").alias("id")).distinct())
     labels = linked.select("id", F.col("id").alias("label"))
     written = None
     for i in range(1, max_iter + 1):
-        counts = (sym.join(labels, F.col("src") == F.col("id"))
+        counts = (sym.meet(labels, "id")
                   .groupBy(F.col("dst").alias("v"), F.col("label"))
                   .agg(F.sum("m").alias("n")))
         labels = (counts.groupBy("v")
@@ -54,7 +51,6 @@ def label_propagation(graph: Graph, max_iter: int = 30, checkpoint_every: int =
             if written is not None:
                 release(written)
             written = labels
-    sym.unpersist()
     alone = ids.join(linked, "id", "left_anti").select("id", F.col("id").alias("label"))
     return labels.unionByName(alone)
 
@@ -67,28 +63,29 @@ def _source_frame(graph: Graph, source) -> tuple[DataFrame, bool]:
 
 
 def related_by_label(graph: Graph, source, max_iter: int = 30) -> DataFrame:
-    """``(related_paper)`` in the source's cluster, source excluded."""
+    """The papers in the source's cluster, source excluded:
+    ``(related_paper)`` for one id, ``(start_paper, related_paper)`` for a
+    one-column DataFrame of ids."""
     labels = label_propagation(graph, max_iter)
     src, single = _source_frame(graph, source)
-    src_label = (labels.join(src.select(F.col("source").alias("id")), "id")
-                 .select("label", F.col("id").alias("source")))
+    src_label = (labels.join(src.distinct().select(F.col("source").alias("id")), "id")
+                 .select("label", F.col("id").alias("start_paper")))
     if single:  # exactly one row: safe to broadcast
         src_label = F.broadcast(src_label)
-    return (labels.join(src_label, "label")
-            .filter(F.col("id") != F.col("source"))
-            .select(F.col("id").alias("related_paper")))
+    found = (labels.join(src_label, "label").filter(F.col("id") != F.col("start_paper"))
+             .select("start_paper", F.col("id").alias("related_paper")))
+    return found.drop("start_paper") if single else found
 
 
 def paper_report(graph: Graph, source, rank_iter: int = 10, lpa_iter: int = 15) -> DataFrame:
-    """``(related_paper, pagerank, same_cluster)`` for one paper:
-    personalised PageRank on undirected citations next to its LPA cluster."""
+    """``(related_paper, pagerank, same_cluster)``: personalised
+    PageRank on undirected citations next to the LPA cluster; with
+    ``start_paper`` in front for a DataFrame of ids."""
     tp = rank.topic_pagerank(graph, source, max_iter=rank_iter, undirected=True)
-    if "start_paper" in tp.columns:
-        tp = tp.drop("start_paper")
     cl = related_by_label(graph, source, lpa_iter).withColumn("same_cluster", F.lit(True))
-    return (tp.join(cl, "related_paper", "full_outer")
-            .select("related_paper", "pagerank",
-                    F.coalesce(F.col("same_cluster"), F.lit(False)).alias("same_cluster")))
+    keys = [c for c in ("start_paper", "related_paper") if c in cl.columns]
+    return (tp.join(cl, keys, "full_outer")
+            .select(*keys, "pagerank", F.coalesce(F.col("same_cluster"), F.lit(False)).alias("same_cluster")))
 
 
 def attach_author_names(sims: DataFrame, authors: DataFrame) -> DataFrame:

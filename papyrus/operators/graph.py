@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrus.schemas import AUTHOR_PREFIX
+from papyrus.session import cut_lineage, release
 
 
 class Graph(NamedTuple):
@@ -32,14 +33,15 @@ def author_id_of_vertex(c: F.Column) -> F.Column:
 
 
 def undirected(edges: DataFrame) -> DataFrame:
-    """``E`` union-all its reverse; other columns are kept.
+    """``E`` union-all its reverse in one reading; other columns are kept.
 
     Mutual citations therefore count twice and a self-loop becomes two
     parallel edges, exactly as the multiset union implies.
     """
     others = [c for c in edges.columns if c not in ("src", "dst")]
-    reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *others)
-    return edges.unionByName(reverse)
+    ways = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    both = edges.select(ways.alias("way"), *others)
+    return both.select("way.src", "way.dst", *others).select(*edges.columns)
 
 
 def citation_graph(papers: DataFrame) -> Graph:
@@ -126,6 +128,40 @@ def transition_weights(graph: Graph) -> DataFrame:
     return mult.join(deg, "src").select("src", "dst", (F.col("m") / F.col("deg")).alias("w"))
 
 
+#: Edges of one vertex that a slice holds.
+SLICE_EDGES = 100_000
+
+
+class SlicedEdges(NamedTuple):
+    """Edges for repeated joins on ``src``: a vertex with more than a slice
+    of distinct edges has them dealt over several slices.  ``hubs`` are the
+    vertices with more than one slice (at most ``|E| / slice`` rows)."""
+
+    table: DataFrame  # src, slice, dst, ...
+    hubs: DataFrame   # src, slices
+
+    @classmethod
+    def of(cls, edges: DataFrame, slice_edges: int | None = None) -> "SlicedEdges":
+        size = slice_edges or SLICE_EDGES
+        edges = cut_lineage(edges)
+        degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+        hubs = cut_lineage(degree.filter(F.col("n") > size)
+                           .select("src", F.ceil(F.col("n") / size).cast("int").alias("slices")))
+        deal = F.pmod(F.xxhash64("dst"), F.coalesce(F.col("slices"), F.lit(1))).cast("int")
+        table = cut_lineage(edges.join(hubs, "src", "left").withColumn("slice", deal).drop("slices"))
+        release(edges)
+        return cls(table, hubs)
+
+    def meet(self, state: DataFrame, key: str) -> DataFrame:
+        """Inner join of ``state`` on ``key = src``, its rows repeated for
+        every slice of their vertex."""
+        hubs = self.hubs.select(F.col("src").alias(key), "slices")
+        last = F.coalesce(F.col("slices"), F.lit(1)) - 1
+        dealt = (state.join(hubs, key, "left")
+                 .withColumn("slice", F.explode(F.sequence(F.lit(0), last))).drop("slices"))
+        return dealt.join(self.table.withColumnRenamed("src", key), [key, "slice"]).drop("slice")
+
+
 def max_out_degree_vertex(graph: Graph) -> DataFrame:
     """One-row ``(source)``: the vertex with most internal out-edges,
     ties to the smallest id.  Used to pick a data-derived query source."""

@@ -1,17 +1,21 @@
 """Point lookups and author resolution.
 
-Every lookup is a filter Catalyst pushes into the scan (equality and
-array-membership predicates), followed by a total order where the
-reference takes "the first" or "a random" match, so results are
-deterministic.
+Identifier and title lookups are equality filters, pushed into the scan where
+the column is stored as such.  Membership in an array is never pushed, so
+keyword and author lookups on the papers table read it whole;
+:func:`keyword_index` and :func:`author_index` give the exploded form, sorted
+by its key, whose equality filter skips row groups.  Where the first or a
+random match is wanted, a total order makes the result deterministic.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIGITS = r"^[0-9]+$"
+AUTHOR_ID = re.compile("[0-9]+")
 
 
 def search_by_doi(papers: DataFrame, doi: str) -> DataFrame:
@@ -45,7 +49,7 @@ def resolve_author(authors: DataFrame, arg: str | int) -> int:
     """An all-digit argument is an id; anything else must name exactly
     one author (zero or several matches raise ``LookupError``)."""
     s = str(arg)
-    if s.isdigit():
+    if AUTHOR_ID.fullmatch(s):
         return int(s)
     hits = (authors.filter(F.col("author_name") == F.lit(s))
             .select("author_id").limit(2).collect())
@@ -54,6 +58,22 @@ def resolve_author(authors: DataFrame, arg: str | int) -> int:
     return int(hits[0][0])
 
 
-def authors_named(authors: DataFrame, name: str) -> DataFrame:
-    """``(author_id)`` rows whose name matches exactly (for plans that stay lazy)."""
-    return authors.filter(F.col("author_name") == F.lit(name)).select("author_id")
+def _index(papers: DataFrame, array: str, key: str) -> DataFrame:
+    pairs = papers.select(F.explode(array).alias(key), "paper_doi").distinct()
+    return pairs.repartitionByRange(key, "paper_doi").sortWithinPartitions(key, "paper_doi")
+
+
+def keyword_index(papers: DataFrame) -> DataFrame:
+    """``(keyword, paper_doi)`` sorted by keyword; write it as a table."""
+    return _index(papers, "ieee_keywords", "keyword")
+
+
+def author_index(papers: DataFrame) -> DataFrame:
+    """``(author, paper_doi)`` sorted by author; write it as a table."""
+    return _index(papers, "author_id", "author")
+
+
+def lookup(index: DataFrame, papers: DataFrame, value) -> DataFrame:
+    """P10 / P11 through a stored index: the papers of one key."""
+    hits = index.filter(F.col(index.columns[0]) == F.lit(value)).select("paper_doi")
+    return papers.join(hits, "paper_doi", "left_semi")

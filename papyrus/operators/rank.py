@@ -12,14 +12,16 @@ Semantics (same as the graph library the reference calls):
 * tolerance form: delta propagation until no vertex changes by more than
   ``tol`` (Pregel style), then the same rescaling.
 
-Plan shape per iteration: the transition table ``(src, dst, w)`` is built
-once, hash partitioned by ``src`` and checkpointed, so each step shuffles
-only the (smaller) rank state: ``state JOIN weights ON id = src`` followed
-by one partial-aggregated ``groupBy(source, dst)``.  Personalised state is
-sparse: only vertices reached from a source carry a row, so one source
-costs its reachable set, not ``|V|``.  Hub vertices are handled by the
-map-side partial sum (in-degree skew) and AQE skew-join splitting
-(out-degree skew).  Lineage is cut with reliable checkpoints.
+Plan shape per iteration: the transition table ``(src, dst, w)`` is written
+once, with the out-edges of a hub cut into slices
+(:class:`papyrus.operators.graph.SlicedEdges`).  A step joins the state, one
+row per slice of its vertex, with the edges on ``(src, slice)``, then sums
+by ``groupBy(source, dst)`` with partial aggregation.  No task gets more than
+a slice of one vertex' edges (out-degree skew), a hub's in-edges are summed
+before the shuffle (in-degree skew), and nothing pins a layout, so adaptive
+execution may coalesce or split on top.  Personalised state is sparse: only
+vertices reached from a source carry a row, so one source costs its
+reachable set, not ``|V|``.  Lineage is cut with written tables.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrus.functions.ranking import top_k_per_group
-from papyrus.operators.graph import (Graph, author_id_of_vertex, author_vertex_id,
+from papyrus.operators.graph import (Graph, SlicedEdges, author_id_of_vertex, author_vertex_id,
                                      drop_isolated, transition_weights, undirected)
-from papyrus.session import cut_lineage, partitioned_by, release
+from papyrus.operators.lookup import AUTHOR_ID, resolve_author
+from papyrus.session import cut_lineage, release
 
 DEFAULT_RESET = 0.15
 RANK_THRESHOLD = 1e-5
@@ -39,17 +42,15 @@ RANK_THRESHOLD = 1e-5
 CHECKPOINT_EVERY = 3
 
 
-def prepared_weights(graph: Graph, make_undirected: bool = False) -> DataFrame:
-    """Transition table, checkpointed, then partitioned and sorted by
-    ``src`` and persisted (see :func:`papyrus.session.partitioned_by`);
-    the caller unpersists it after the iterations."""
+def prepared_weights(graph: Graph, make_undirected: bool = False) -> SlicedEdges:
+    """Transition table in slices, written to the scratch folder."""
     g = Graph(graph.vertices, undirected(graph.edges)) if make_undirected else graph
-    return partitioned_by(transition_weights(g), "src")
+    return SlicedEdges.of(transition_weights(g))
 
 
 # ---------------------------------------------------------------- cores
 
-def personalized_ranks(weights: DataFrame, sources: DataFrame, reset: float = DEFAULT_RESET,
+def personalized_ranks(weights: SlicedEdges, sources: DataFrame, reset: float = DEFAULT_RESET,
                        max_iter: int = 10, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """``(source, id, r)``: personalised PageRank of every source at once,
     each source normalised to sum 1.  Equal to running the sources one by
@@ -64,7 +65,7 @@ def personalized_ranks(weights: DataFrame, sources: DataFrame, reset: float = DE
     anchor = src.select("source", F.col("source").alias("id"), F.lit(0.0).alias("m"))
     written = None
     for i in range(1, max_iter + 1):
-        msgs = (state.join(weights, F.col("id") == F.col("src"))
+        msgs = (weights.meet(state, "id")
                 .select("source", F.col("dst").alias("id"), (F.col("r") * F.col("w")).alias("m")))
         state = (msgs.unionByName(anchor)
                  .groupBy("source", "id").agg(F.sum("m").alias("m"))
@@ -83,7 +84,7 @@ def personalized_ranks(weights: DataFrame, sources: DataFrame, reset: float = DE
     return state.join(totals, "source").select("source", "id", (F.col("r") / F.col("t")).alias("r"))
 
 
-def plain_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float = DEFAULT_RESET,
+def plain_ranks(weights: SlicedEdges, vertex_ids: DataFrame, reset: float = DEFAULT_RESET,
                 max_iter: int = 30, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """``(id, r)``: PageRank on every vertex, rescaled to sum ``|V|``."""
     keep = 1.0 - reset
@@ -92,7 +93,7 @@ def plain_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float = DEFAUL
     state = ids.select("id", F.lit(1.0).alias("r"))
     written = None
     for i in range(1, max_iter + 1):
-        msgs = (state.join(weights, F.col("id") == F.col("src"))
+        msgs = (weights.meet(state, "id")
                 .select(F.col("dst").alias("id"), (F.col("r") * F.col("w")).alias("m")))
         state = (msgs.unionByName(zeros).groupBy("id").agg(F.sum("m").alias("m"))
                  .select("id", (F.lit(reset) + F.lit(keep) * F.col("m")).alias("r")))
@@ -108,30 +109,34 @@ def plain_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float = DEFAUL
     return state.select("id", (F.col("r") * F.lit(factor)).alias("r"))
 
 
-def delta_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float, tol: float,
-                source: str | None = None, checkpoint_every: int = CHECKPOINT_EVERY,
-                max_supersteps: int = 10_000) -> DataFrame:
+def delta_ranks(weights: SlicedEdges, vertex_ids: DataFrame, reset: float, tol: float,
+                source: str | None = None, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """``(id, r)`` by delta propagation until every change is <= ``tol``.
 
+    With ``tol > 0`` and ``0 < reset <= 1`` the sum of all changes shrinks by
+    ``1 - reset`` a step, so the run ends.
+
     Vertices send ``delta * w`` along their out-edges while they were
     updated in the previous step and their last change exceeds ``tol``.
     One small action per step decides whether any message is left.
     """
+    if not tol > 0 or not 0 < reset <= 1:
+        raise ValueError("tol must be above 0 and reset in (0, 1]")
     keep = 1.0 - reset
     if source is None:
-        first = keep * (reset / keep)
+        first = reset
         state = vertex_ids.select("id").distinct().select(
             "id", F.lit(first).alias("pr"), F.lit(first).alias("delta"), F.lit(True).alias("active"))
     else:
-        spark = weights.sparkSession
+        spark = vertex_ids.sparkSession
         state = spark.createDataFrame([(source, 1.0, 1.0, True)],
                                       "id string, pr double, delta double, active boolean")
     state = cut_lineage(state)
     superseded = [state]
     step = 0
     while True:
-        msgs = (state.filter(F.col("active") & (F.col("delta") > F.lit(tol)))
-                .join(weights, F.col("id") == F.col("src"))
+        sending = state.filter(F.col("active") & (F.col("delta") > F.lit(tol)))
+        msgs = (weights.meet(sending, "id")
                 .groupBy(F.col("dst").alias("id"))
                 .agg(F.sum(F.col("delta") * F.col("w")).alias("m")))
         msgs = cut_lineage(msgs)
@@ -139,8 +144,6 @@ def delta_ranks(weights: DataFrame, vertex_ids: DataFrame, reset: float, tol: fl
         if msgs.isEmpty():
             break
         step += 1
-        if step > max_supersteps:
-            raise RuntimeError(f"PageRank did not converge within {max_supersteps} steps")
         old = F.coalesce(F.col("pr"), F.lit(0.0))
         new = old + F.lit(keep) * F.col("m")
         state = (state.join(msgs, "id", "full_outer")
@@ -198,13 +201,10 @@ def pagerank(graph: Graph, reset_probability: float = DEFAULT_RESET, max_iter: i
     if (max_iter is None) == (tol is None):
         raise ValueError("exactly one of max_iter and tol must be set")
     weights = prepared_weights(graph)
-    try:
-        if tol is None:
-            ranks = plain_ranks(weights, graph.vertices, reset_probability, max_iter, checkpoint_every)
-        else:
-            ranks = delta_ranks(weights, graph.vertices, reset_probability, tol, None, checkpoint_every)
-    finally:
-        weights.unpersist()
+    if tol is None:
+        ranks = plain_ranks(weights, graph.vertices, reset_probability, max_iter, checkpoint_every)
+    else:
+        ranks = delta_ranks(weights, graph.vertices, reset_probability, tol, None, checkpoint_every)
     return (ranks.select(F.col("id").alias("paper_doi"), F.col("r").alias("pagerank"))
             .orderBy(F.desc("pagerank"), "paper_doi"))
 
@@ -223,10 +223,7 @@ def topic_pagerank(graph: Graph, start, reset_probability: float = DEFAULT_RESET
     sources, single = _sources_frame(graph, start)
     _require_known(graph, sources)
     weights = prepared_weights(graph, undirected)
-    try:
-        ranks = personalized_ranks(weights, sources, reset_probability, max_iter, checkpoint_every)
-    finally:
-        weights.unpersist()
+    ranks = personalized_ranks(weights, sources, reset_probability, max_iter, checkpoint_every)
     kept = ranks.filter((F.col("id") != F.col("source")) & (F.col("r") > F.lit(threshold)))
     if single:
         return (kept.select(F.col("id").alias("related_paper"), F.col("r").alias("pagerank"))
@@ -242,10 +239,7 @@ def topic_pagerank_tol(graph: Graph, start: str, tol: float,
     sources, _ = _sources_frame(graph, start)
     _require_known(graph, sources)
     weights = prepared_weights(graph, undirected)
-    try:
-        ranks = delta_ranks(weights, graph.vertices, reset_probability, tol, source=start)
-    finally:
-        weights.unpersist()
+    ranks = delta_ranks(weights, graph.vertices, reset_probability, tol, source=start)
     return (ranks.filter((F.col("id") != F.lit(start)) & (F.col("r") > F.lit(threshold)))
             .select(F.col("id").alias("related_paper"), F.col("r").alias("pagerank"))
             .orderBy(F.desc("pagerank"), "related_paper"))
@@ -277,46 +271,47 @@ def all_topic_pagerank(graph: Graph, reset_probability: float = DEFAULT_RESET, m
                                   keep_top)
         return out
 
-    try:
-        if source_blocks <= 1 and output_path is None:
-            return block_result(all_sources)
-        if output_path is None:
-            raise ValueError("output_path (a shared folder) is needed when sources are blocked")
-        spark = graph.vertices.sparkSession
-        for b in range(max(1, source_blocks)):
-            block = all_sources.filter(F.pmod(F.xxhash64("source"), F.lit(source_blocks)) == b)
-            block_result(block).write.mode("overwrite" if b == 0 else "append").parquet(output_path)
-        return spark.read.parquet(output_path)
-    finally:
-        weights.unpersist()
+    if source_blocks <= 1 and output_path is None:
+        return block_result(all_sources)
+    if output_path is None:
+        raise ValueError("output_path (a shared folder) is needed when sources are blocked")
+    spark = graph.vertices.sparkSession
+    for b in range(max(1, source_blocks)):
+        block = all_sources.filter(F.pmod(F.xxhash64("source"), F.lit(source_blocks)) == b)
+        block_result(block).write.mode("overwrite" if b == 0 else "append").parquet(output_path)
+    return spark.read.parquet(output_path)
 
 
 def author_similarity(graph_author: Graph, start_author, reset_probability: float = DEFAULT_RESET,
                       max_iter: int = 10, threshold: float = RANK_THRESHOLD,
-                      checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
-    """``(related_author INT, simrank)``: personalised PageRank from an
-    author over the authorship (or combined) graph, authors only, sorted.
-
-    ``start_author`` is an author id (int or digit string), a one-column
-    DataFrame of author ids, or an ``A:``-prefixed vertex id.
+                      checkpoint_every: int = CHECKPOINT_EVERY, authors: DataFrame | None = None) -> DataFrame:
+    """Personalised PageRank from an author over the authorship (or
+    combined) graph, authors only.
+
+    * ``start_author`` an author id (int or digit string), an ``A:`` vertex
+      id, or, with the ``authors`` table, a name that exactly one author has:
+      ``(related_author INT, simrank)`` sorted descending;
+    * a one-column DataFrame of author ids:
+      ``(start_author INT, related_author INT, simrank)``, unsorted.
     """
     spark = graph_author.vertices.sparkSession
-    if isinstance(start_author, DataFrame):
+    single = not isinstance(start_author, DataFrame)
+    if not single:
         sources = start_author.select(author_vertex_id(F.col(start_author.columns[0])).alias("source"))
     else:
-        s = str(start_author)
-        vid = s if not s.isdigit() else f"A:{int(s)}"
+        vid = str(start_author)
+        if not vid.startswith("A:"):
+            if authors is None and not AUTHOR_ID.fullmatch(vid):
+                raise ValueError(f"{vid!r} is no author id; pass the authors table to look up a name")
+            vid = f"A:{int(vid) if authors is None else resolve_author(authors, vid)}"
         sources = spark.createDataFrame([(vid,)], "source string")
     _require_known(graph_author, sources)
     weights = prepared_weights(graph_author)
-    try:
-        ranks = personalized_ranks(weights, sources, reset_probability, max_iter, checkpoint_every)
-    finally:
-        weights.unpersist()
-    authors = graph_author.vertices.filter(F.col("node_type") == "author").select("id")
-    return (ranks.filter((F.col("id") != F.col("source")) & (F.col("r") > F.lit(threshold)))
-            .join(authors, "id", "left_semi")
-            .select(author_id_of_vertex(F.col("id")).alias("related_author"),
-                    F.col("r").alias("simrank"))
-            .orderBy(F.desc("simrank"), "related_author"))
-
+    ranks = personalized_ranks(weights, sources, reset_probability, max_iter, checkpoint_every)
+    writers = graph_author.vertices.filter(F.col("node_type") == "author").select("id")
+    kept = (ranks.filter((F.col("id") != F.col("source")) & (F.col("r") > F.lit(threshold)))
+            .join(writers, "id", "left_semi"))
+    found = [author_id_of_vertex(F.col("id")).alias("related_author"), F.col("r").alias("simrank")]
+    if single:
+        return kept.select(*found).orderBy(F.desc("simrank"), "related_author")
+    return kept.select(author_id_of_vertex(F.col("source")).alias("start_author"), *found)

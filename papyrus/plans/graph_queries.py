@@ -10,6 +10,7 @@ from papyrus.plans import oracle as O
 from papyrus.plans.registry import register, rnd
 from papyrus.session import cut_lineage
 from papyrus.sources import testdata as td
+from papyrus.sources.papers import graph_input
 
 ITERS = 10          # personalised runs (reference default)
 PLAIN_ITERS = 30    # plain PageRank (reference default)
@@ -169,46 +170,20 @@ def topic_pagerank_batch(spark, sf):
     return out.select("start_paper", "related_paper", rnd("pagerank"))
 
 
-ALL_SOURCES = ("S AS (SELECT id AS source FROM V WHERE id IN "
-               "(SELECT src FROM cites UNION ALL SELECT dst FROM cites))")
-
-
-@register("all_pairs_pagerank",
-          O.with_(*BASE, ALL_SOURCES, *O.weights(CITES_EDGES),
-                  *O.personalized_steps(rank.DEFAULT_RESET, ITERS))
-          + f"SELECT source AS start_paper, id AS related_paper, round(r, {O.DP}) AS pagerank "
-            f"FROM RN WHERE id <> source AND r > {O.dbl(rank.RANK_THRESHOLD)}")
-def all_pairs_pagerank(spark, sf):
-    """Personalised PageRank from every non-isolated paper."""
-    out = rank.all_topic_pagerank(citation_graph(spark, sf), max_iter=ITERS)
-    return out.select("start_paper", "related_paper", rnd("pagerank"))
-
-
-@register("all_pairs_topn",
-          O.with_(*BASE, ALL_SOURCES, *O.weights(CITES_EDGES),
-                  *O.personalized_steps(rank.DEFAULT_RESET, ITERS))
-          + f"SELECT start_paper, related_paper, round(r, {O.DP}) AS pagerank FROM ("
-            f"SELECT source AS start_paper, id AS related_paper, r, row_number() OVER ("
-            f"PARTITION BY source ORDER BY r DESC, id) AS k FROM RN "
-            f"WHERE id <> source AND r > {O.dbl(rank.RANK_THRESHOLD)}) t WHERE k <= 5")
-def all_pairs_topn(spark, sf):
-    """K8: the five best related papers of every paper."""
-    out = rank.all_topic_pagerank(citation_graph(spark, sf), max_iter=ITERS, keep_top=5)
-    return out.select("start_paper", "related_paper", rnd("pagerank"))
-
-
-def _author_sql(combined: bool, named: bool = False) -> str:
+def _author_sql(combined: bool, named: bool = False, batch: bool = False) -> str:
     auth = O.undirected(AUTH_EDGES)
     edges = (f"SELECT src, dst FROM ({O.undirected(CITES_EDGES)}) r UNION ALL "
              f"SELECT src, dst FROM ({auth}) a") if combined else auth
     va = ("V AS (SELECT paper_doi AS id, 'paper' AS node_type FROM papers UNION ALL "
           "SELECT DISTINCT 'A:' || CAST(author_id AS VARCHAR), 'author' FROM wrote)")
-    src = "S AS (SELECT 'A:' || CAST(author_id AS VARCHAR) AS source FROM TA)"
+    chosen = "(SELECT DISTINCT author_id FROM wrote WHERE author_id % 20 = 0) b" if batch else "TA"
+    src = f"S AS (SELECT 'A:' || CAST(author_id AS VARCHAR) AS source FROM {chosen})"
     ctes = [O.CITES, O.WROTE, O.PAPERS, va, SQL_TOP_AUTHOR, src, *O.weights(edges),
             *O.personalized_steps(rank.DEFAULT_RESET, ITERS)]
     if named:
         ctes.append(O.AUTHORS)
-    sel = ("SELECT CAST(substr(RN.id, 3) AS INTEGER) AS related_author, "
+    sel = ("SELECT " + ("CAST(substr(RN.source, 3) AS INTEGER) AS start_author, " if batch else "")
+           + "CAST(substr(RN.id, 3) AS INTEGER) AS related_author, "
            + ("a.author_name, " if named else "")
            + f"round(RN.r, {O.DP}) AS simrank FROM RN "
            + ("LEFT JOIN authors a ON a.author_id = CAST(substr(RN.id, 3) AS INTEGER) " if named else "")
@@ -224,6 +199,31 @@ def author_similarity(spark, sf):
     return out.select("related_author", rnd("simrank"))
 
 
+@register("author_similarity_by_name", _author_sql(False))
+def author_similarity_by_name(spark, sf):
+    """The author given by name."""
+    authors = td.authors(spark, sf)
+    name = authors.join(top_author(spark, sf), "author_id", "left_semi").first()["author_name"]
+    out = rank.author_similarity(authorship_graph(spark, sf), name, max_iter=ITERS, authors=authors)
+    return out.select("related_author", rnd("simrank"))
+
+
+@register("author_similarity_batch", _author_sql(False, batch=True))
+def author_similarity_batch(spark, sf):
+    """G9 for several authors in one pass, results kept apart: the authors
+    whose id is divisible by 20."""
+    some = td.wrote(spark, sf).filter(F.col("author_id") % 20 == 0).select("author_id").distinct()
+    out = rank.author_similarity(authorship_graph(spark, sf), some, max_iter=ITERS)
+    return out.select("start_author", "related_author", rnd("simrank"))
+
+
+@register("wrote_edges", O.with_(O.WROTE) + "SELECT paper_doi AS src, author_id FROM wrote")
+def wrote_edges(spark, sf):
+    """The author arrays of the papers table exploded."""
+    p = graph_input(td.papers(spark, sf, with_refs=True))
+    return p.select(F.col("paper_doi").alias("src"), F.explode("author_id").alias("author_id"))
+
+
 @register("author_similarity_combined", _author_sql(True))
 def author_similarity_combined(spark, sf):
     """G9 over citations (undirected) plus authorship."""
@@ -260,7 +260,7 @@ def lpa_labels(spark, sf):
             f"ON a.label = b.label WHERE a.id = (SELECT source FROM S) AND b.id <> a.id")
 def lpa_related(spark, sf):
     g = citation_graph(spark, sf)
-    return community.related_by_label(g, top_source(g), max_iter=LPA_ITERS)
+    return community.related_by_label(g, top_source(g), max_iter=LPA_ITERS).select("related_paper")
 
 
 @register("paper_graph_report",
@@ -284,11 +284,15 @@ def paper_graph_report(spark, sf):
 TOL = 1e-3
 
 
-@register("pagerank_tol")
+#: More steps than the run takes at any test size.
+TOL_STEPS = 80
+
+
+@register("pagerank_tol", O.with_(*BASE, *O.weights(CITES_EDGES), *O.delta_steps(rank.DEFAULT_RESET, TOL, TOL_STEPS))
+          + f"SELECT id AS paper_doi, round(r, {O.DP}) AS pagerank FROM DN")
 def pagerank_tol(spark, sf):
     """PageRank run until no vertex changes by more than ``TOL``
-    (delta propagation; the step count depends on the data, so there is no
-    unrolled SQL twin; tests compare it with a long fixed run)."""
+    (delta propagation)."""
     return rank.pagerank(citation_graph(spark, sf), max_iter=None, tol=TOL).select(
         "paper_doi", rnd("pagerank"))
 

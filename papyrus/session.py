@@ -8,15 +8,14 @@ Library operators never build a session; they take DataFrames and use
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-KEEP_CACHE_PARTITIONING = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -63,6 +62,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "folder (HDFS/S3/ABFS) to checkpoint into")
 
 
+#: Open scratch scopes, innermost last; the first one ends with the process.
+_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001  the session may be gone already; the folder is scratch
+        return
+
+
+def _drop(scope: list[tuple[SparkSession, str]]) -> None:
+    while scope:
+        _delete(*scope.pop())
+
+
+atexit.register(lambda: [_drop(scope) for scope in _scopes])
+
+
+@contextlib.contextmanager
+def scratch():
+    """Owner of the intermediate tables written inside the block: they are
+    deleted when it ends, on success and on failure.  Results must be
+    consumed (or saved) before that.  Tables written outside any block are
+    deleted when the process ends."""
+    scope: list[tuple[SparkSession, str]] = []
+    _scopes.append(scope)
+    try:
+        yield
+    finally:
+        _scopes.remove(scope)
+        _drop(scope)
+
+
+def scratch_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new folder name in the shared checkpoint folder, owned by the
+    current :func:`scratch` block."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/papyrus-{kind}-{uuid.uuid4().hex}"
+    _scopes[-1].append((spark, path))
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder
     and continue from a plain scan of it.
@@ -70,11 +113,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The files survive executor loss, and the new plan starts empty: unlike
     ``Dataset.checkpoint``, a scan carries no constraints inherited from
     the plan that produced it, so iterative plans do not grow harder to
-    optimise from step to step.  The scan reports no partitioning; use
-    :func:`partitioned_by` for a side table that joins repeatedly.
+    optimise from step to step.  The table belongs to the current
+    :func:`scratch` block.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/papyrus-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,66 +125,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def release(df: DataFrame) -> None:
     """Delete the files behind a :func:`cut_lineage` result that no later
     plan reads any more (iterations drop superseded states this way)."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if not files:
         return
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    if not folder.getName().startswith("papyrus-"):
+    folder = files[0].rsplit("/", 1)[0]
+    name = folder.rsplit("/", 1)[1]
+    if not name.startswith("papyrus-"):
         return
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(folder, True)
-
-
-def partitioned_by(df: DataFrame, key: str) -> DataFrame:
-    """A reusable side table for iterations: checkpointed (lineage cut,
-    survives executor loss), then hash-partitioned and sorted by ``key``
-    and persisted.  The cache keeps the partitioning and ordering, so a
-    sort-merge join on ``key`` neither shuffles nor sorts this side again;
-    a lost cached block is recomputed from the checkpoint files only.
-    Call ``unpersist()`` when the iterations are done.
-    """
-    spark = df.sparkSession
-    base = cut_lineage(df)
-    n = partitions_for(base)
-    laid_out = base.repartition(n, key).sortWithinPartitions(key)
-    # The cache must promise its partitioning to later plans; adaptive
-    # execution may otherwise re-plan it, and every join would shuffle it.
-    prev = spark.conf.get(KEEP_CACHE_PARTITIONING, None)
-    spark.conf.set(KEEP_CACHE_PARTITIONING, "false")
-    try:
-        cached = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
-    finally:
-        if prev is None:
-            spark.conf.unset(KEEP_CACHE_PARTITIONING)
-        else:
-            spark.conf.set(KEEP_CACHE_PARTITIONING, prev)
-    return cached
-
-
-def partitions_for(df: DataFrame) -> int:
-    """Partition count for a table that every iteration joins against:
-    its size (from the written files) divided by the adaptive advisory
-    partition size, at least 1.  Grows with the data instead of following
-    the session's fixed shuffle-partition count, so a small table does not
-    pin every iteration's shuffle to hundreds of tiny tasks and a large one
-    is split into advisory-sized pieces."""
-    spark = df.sparkSession
-    raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    size = raw if isinstance(raw, int) else int(raw.toString())
-    target = int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "67108864")
-                 .lower().replace("b", "") or 67108864)
-    return max(1, -(-size // max(1, target)))
-
-
-def default_parallelism(spark: SparkSession) -> int:
-    """Number of shuffle partitions the session is configured for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+    _delete(df.sparkSession, folder)
+    for scope in _scopes:
+        scope[:] = [(s, p) for s, p in scope if not p.endswith(name)]

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyrus.operators import community, rank
-from papyrus.operators.graph import Graph, author_vertex_id
+from papyrus.operators import graph as graph_module
+from papyrus.operators.graph import Graph, SlicedEdges, author_vertex_id, transition_weights
 
 # The 16-node graph reconstructed for the stored topic-rank
 # and cluster results, and the stored results themselves.
@@ -91,7 +92,6 @@ def test_personalized_sums_to_one_and_batch_equals_singles(spark):
     for s in ("a", "d"):
         single = {r.related_paper: r.pagerank for r in rank.topic_pagerank(g, s, max_iter=7).collect()}
         assert single == pytest.approx({k[1]: v for k, v in batch.items() if k[0] == s})
-    w.unpersist()
 
 
 def test_topic_tolerance_matches_fixed(spark):
@@ -138,6 +138,84 @@ def test_all_pairs_blocked_writes_every_block(spark, tmp_path):
     assert blocked.count() == whole
 
 
+def hub_graph(spark, n=900):
+    edges = [("hub", f"v{i}") for i in range(n)] + [(f"v{i}", f"v{(i * 7 + 1) % n}") for i in range(2 * n)]
+    v = spark.createDataFrame([("hub",)] + [(f"v{i}",) for i in range(2 * n)], "id string")
+    return Graph(v, spark.createDataFrame(edges, "src string, dst string"))
+
+
+def test_hub_edges_are_dealt_over_tasks(spark):
+    # the hub holds a third of the edges; with slices of 50 no task of the
+    # step's join gets more than a small part of them
+    edges = SlicedEdges.of(transition_weights(hub_graph(spark)), slice_edges=50)
+    assert edges.hubs.count() == 1
+    state = spark.createDataFrame([("hub", 1.0)] + [(f"v{i}", 1.0) for i in range(900)], "id string, r double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = edges.meet(state, "id")
+        sizes = [r["n"] for r in met.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        hub = [r["n"] for r in met.filter("id = 'hub'").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(hub) == 900 and len(hub) >= 6 and max(hub) < 300
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_slices_do_not_change_ranks(spark, monkeypatch):
+    g = hub_graph(spark, 60)
+    whole = {r.paper_doi: r.pagerank for r in rank.pagerank(g, max_iter=5).collect()}
+    monkeypatch.setattr(graph_module, "SLICE_EDGES", 7)
+    cut = {r.paper_doi: r.pagerank for r in rank.pagerank(g, max_iter=5).collect()}
+    assert cut == pytest.approx(whole, abs=1e-12)
+
+
+@pytest.mark.parametrize("size", ["64MB", "64m", "1g"])
+def test_ranks_run_with_any_advisory_size(spark, size):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    try:
+        assert rank.pagerank(small(spark), max_iter=2).count() == 5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_tolerance_run_checks_its_parameters(spark):
+    with pytest.raises(ValueError):
+        rank.pagerank(small(spark), max_iter=None, tol=0.0)
+    with pytest.raises(ValueError):
+        rank.pagerank(small(spark), 0.0, max_iter=None, tol=0.1)
+
+
+def test_several_sources_stay_apart(spark):
+    g = golden(spark)
+    some = spark.createDataFrame([(S,), (A,)], "id string")
+    both = community.related_by_label(g, some, 3).collect()
+    for s in (S, A):
+        one = {r.related_paper for r in community.related_by_label(g, s, 3).collect()}
+        assert {r.related_paper for r in both if r.start_paper == s} == one
+    report = community.paper_report(g, some, 3, 3).collect()
+    single = {(r.related_paper, r.same_cluster) for r in community.paper_report(g, S, 3, 3).collect()}
+    assert {(r.related_paper, r.same_cluster) for r in report if r.start_paper == S} == single
+
+
+def test_author_by_name_and_batch(spark):
+    v = spark.createDataFrame([("p1", "paper"), ("p2", "paper"), ("A:1", "author"),
+                               ("A:2", "author"), ("A:3", "author")], "id string, node_type string")
+    pairs = [("p1", "A:1"), ("p1", "A:2"), ("p2", "A:2"), ("p2", "A:3")]
+    g = Graph(v, spark.createDataFrame(pairs + [(d, s) for s, d in pairs], "src string, dst string"))
+    names = spark.createDataFrame([(1, "Ada"), (2, "Bo"), (3, "Bo")], "author_id int, author_name string")
+    by_id = rank.author_similarity(g, 1).collect()
+    assert rank.author_similarity(g, "Ada", authors=names).collect() == by_id
+    with pytest.raises(LookupError):
+        rank.author_similarity(g, "Bo", authors=names)
+    with pytest.raises(ValueError):
+        rank.author_similarity(g, "Ada")
+    batch = rank.author_similarity(g, spark.createDataFrame([(1,), (3,)], "author_id int")).collect()
+    assert {(r.related_author, r.simrank) for r in batch if r.start_author == 1} == {(r[0], r[1]) for r in by_id}
+    assert {r.start_author for r in batch} == {1, 3}
+
+
 def test_author_similarity_authors_only(spark):
     v = spark.createDataFrame([("p1", "paper"), ("p2", "paper"), ("A:1", "author"),
                                ("A:2", "author"), ("A:3", "author")], "id string, node_type string")
