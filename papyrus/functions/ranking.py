@@ -1,4 +1,4 @@
-"""Distributed ranking helpers: skew-safe top-k per group and a dense,
+"""Distributed ranking helpers: top-k per group and a dense,
 gap-free global row index (a DataFrame ``zipWithIndex``)."""
 
 from __future__ import annotations
@@ -8,31 +8,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrus.session import cut_lineage, default_parallelism
+from papyrus.session import cut_lineage
 
 
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column],
-                    k: int, salt_buckets: int = 8, rank_col: str | None = None) -> DataFrame:
+                    k: int, rank_col: str | None = None) -> DataFrame:
     """Keep the first ``k`` rows of every group under a total order.
 
-    Two rounds: first top-k inside ``(group, salt)`` where the salt is a
-    hash of the row, then top-k over the at most ``k * salt_buckets``
-    survivors of each group.  A group holding a third of all rows is thus
-    sorted by ``salt_buckets`` tasks instead of one.  ``order_cols`` must
-    be a total order for a deterministic result.
+    One window: the planner cuts each group to ``k`` rows in every task
+    before the shuffle (window group limit), so a large group reaches its
+    task as at most ``k`` rows of each map task.  ``order_cols`` must be a
+    total order for a deterministic result.
     """
-    groups = [F.col(c) for c in group_cols]
-    rn = "__rn"
-    cur = df
-    if salt_buckets > 1:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
-        w1 = Window.partitionBy(*groups, salt).orderBy(*order_cols)
-        cur = cur.withColumn(rn, F.row_number().over(w1)).filter(F.col(rn) <= k).drop(rn)
-    w2 = Window.partitionBy(*groups).orderBy(*order_cols)
-    cur = cur.withColumn(rn, F.row_number().over(w2)).filter(F.col(rn) <= k)
-    if rank_col:
-        return cur.withColumnRenamed(rn, rank_col)
-    return cur.drop(rn)
+    rn = rank_col or "__rn"
+    window = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    cut = df.withColumn(rn, F.row_number().over(window)).filter(F.col(rn) <= k)
+    return cut if rank_col else cut.drop(rn)
 
 
 def dense_index(df: DataFrame, order_cols: Sequence[Column], index_col: str = "idx",
@@ -43,10 +34,11 @@ def dense_index(df: DataFrame, order_cols: Sequence[Column], index_col: str = "i
     partition, checkpoint (so the partitioning is fixed), then add the
     number of rows of all earlier partitions.  The offset table has one
     row per partition, so broadcasting it is bounded by the partition
-    count, not by the data.  ``order_cols`` must be a total order.
+    count, not by the data.  Without ``num_partitions`` adaptive execution
+    sizes the partitions.  ``order_cols`` must be a total order.
     """
-    n = num_partitions or default_parallelism(df.sparkSession)
-    ordered = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    spread = df.repartitionByRange(num_partitions, *order_cols) if num_partitions else df.repartitionByRange(*order_cols)
+    ordered = (spread.sortWithinPartitions(*order_cols)
                .withColumn("__pid", F.spark_partition_id())
                .withColumn("__mid", F.monotonically_increasing_id()))
     ordered = cut_lineage(ordered)

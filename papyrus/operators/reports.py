@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.functions.joins import broadcast_if_small
 from papyrus.operators.lookup import papers_by_author
 
 
@@ -80,11 +79,9 @@ def hotspot_terms(papers: DataFrame) -> DataFrame:
 def hotspots(papers: DataFrame, stopwords: DataFrame) -> DataFrame:
     """A9/A10 + J6: ``(word, n)`` over the given papers minus stop words
     (exact comparison), most frequent first, ties by word.
-
-    The stop list is broadcast when its size check passes.
     """
     return (hotspot_terms(papers)
-            .join(broadcast_if_small(stopwords.select("word")), "word", "left_anti")
+            .join(stopwords.select("word"), "word", "left_anti")
             .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), "word"))
 

@@ -1,11 +1,13 @@
 """Text operators of the recommender (S1, P3, A1, T1, T1b, T2, A5, A6, T6,
 W1, A11, J1).
 
-Everything stays in native expressions (``regexp_extract_all``, higher
-order functions, ``StopWordsRemover``), so tokenising runs inside
-whole-stage codegen with no Python worker.  Term statistics use the long
-format ``(doi, word, tf)`` instead of sparse vectors: it needs no
-vocabulary on the driver and every aggregation is partial (map-side).
+Tokenising is native expressions (``regexp_extract_all``, higher order
+functions) plus the JVM function inside ``StopWordsRemover``; there is no
+Python worker.  Statistics are kept per corpus row: one doi may have several
+rows (titles), so rows carry a ``row`` id, stored once with the cleaned
+corpus.  Term statistics use the long format ``(row, doi, word, tf)`` instead
+of sparse vectors: it needs no vocabulary on the driver and every aggregation
+is partial (map-side).
 """
 
 from __future__ import annotations
@@ -14,11 +16,9 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.functions.joins import broadcast_if_small
 from papyrus.functions.ranking import dense_index, top_k_per_group
 from papyrus.schemas import CORPUS
 from papyrus.session import cut_lineage
-from papyrus.sources.stopwords import stopword_list
 
 # Fixed values of the tokenizer: Latin word = a letter followed by letters
 # or digits; words of one or two characters are dropped.
@@ -36,6 +36,12 @@ def clean_corpus(raw: DataFrame) -> DataFrame:
     return raw.select("doi", "title", "abstract").dropna().dropDuplicates()
 
 
+def number_rows(corpus: DataFrame) -> DataFrame:
+    """The corpus with a ``row`` id, written once so that every reader sees
+    the same ids; term statistics are keyed by it."""
+    return cut_lineage(corpus.withColumn("row", F.monotonically_increasing_id()))
+
+
 def read_corpus_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON records with an explicit schema (no inference pass)."""
     return clean_corpus(spark.read.schema(CORPUS).json(path))
@@ -53,19 +59,28 @@ def tokenize(corpus: DataFrame, input_col: str = "abstract", output_col: str = "
     return corpus.withColumn(output_col, tokens_of(F.col(input_col)))
 
 
-def remove_stopwords(df: DataFrame, stop: DataFrame | list[str], input_col: str = "seg",
+def remove_stopwords(df: DataFrame, stop: list[str], input_col: str = "seg",
                      output_col: str = "words", case_sensitive: bool = False) -> DataFrame:
     """Drop stop words from token arrays; by default the match ignores
-    case and the kept tokens keep their case."""
-    words = stop if isinstance(stop, list) else stopword_list(stop)
-    remover = StopWordsRemover(inputCol=input_col, outputCol=output_col, stopWords=words,
+    case and the kept tokens keep their case.  For a list of the caller;
+    :func:`drop_stopwords` takes a table of any size."""
+    remover = StopWordsRemover(inputCol=input_col, outputCol=output_col, stopWords=stop,
                                caseSensitive=case_sensitive)
     return remover.transform(df)
 
 
-def word_lists(corpus: DataFrame, stop: DataFrame | list[str]) -> DataFrame:
-    """``(doi, title, words)``: tokenised abstracts without stop words."""
-    return remove_stopwords(tokenize(corpus), stop).select("doi", "title", "words")
+def drop_stopwords(tokens: DataFrame, stop: DataFrame, case_sensitive: bool = False) -> DataFrame:
+    """T2 on the long token form: rows whose ``word`` is not in the ``word``
+    column of the stop table."""
+    fold = (lambda c: c) if case_sensitive else F.lower
+    stopped = stop.select(fold(F.col("word")).alias("stop"))
+    return tokens.join(stopped, fold(F.col("word")) == F.col("stop"), "left_anti")
+
+
+def word_lists(corpus: DataFrame, stop: list[str]) -> DataFrame:
+    """The corpus without its abstracts and with ``words``: their tokens
+    without stop words."""
+    return remove_stopwords(tokenize(corpus), stop).drop("abstract", "seg")
 
 
 def token_table(df: DataFrame, words_col: str = "words") -> DataFrame:
@@ -87,7 +102,7 @@ def tokenize_lexicon(corpus: DataFrame, lexicon: DataFrame, input_col: str = "ab
     words = (corpus.select("doi", F.posexplode(F.regexp_extract_all(F.col(input_col),
                                                                    F.lit(LEXICON_TOKEN), F.lit(1)))
                            .alias("pos", "word")))
-    lex = broadcast_if_small(lexicon.select("word", "flag").dropDuplicates(["word"]))
+    lex = lexicon.select("word", "flag").dropDuplicates(["word"])
     tagged = words.join(lex, "word", "left").withColumn(
         "flag", F.coalesce(F.col("flag"),
                            F.when(F.col("word").rlike("^[A-Za-z0-9]+$"), F.lit("eng")).otherwise(F.lit("x"))))
@@ -98,20 +113,12 @@ def tokenize_lexicon(corpus: DataFrame, lexicon: DataFrame, input_col: str = "ab
     return kept.select("doi", "pos", "word")
 
 
-def tokens_to_arrays(tokens: DataFrame) -> DataFrame:
-    """``(doi, words)`` from the long format, in position order (one row's
-    tokens only, so the array is bounded by that row's own size)."""
-    return (tokens.groupBy("doi")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("t"))
-            .select("doi", F.col("t.word").alias("words")))
-
-
 # ----------------------------------------------------------- term weights
 
 def term_freq(words: DataFrame, words_col: str = "words") -> DataFrame:
-    """A5/T4: ``(doi, word, tf)``."""
-    return (words.select("doi", F.explode(words_col).alias("word"))
-            .groupBy("doi", "word").agg(F.count(F.lit(1)).alias("tf")))
+    """A5/T4: ``(row, doi, word, tf)``, counted per corpus row."""
+    return (words.select("row", "doi", F.explode(words_col).alias("word"))
+            .groupBy("row", "doi", "word").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def idf_table(tf: DataFrame, n_docs: int) -> DataFrame:
@@ -123,9 +130,9 @@ def idf_table(tf: DataFrame, n_docs: int) -> DataFrame:
 
 
 def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """``(doi, word, tf, tfidf, total)``, raw count times idf."""
+    """``(row, doi, word, tf, tfidf, total)``, raw count times idf."""
     return (tf.join(idf.select("word", "idf", "total"), "word")
-            .select("doi", "word", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"), "total"))
+            .select("row", "doi", "word", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"), "total"))
 
 
 def vocabulary(idf: DataFrame) -> DataFrame:
@@ -135,40 +142,42 @@ def vocabulary(idf: DataFrame) -> DataFrame:
                        [F.desc("total"), F.asc("word")], "index").select("word", "idf", "index")
 
 
-def keywords(weights: DataFrame, titles: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
-    """``(doi, title, keyword, weight, rank)``: the ``k`` best words of a
-    document by tf-idf; ties go to the lower vocabulary index (larger corpus
-    count, then word); the weight is rounded to 4 places after ranking."""
+def _best(weights: DataFrame, k: int) -> DataFrame:
     order = [F.desc("tfidf"), F.desc("total"), F.asc("word")]
-    top = top_k_per_group(weights, ["doi"], order, k, rank_col="rank")
-    return (top.join(titles.select("doi", "title"), "doi")
-            .select("doi", "title", F.col("word").alias("keyword"),
+    return top_k_per_group(weights, ["row"], order, k, rank_col="rank")
+
+
+def keywords(weights: DataFrame, titles: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
+    """``(row, doi, title, keyword, weight, rank)``: the ``k`` best words
+    of a corpus row by tf-idf; ties go to the lower vocabulary index (larger
+    corpus count, then word); the weight is rounded to 4 places after
+    ranking.  ``titles`` has ``(row, title)``; the window leaves its rows
+    partitioned by ``row``, so only the titles are shuffled for the join."""
+    return (_best(weights, k).join(titles.select("row", "title"), "row")
+            .select("row", "doi", "title", F.col("word").alias("keyword"),
                     F.round("tfidf", WEIGHT_DIGITS).alias("weight"), "rank"))
 
 
 def keywords_by_index(weights: DataFrame, vocab: DataFrame, k: int = TOP_KEYWORDS) -> DataFrame:
-    """W1 in index form ``(doi, index, weight)`` as the sparse-vector route
-    produces it."""
-    order = [F.desc("tfidf"), F.desc("total"), F.asc("word")]
-    top = top_k_per_group(weights, ["doi"], order, k)
-    return (top.join(vocab.select("word", "index"), "word")
-            .select("doi", "index", F.round("tfidf", WEIGHT_DIGITS).alias("weight")))
+    """W1 in index form ``(row, doi, index, weight)`` as the sparse-vector
+    route produces it."""
+    return (_best(weights, k).join(vocab.select("word", "index"), "word")
+            .select("row", "doi", "index", F.round("tfidf", WEIGHT_DIGITS).alias("weight")))
 
 
 def keyword_vocab_join(by_index: DataFrame, vocab: DataFrame, titles: DataFrame) -> DataFrame:
     """Index-form keywords back to words through the vocabulary."""
     return (by_index.join(vocab.select("index", F.col("word").alias("keyword")), "index")
-            .join(titles.select("doi", "title"), "doi")
+            .join(titles.select("row", "title"), "row")
             .select("doi", "title", "keyword", "weight"))
 
 
-def corpus_statistics(corpus: DataFrame, stop) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(words, tf, idf)`` for a cleaned corpus (one count action for N).
+def corpus_statistics(corpus: DataFrame, stop: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(words, tf, idf)`` of a numbered corpus (one count action for N).
 
     ``tf`` feeds both the idf aggregation and the tf-idf join, so it is
     materialised once instead of re-tokenising the corpus for each.
     """
     words = word_lists(corpus, stop)
     tf = cut_lineage(term_freq(words))
-    n_docs = corpus.count()
-    return words, tf, idf_table(tf, n_docs)
+    return words, tf, idf_table(tf, corpus.count())

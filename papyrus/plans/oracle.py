@@ -30,7 +30,8 @@ WROTE = """wrote AS (
   FROM lineitem WHERE l_linenumber = 1)"""
 
 PAPERS = """papers AS (
-  SELECT 'P' || CAST(p_partkey AS VARCHAR) AS paper_doi, p_name AS title,
+  SELECT 'P' || CAST(p_partkey AS VARCHAR) AS paper_doi,
+         CASE WHEN p_partkey % 3 = 0 THEN 'The ' || p_name || ' of it' ELSE p_name END AS title,
          p_brand AS publishedby, p_partkey,
          CASE WHEN p_partkey % 13 = 0 THEN NULL
               ELSE CAST(1995 + p_partkey % 7 AS INTEGER) END AS publicationDate
@@ -51,11 +52,14 @@ AUTHOR_KEYWORDS = """author_keywords AS (
 AUTHORS = """authors AS (
   SELECT CAST(s_suppkey AS INTEGER) AS author_id, s_name AS author_name FROM supplier)"""
 
-CORPUS = """corpus AS (
-  SELECT DISTINCT 'D' || CAST(doc_id AS VARCHAR) AS doi,
-         split_part(text, chr(10), 1) AS title, text AS abstract
-  FROM documents
-  WHERE doc_id IS NOT NULL AND text IS NOT NULL)"""
+CORPUS = """raw AS (
+  SELECT 'D' || CAST(CASE WHEN doc_id % 10 = 3 THEN doc_id - 1 ELSE doc_id END AS VARCHAR) AS doi,
+         CASE WHEN doc_id % 17 <> 0 THEN split_part(text, chr(10), 1) END AS title, text AS abstract
+  FROM documents, range(CASE WHEN doc_id % 25 = 0 THEN 2 ELSE 1 END) t(n)),
+corpus AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY doi, title, abstract) AS row, doi, title, abstract
+  FROM (SELECT DISTINCT * FROM raw) r
+  WHERE doi IS NOT NULL AND title IS NOT NULL AND abstract IS NOT NULL)"""
 
 
 def with_(*ctes: str) -> str:
@@ -118,6 +122,22 @@ def plain_steps(reset: float, iters: int) -> list[str]:
     return out
 
 
+def delta_steps(reset: float, tol: float, steps: int) -> list[str]:
+    """D0..D{steps}: delta propagation; a step without messages changes
+    nothing, so any number of steps past the end gives the same state."""
+    keep = 1.0 - reset
+    out = [f"D0 AS MATERIALIZED (SELECT id, {dbl(reset)} AS pr, {dbl(reset)} AS delta, true AS active FROM V)"]
+    for i in range(1, steps + 1):
+        out.append(f"G{i} AS MATERIALIZED (SELECT W.dst AS id, sum(D{i-1}.delta * W.w) AS m FROM D{i-1} "
+                   f"JOIN W ON D{i-1}.id = W.src WHERE D{i-1}.active AND D{i-1}.delta > {dbl(tol)} GROUP BY W.dst)")
+        out.append(f"D{i} AS MATERIALIZED (SELECT D{i-1}.id, D{i-1}.pr + coalesce({dbl(keep)} * G{i}.m, 0.0) AS pr, "
+                   f"CASE WHEN G{i}.m IS NULL THEN D{i-1}.delta ELSE {dbl(keep)} * G{i}.m END AS delta, "
+                   f"G{i}.m IS NOT NULL AS active FROM D{i-1} LEFT JOIN G{i} ON D{i-1}.id = G{i}.id)")
+    out.append(f"DN AS (SELECT id, pr * ((SELECT count(*) FROM D{steps}) / (SELECT sum(pr) FROM D{steps})) AS r "
+               f"FROM D{steps})")
+    return out
+
+
 def lpa_steps(iters: int) -> list[str]:
     """L0..L{iters}: synchronous label propagation over symmetric edges
     ``ES(src, dst)``, most frequent label wins, ties to the smallest."""

@@ -11,7 +11,8 @@ from papyrus.operators import vectors as VEC
 from papyrus.plans import oracle as O
 from papyrus.plans.registry import register, rnd
 from papyrus.sources import stopwords as SW
-from papyrus.session import cut_lineage
+from papyrus.session import cut_lineage, scratch_path
+from papyrus.sources import models
 from papyrus.sources import testdata as td
 
 STOP = list(SW.FIXTURE_STOPWORDS)
@@ -22,13 +23,13 @@ TOKEN_SQL = f"regexp_extract_all(abstract, '{T.TOKEN_PATTERN}', 1)"
 # ----------------------------------------------------------------- Spark
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaned corpus, materialised once: de-duplicating rows shuffles the
-    whole texts, and tokens, document count and titles all read it."""
-    return cut_lineage(T.clean_corpus(td.corpus(spark, sf)))
+    """Cleaned corpus, for plans that read it once."""
+    return T.clean_corpus(td.corpus(spark, sf))
 
 
 def statistics(spark: SparkSession, sf: str):
-    c = corpus(spark, sf)
+    """The corpus is stored here: tokens, row count and titles read it."""
+    c = T.number_rows(corpus(spark, sf))
     words, tf, idf = T.corpus_statistics(c, STOP)
     return c, words, tf, idf
 
@@ -55,23 +56,23 @@ def first_doc(docs: DataFrame) -> str:
 
 TEXT_CTES = [
     O.CORPUS,
-    f"W AS (SELECT doi, title, list_filter(list_filter({TOKEN_SQL}, lambda x: length(x) >= {T.MIN_TOKEN_LENGTH}), "
+    f"W AS (SELECT row, doi, title, list_filter(list_filter({TOKEN_SQL}, lambda x: length(x) >= {T.MIN_TOKEN_LENGTH}), "
     f"lambda x: NOT list_contains({STOP_SQL}, lower(x))) AS words FROM corpus)",
-    "TF AS (SELECT doi, w AS word, count(*) AS tf FROM W, unnest(words) AS t(w) GROUP BY doi, w)",
+    "TF AS (SELECT row, doi, w AS word, count(*) AS tf FROM W, unnest(words) AS t(w) GROUP BY row, doi, w)",
     "IDF AS (SELECT word, count(*) AS df, sum(tf) AS total, "
     "ln((CAST((SELECT count(*) FROM corpus) AS DOUBLE) + 1.0) / (CAST(count(*) AS DOUBLE) + 1.0)) AS idf "
     "FROM TF GROUP BY word)",
-    "TI AS (SELECT TF.doi, TF.word, TF.tf, TF.tf * IDF.idf AS tfidf, IDF.total "
+    "TI AS (SELECT TF.row, TF.doi, TF.word, TF.tf, TF.tf * IDF.idf AS tfidf, IDF.total "
     "FROM TF JOIN IDF ON TF.word = IDF.word)",
     f"KW AS (SELECT k.doi, corpus.title, k.word AS keyword, round(k.tfidf, {T.WEIGHT_DIGITS}) AS weight, "
-    f"CAST(k.rk AS INTEGER) AS rank FROM (SELECT doi, word, tfidf, row_number() OVER (PARTITION BY doi "
-    f"ORDER BY tfidf DESC, total DESC, word) AS rk FROM TI) k JOIN corpus ON k.doi = corpus.doi "
+    f"CAST(k.rk AS INTEGER) AS rank FROM (SELECT row, doi, word, tfidf, row_number() OVER (PARTITION BY row "
+    f"ORDER BY tfidf DESC, total DESC, word) AS rk FROM TI) k JOIN corpus ON k.row = corpus.row "
     f"WHERE k.rk <= {T.TOP_KEYWORDS})",
 ]
 
 VECTOR_CTES = TEXT_CTES + [
     "VOC AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS n FROM IDF WHERE total >= 3)",
-    "WV AS (SELECT VOC.word, CAST(e.embedding AS DOUBLE[]) AS vector FROM VOC JOIN embeddings e "
+    "WV AS (SELECT VOC.word, list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x * 0.25) AS vector FROM VOC JOIN embeddings e "
     "ON e.vec_id = VOC.n % (SELECT count(*) FROM embeddings))",
     "KV AS (SELECT KW.doi, KW.title, KW.keyword, KW.weight, "
     "list_transform(WV.vector, lambda x: x * KW.weight) AS weighted FROM KW JOIN WV ON KW.keyword = WV.word)",
@@ -110,6 +111,26 @@ def tokens_no_stop(spark, sf):
     return T.token_table(T.word_lists(corpus(spark, sf), STOP))
 
 
+@register("tokens_stop_table", O.with_(*TEXT_CTES[:2])
+          + "SELECT doi, unnest(words) AS word FROM W")
+def tokens_stop_table(spark, sf):
+    """T2 against a stop table instead of a list."""
+    tokens = T.token_table(T.tokenize(corpus(spark, sf)), "seg")
+    return T.drop_stopwords(tokens, SW.stopwords_frame(spark)).select("doi", "word")
+
+
+@register("stopwords_scan", f"SELECT word FROM {SW.sql_values()} WHERE word IN "
+          "(SELECT lower(w) FROM documents, unnest(regexp_extract_all(text, '([A-Za-z]+)', 1)) AS t(w))")
+def stopwords_scan(spark, sf):
+    """S3: a stop list read from a file, restricted to the words that the
+    documents hold."""
+    path = scratch_path(spark, "stop")
+    SW.stopwords_frame(spark).write.text(path)
+    words = td.table(spark, sf, "documents").select(
+        F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("w"))
+    return SW.read_stopwords(spark, path).join(words.select(F.lower("w").alias("word")), "word", "left_semi")
+
+
 LEX_RULE = ("CASE WHEN lower(w) LIKE '%tion' OR lower(w) LIKE '%ment' OR lower(w) LIKE '%ness' THEN 'n' "
             "WHEN lower(w) LIKE '%ing' OR lower(w) LIKE '%ed' THEN 'v' "
             "WHEN lower(w) LIKE '%ly' THEN 'd' END")
@@ -146,7 +167,8 @@ def tokenize_lexicon(spark, sf):
 
 @register("term_freq", O.with_(*TEXT_CTES[:3]) + "SELECT doi, word, tf FROM TF")
 def term_freq(spark, sf):
-    return statistics(spark, sf)[2]
+    numbered = corpus(spark, sf).withColumn("row", F.monotonically_increasing_id())
+    return T.term_freq(T.word_lists(numbered, STOP)).drop("row")
 
 
 @register("idf_table", O.with_(*TEXT_CTES[:4])
@@ -172,7 +194,7 @@ def vocab_index(spark, sf):
 @register("keywords_top20", O.with_(*TEXT_CTES)
           + "SELECT doi, title, keyword, weight, rank FROM KW")
 def keywords_top20(spark, sf):
-    return fixture_keywords(spark, sf)[0]
+    return fixture_keywords(spark, sf)[0].drop("row")
 
 
 @register("keyword_vocab_join", O.with_(*TEXT_CTES) + "SELECT doi, title, keyword, weight FROM KW")
@@ -194,6 +216,17 @@ def keyword_vector_join(spark, sf):
     return kv.select("doi", "keyword", "weight", F.round(vsum, O.DP).alias("vsum"))
 
 
+@register("weighted_vectors", O.with_(*VECTOR_CTES[:9])
+          + f"SELECT doi, keyword, CAST(generate_subscripts(weighted, 1) - 1 AS INTEGER) AS dim, "
+            f"round(unnest(weighted), {O.DP}) AS value FROM KV")
+def weighted_vectors(spark, sf):
+    """Every element of the weighted keyword vectors."""
+    kw, idf = fixture_keywords(spark, sf)
+    kv = VEC.keyword_vectors(kw, td.word_vectors(spark, sf, idf.select("word", "total")))
+    return kv.select("doi", "keyword", F.posexplode("weighted").alias("dim", "value")).select(
+        "doi", "keyword", "dim", rnd("value"))
+
+
 @register("doc_vectors", O.with_(*VECTOR_CTES[:14])
           + f"SELECT doi, title, dim, round(value, {O.DP}) AS value FROM DV")
 def doc_vectors(spark, sf):
@@ -219,11 +252,24 @@ def recommend(spark, sf):
     return VEC.recommend(docs, first_doc(docs)).select("doi", "title", rnd("distance"))
 
 
-@register("recommend_lsh")
+#: Hash tables of the registered LSH queries: with buckets five times the
+#: threshold wide, a pair within it shares one of so many tables but for a
+#: chance below 1e-12, so the exact result is their twin.
+FULL_RECALL_TABLES = 16
+
+
+@register("recommend_lsh", O.with_(*VECTOR_CTES)
+          + f"SELECT doi, title, round(distance, {O.DP}) AS distance FROM DIST "
+            f"WHERE distance < {O.dbl(VEC.SIMILARITY_THRESHOLD)} AND doi <> (SELECT min(doi) FROM DVL) "
+            f"ORDER BY round(distance, {VEC.DISTANCE_TIE_DIGITS}), doi LIMIT {VEC.NEIGHBOURS}")
 def recommend_lsh(spark, sf):
-    """T9 + T10: the same request answered through the LSH index (approximate)."""
+    """T9 + T10: the same request answered through the LSH index, saved and
+    loaded before."""
     docs = cut_lineage(fixture_doc_vectors(spark, sf))
-    return VEC.recommend(docs, first_doc(docs), exact=False).select("doi", "title", rnd("distance"))
+    path = scratch_path(spark, "index")
+    VEC.save_index(VEC.build_index(docs, num_tables=FULL_RECALL_TABLES), path)
+    index = VEC.load_index(spark, path)
+    return VEC.recommend(docs, first_doc(docs), exact=False, index=index).select("doi", "title", rnd("distance"))
 
 
 @register("word2vec_vocab", O.with_(*TEXT_CTES[:4])
@@ -235,50 +281,58 @@ def word2vec_vocab(spark, sf):
     return VEC.word_vectors(model).select("word", F.size("vector").alias("dim"))
 
 
-@register("recommend_word2vec")
+@register("recommend_word2vec", O.with_(*VECTOR_CTES[:9])
+          + "SELECT (SELECT min(doi) FROM KV) AS query, true AS others_only, true AS near_only, true AS ten_at_most, "
+            "true AS with_vectors_only")
 def recommend_word2vec(spark, sf):
     """E1 end to end with trained vectors: tokens -> stop words -> Word2Vec
-    + tf-idf keywords -> document vectors -> LSH -> ten neighbours."""
+    + tf-idf keywords -> document vectors -> LSH -> ten neighbours.  The
+    vectors are trained, so facts about the neighbours are returned."""
     c, words, tf, idf = statistics(spark, sf)
     model = VEC.train_word2vec(words)
     kw = T.keywords(T.tfidf(tf, idf), c)
     docs = cut_lineage(VEC.document_vectors(VEC.keyword_vectors(kw, VEC.word_vectors(model))))
-    return VEC.recommend(docs, first_doc(docs), exact=False).select("doi", "title", rnd("distance"))
+    query = first_doc(docs)
+    found = VEC.recommend(docs, query, exact=False).join(docs.select("doi", F.lit(True).alias("known")), "doi", "left")
+    every = lambda c: F.coalesce(F.every(c), F.lit(True))
+    return found.agg(F.lit(query).alias("query"), every(F.col("doi") != query).alias("others_only"),
+                     every(F.col("distance") < VEC.SIMILARITY_THRESHOLD).alias("near_only"),
+                     (F.count("*") <= VEC.NEIGHBOURS).alias("ten_at_most"),
+                     every(F.coalesce("known", F.lit(False))).alias("with_vectors_only"))
 
 
 
 @register("vector_lookup_sql", O.with_(*VECTOR_CTES[:15])
-          + "SELECT doi, title AS search, CAST(len(vector) AS INTEGER) AS dims, "
+          + "SELECT doi, title, CAST(len(vector) AS INTEGER) AS dims, "
             f"round(list_sum(vector), {O.DP}) AS vsum FROM DVL WHERE doi = (SELECT min(doi) FROM DVL)")
 def vector_lookup_sql(spark, sf):
     """Point lookup of the query document's vector with bound SQL."""
     docs = cut_lineage(fixture_doc_vectors(spark, sf))
-    hit = VEC.lookup_vector_sql(docs, first_doc(docs))
+    hit = VEC.lookup_vector_sql(docs, first_doc(docs), "document_vectors")
     vsum = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
-    return hit.select("doi", "search", F.size("vector").alias("dims"), F.round(vsum, O.DP).alias("vsum"))
+    return hit.select("doi", "title", F.size("vector").alias("dims"), F.round(vsum, O.DP).alias("vsum"))
 
 
 @register("model_roundtrip", O.with_(*TEXT_CTES[:4])
-          + f"SELECT word, {VEC.W2V_SIZE} AS dim FROM IDF WHERE total >= {VEC.W2V_MIN_COUNT}")
+          + f"SELECT word, {VEC.W2V_SIZE} AS dim, true AS same FROM IDF WHERE total >= {VEC.W2V_MIN_COUNT}")
 def model_roundtrip(spark, sf):
-    """A fitted Word2Vec model saved to the shared checkpoint folder
-    and loaded back serves the same vocabulary."""
-    import uuid
-
-    from papyrus.session import ensure_checkpoint_dir
-    from papyrus.sources import models
-
-    words = T.word_lists(corpus(spark, sf), STOP)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/papyrus-model-{uuid.uuid4().hex}"
-    models.save_model(VEC.train_word2vec(words), path)
-    back = models.load_word2vec(path)
-    return VEC.word_vectors(back).select("word", F.size("vector").alias("dim"))
-
-
-@register("similar_lsh")
+    """A fitted Word2Vec model saved to the shared folder and loaded back
+    serves the same vectors."""
+    path = scratch_path(spark, "model")
+    model = VEC.train_word2vec(T.word_lists(corpus(spark, sf), STOP))
+    models.save_model(model, path)
+    back = VEC.word_vectors(models.load_word2vec(path)).withColumnRenamed("vector", "loaded")
+    both = VEC.word_vectors(model).join(back, "word", "full_outer")
+    return both.select("word", F.size("loaded").alias("dim"),
+                       F.coalesce(F.col("vector") == F.col("loaded"), F.lit(False)).alias("same"))
+
+
+@register("similar_lsh", O.with_(*VECTOR_CTES)
+          + f"SELECT doi, title, round(distance, {O.DP}) AS distance FROM DIST "
+            f"WHERE distance < {O.dbl(VEC.SIMILARITY_THRESHOLD)}")
 def similar_lsh(spark, sf):
     """J4 approximate: documents within distance 2.0 of the query document
-    found through the LSH buckets (a subset of ``similar_exact``)."""
+    found through the LSH buckets."""
     docs = cut_lineage(fixture_doc_vectors(spark, sf))
-    index = VEC.build_index(docs)
+    index = VEC.build_index(docs, num_tables=FULL_RECALL_TABLES)
     return VEC.similar_lsh(index, first_doc(docs)).select("doi", "title", rnd("distance"))

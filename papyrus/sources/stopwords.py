@@ -22,9 +22,6 @@ FIXTURE_STOPWORDS = (
     "yourself yourselves"
 ).split()
 
-# A stop list is collected to build an ML transformer; refuse absurd sizes.
-MAX_STOPWORDS = 1_000_000
-
 
 def read_stopwords(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
     """``(word)`` from a text file, one word per line.
@@ -42,14 +39,6 @@ def stopwords_frame(spark: SparkSession, words=FIXTURE_STOPWORDS) -> DataFrame:
     return spark.createDataFrame([(w,) for w in words], "word string")
 
 
-def stopword_list(stop: DataFrame) -> list[str]:
-    """Bring a (bounded) stop list to the driver for ``StopWordsRemover``."""
-    rows = stop.select("word").limit(MAX_STOPWORDS + 1).collect()
-    if len(rows) > MAX_STOPWORDS:
-        raise ValueError(f"stop list larger than {MAX_STOPWORDS} words")
-    return sorted({r[0] for r in rows})
-
-
 def sql_values(words=FIXTURE_STOPWORDS) -> str:
     """The list as a DuckDB/ANSI ``VALUES`` table ``sw(word)``."""
     vals = ", ".join("('" + w.replace("'", "''") + "')" for w in words)

@@ -17,10 +17,15 @@ Fixed derivation rules (must be identical in the oracle SQL):
 * papers: year ``1995 + partkey % 7`` (null when ``partkey % 13 = 0``),
   IEEE keywords ``[brand, type]`` (null when ``partkey % 7 = 0``), author
   keywords = words of the name (null when ``partkey % 11 = 0``).
+  The title is the name, for ``partkey % 3 = 0`` as ``'The <name> of it'``
+  (stop words).
 * corpus: ``'D' || doc_id``, first line of the text as title, text as
-  abstract.
+  abstract; documents ``10k + 3`` take the identifier of ``10k + 2`` (one
+  identifier, two rows), titles of ``doc_id % 17 = 0`` are null, and rows of
+  ``doc_id % 25 = 0`` occur twice.
 * word vectors: the n-th word (from 0, alphabetical) of the corpus
-  vocabulary takes the embedding ``vec_id = n % (rows of embeddings)``.
+  vocabulary takes a quarter of the embedding ``vec_id = n % (rows of
+  embeddings)``, so that documents have more than ten near neighbours.
 """
 
 from __future__ import annotations
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 DANGLING_ORDER_STEP = 500
 CITE_MIN_QUANTITY = 40
 YEAR_BASE, YEAR_SPAN = 1995, 7
-NULL_YEAR_STEP, NULL_IEEE_STEP, NULL_AUTHKW_STEP = 13, 7, 11
+NULL_YEAR_STEP, NULL_IEEE_STEP, NULL_AUTHKW_STEP, STOP_TITLE_STEP = 13, 7, 11, 3
+SAME_DOI_STEP, SAME_DOI, NULL_TITLE_STEP, TWICE_STEP = 10, 3, 17, 25
+VECTOR_SCALE = 0.25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +89,8 @@ def papers_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return p.select(
         _pid(k).alias("paper_doi"),
-        F.col("p_name").alias("title"),
+        F.when(k % STOP_TITLE_STEP == 0, F.concat(F.lit("The "), F.col("p_name"), F.lit(" of it")))
+         .otherwise(F.col("p_name")).alias("title"),
         F.col("p_brand").alias("publishedby"),
         F.when(k % NULL_IEEE_STEP == 0, F.lit(None).cast("array<string>"))
          .otherwise(F.array(F.col("p_brand"), F.col("p_type"))).alias("ieee_keywords"),
@@ -125,10 +133,12 @@ def papers(spark: SparkSession, sf_dir: str, with_refs: bool = True) -> DataFram
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw corpus rows ``(doi, title, abstract)`` before cleaning."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("doi"),
-                    F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"),
-                    F.col("text").alias("abstract"))
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    number = F.when(k % SAME_DOI_STEP == SAME_DOI, k - 1).otherwise(k)
+    title = F.when(k % NULL_TITLE_STEP != 0, F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))
+    times = F.explode(F.sequence(F.lit(1), F.when(k % TWICE_STEP == 0, 2).otherwise(1)))
+    return d.select(F.concat(F.lit("D"), number.cast("string")).alias("doi"), title.alias("title"),
+                    F.col("text").alias("abstract"), times.alias("n")).drop("n")
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,4 +163,4 @@ def word_vectors(spark: SparkSession, sf_dir: str, word_counts: DataFrame,
     emb = embeddings(spark, sf_dir)
     rows = emb.count()
     return (vocab.join(emb, (F.col("n") % F.lit(rows)) == F.col("vec_id"))
-            .select("word", "vector"))
+            .select("word", F.transform("vector", lambda x: x * VECTOR_SCALE).alias("vector")))
