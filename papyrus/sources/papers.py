@@ -2,7 +2,7 @@
 
 The reference pulled the papers through pandas on the driver; here the
 table is read by the executors: parquet/ORC files, a catalog table, or a
-relational database over JDBC split into parallel range reads.
+relational database over JDBC split into ranges of the key.
 """
 
 from __future__ import annotations
@@ -25,21 +25,24 @@ def read_papers(spark: SparkSession, path: str | None = None, table: str | None
     return df.select(*(columns or PAPER_COLUMNS))
 
 
+def key_ranges(column: str, bounds: list[str]) -> list[str]:
+    """Predicates that cut a text key into ranges at ``bounds``: every row
+    with a key is in exactly one, rows without a key in the last."""
+    quoted = ["'" + b.replace("'", "''") + "'" for b in sorted(set(bounds))]
+    if not quoted:
+        return [f"{column} IS NOT NULL", f"{column} IS NULL"]
+    inner = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(quoted, quoted[1:])]
+    return [f"{column} < {quoted[0]}", *inner, f"{column} >= {quoted[-1]}", f"{column} IS NULL"]
+
+
 def read_papers_jdbc(spark: SparkSession, url: str, dbtable: str, properties: dict[str, str],
-                     partition_column: str, lower_bound: int, upper_bound: int,
-                     num_partitions: int, columns: list[str] | None = None) -> DataFrame:
-    """Papers from a database over JDBC, read by ``num_partitions`` tasks
-    in parallel ranges of a numeric ``partition_column``.  Credentials come
-    from the caller's ``properties``; nothing is hard-coded.  Array columns
-    map to Spark arrays where the driver supports them (e.g. Postgres)."""
-    reader = (spark.read.format("jdbc")
-              .option("url", url).option("dbtable", dbtable)
-              .option("partitionColumn", partition_column)
-              .option("lowerBound", str(lower_bound)).option("upperBound", str(upper_bound))
-              .option("numPartitions", str(num_partitions)))
-    for k, v in properties.items():
-        reader = reader.option(k, v)
-    return reader.load().select(*(columns or PAPER_COLUMNS))
+                     bounds: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Papers from a database over JDBC, one task for each range of the text
+    key between ``bounds`` (see :func:`key_ranges`).  Credentials come from
+    the caller's ``properties``; nothing is hard-coded.  Array columns map to
+    Spark arrays where the driver supports them."""
+    table = spark.read.jdbc(url, dbtable, predicates=key_ranges("paper_doi", bounds), properties=properties)
+    return table.select(*(columns or PAPER_COLUMNS))
 
 
 def read_authors(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -30,5 +30,7 @@ def read_cluster(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ranks(df: DataFrame, path: str) -> None:
-    """Write a rank table as CSV with header (one file per task)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Write a rank table as the readers above expect it: CSV with header
+    and a leading index column (unique, not dense), one file per task."""
+    numbered = df.select(F.monotonically_increasing_id().alias("idx"), "*")
+    numbered.write.mode("overwrite").option("header", True).csv(path)
