@@ -183,3 +183,41 @@ def repetition(text):
         seen.add(line)
     failed = len(words) < 10 or 100 * len(inside) > 20 * len(words)
     return (len(words), sum(len(w.decode()) for w in words), sum(c in b"#*$%&|<>" for c in raw), lines, len(inside), failed)
+
+
+def verdict(text):
+    """Base rules and repetition coverage, word by word."""
+    words = [w.decode() for w in WORD.findall(data(text))]
+    total = max(1, sum(map(len, words)))
+    if repetition(text)[-1]:
+        return False
+    for n, limit in {5: 150, 6: 145, 7: 140, 8: 135, 9: 130, 10: 125}.items():
+        seen, inside = set(), set()
+        for k in range(len(words) - n + 1):
+            gram = tuple(words[k:k + n])
+            if gram in seen:
+                inside.update(range(k, k + n))
+            seen.add(gram)
+        if 1000 * sum(len(words[k]) for k in inside) // total > limit:
+            return False
+    seen, again = set(), 0
+    for line in data(text).split(b"\n"):
+        if line in seen:
+            again += sum(len(w.decode()) for w in WORD.findall(line))
+        seen.add(line)
+    return 1000 * again // total <= 200
+
+
+ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+
+
+def masked(text):
+    spans = [m.span() for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+    spans += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    spans += [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    out, at = "", 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]

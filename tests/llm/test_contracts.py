@@ -9,6 +9,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from papyrus.llm import bpe, decontaminate, line_dedup, ngram_lm, quality, run_index, secrets, simhash, token_files, wrappers
+from papyrus.session import scratch_path
 from tests.llm import cases as C
 
 ROWS = C.corpus()
@@ -193,7 +194,7 @@ def test_quality_rejects_repeated_lines_that_the_base_rule_lets_pass():
 
 
 def test_token_files(spark, docs, nothing):
-    path = token_files.scratch_path(spark)
+    path = scratch_path(spark, "tokens")
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     token_files.write_tokens(docs, path, vocabulary, public_tokenizers.PATTERN, shard_ids=500)
     got = token_files.crc(token_files.read_tokens(spark, path)).collect()
@@ -210,7 +211,7 @@ def test_token_files(spark, docs, nothing):
     assert not any(want.values())
     ids = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert ids == sorted(ids, key=lambda i: (i is None, i or 0))
-    empty = token_files.scratch_path(spark)
+    empty = scratch_path(spark, "tokens")
     token_files.write_tokens(nothing, empty, vocabulary, public_tokenizers.PATTERN)
     assert token_files.read_tokens(spark, empty).collect() == []
 
