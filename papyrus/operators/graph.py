@@ -135,10 +135,11 @@ SLICE_EDGES = 100_000
 class SlicedEdges(NamedTuple):
     """Edges for repeated joins on ``src``: a vertex with more than a slice
     of distinct edges has them dealt over several slices.  ``hubs`` are the
-    vertices with more than one slice (at most ``|E| / slice`` rows)."""
+    vertices with more than one slice (at most ``|E| / slice`` rows), or None
+    where all edges of every vertex fit one."""
 
-    table: DataFrame  # src, slice, dst, ...
-    hubs: DataFrame   # src, slices
+    table: DataFrame        # src, dst, ... and slice where there are hubs
+    hubs: DataFrame | None  # src, slices
 
     @classmethod
     def of(cls, edges: DataFrame, slice_edges: int | None = None) -> "SlicedEdges":
@@ -147,6 +148,9 @@ class SlicedEdges(NamedTuple):
         degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
         hubs = cut_lineage(degree.filter(F.col("n") > size)
                            .select("src", F.ceil(F.col("n") / size).cast("int").alias("slices")))
+        if hubs.isEmpty():
+            release(hubs)
+            return cls(edges, None)
         deal = F.pmod(F.xxhash64("dst"), F.coalesce(F.col("slices"), F.lit(1))).cast("int")
         table = cut_lineage(edges.join(hubs, "src", "left").withColumn("slice", deal).drop("slices"))
         release(edges)
@@ -155,6 +159,8 @@ class SlicedEdges(NamedTuple):
     def meet(self, state: DataFrame, key: str) -> DataFrame:
         """Inner join of ``state`` on ``key = src``, its rows repeated for
         every slice of their vertex."""
+        if self.hubs is None:
+            return state.join(self.table.withColumnRenamed("src", key), key)
         hubs = self.hubs.select(F.col("src").alias(key), "slices")
         last = F.coalesce(F.col("slices"), F.lit(1)) - 1
         dealt = (state.join(hubs, key, "left")
