@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding in padded numpy matrices.
 
-A text is split by the vocabulary's pattern; each distinct piece of a task is
-encoded once.  Pieces of similar length form the rows of a padded matrix of
+A text is split by the vocabulary's pattern; each distinct piece is encoded
+once for many texts.  Pieces of similar length form the rows of a padded matrix of
 token ids.  Every round looks up the ranks of neighbouring pairs in a hashed
 table, merges the leftmost pair of minimum rank in every row, and compacts
 the matrix; rows without a pair leave it.  A piece that is itself in the
@@ -33,8 +33,10 @@ BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 LONG = BUCKETS[-1]
 CELLS = 1 << 20
 PIECES = 1 << 18
-#: Distinct pieces that a worker remembers before it starts anew.
+#: Distinct chunks that a worker remembers before it starts anew.
 MEMORY = 1 << 19
+#: Marks a chunk that no space precedes; other chunks do not start with it.
+BARE = " "
 NONE = np.int32(np.iinfo(np.int32).max)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,6 +97,16 @@ class Vocabulary:
         left, right, merged = (np.array(x, dtype=np.int32) for x in (left, right, merged))
         self.pairs = PairTable(left, right, merged)
 
+    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+        """The ids of each chunk: those of its pieces, every distinct piece
+        encoded once."""
+        split = [self.pattern.findall(c) for c in chunks]
+        distinct = list({p for pieces in split for p in pieces})
+        ids = dict(zip(distinct, self.encode_pieces(distinct), strict=True))
+        empty = np.zeros(0, dtype=np.int32)
+        return [ids[pieces[0]] if len(pieces) == 1 else np.concatenate([ids[p] for p in pieces]) if pieces else empty
+                for pieces in split]
+
     def encode_pieces(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [t.encode() for t in texts]
         out: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]
@@ -172,8 +184,12 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of pieces seen before.  ``vocab``
-    has the ``pattern`` that splits a text and ``encode_pieces``."""
+    """Encodes texts, remembering the ids of chunks seen before.
+
+    A chunk is what stands between two spaces, with the space before it.  No
+    piece of the pattern crosses the start of a chunk, unless two spaces
+    follow each other; such texts are split by the pattern itself.  ``vocab``
+    has the ``pattern`` and ``encode_chunks``."""
 
     def __init__(self, vocab):
         self.vocab = vocab
@@ -185,43 +201,66 @@ class Encoder:
         self.count = np.zeros(0, dtype=np.int64)
         self.at = np.zeros(0, dtype=np.int64)
 
-    def _blocks(self, texts: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
-        """(text, pieces) in blocks of bounded size; long texts come in parts."""
-        block: list[tuple[int, list[str]]] = []
-        for d, text in enumerate(texts):
-            if len(text) <= X.SLICE_BYTES:
-                block.append((d, self.vocab.pattern.findall(text)))
-                continue
+    def _chunks(self, text: str) -> Iterator[list[str]]:
+        """The chunks of a text, each without the space before it; one that
+        has none starts with a mark."""
+        if "  " in text:
             found = (m.group() for m in self.vocab.pattern.finditer(text))
             while pieces := list(islice(found, PIECES)):
-                yield [(d, pieces)]
-        yield block
+                yield [p[1:] if p[0] == " " and p[1:2] != " " else BARE + p for p in pieces]
+            return
+        at = 0
+        while at <= len(text):
+            # a long text in parts that end before a space
+            to = text.find(" ", at + X.SLICE_BYTES)
+            part = text[at:] if to < 0 else text[at:to]
+            parts = part.split(" ")
+            if not at:
+                parts[0] = BARE + parts[0]
+            yield parts
+            if to < 0:
+                return
+            at = to + 1
+
+    def _blocks(self, texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+        """(chunks per text, chunks) in blocks of bounded size: all short
+        texts at once, long ones in parts."""
+        counts, block = [0] * len(texts), []
+        for d, text in enumerate(texts):
+            for part in self._chunks(text):
+                if counts[d]:
+                    yield counts, block
+                    counts, block = [0] * len(texts), []
+                counts[d] = len(part)
+                block += part
+        yield counts, block
+
+    def _learn(self, new: list[str]) -> None:
+        ids = self.vocab.encode_chunks([c[1:] if c[:1] == BARE else " " + c for c in new])
+        count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.flat = np.concatenate([self.flat, *ids])
+        base = len(self.known)
+        self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts: list[list[np.ndarray]] = [[] for _ in texts]
-        for block in self._blocks(texts):
-            pieces = [p for _, some in block for p in some]
+        for counts, chunks in self._blocks(texts):
             if len(self.known) > MEMORY:
                 self._forget()
-            new = list(set(pieces) - self.known.keys())
-            if new:
-                ids = self.vocab.encode_pieces(new)
-                count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-                self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(count) - count])
-                self.count = np.concatenate([self.count, count])
-                self.flat = np.concatenate([self.flat, *ids])
-                base = len(self.known)
-                self.known.update(zip(new, range(base, base + len(new)), strict=True))
-            which = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+            if new := list(set(chunks).difference(self.known)):
+                self._learn(new)
+            which = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
             n = self.count[which]
             ends = np.cumsum(n)
-            ids = self.flat[np.repeat(self.at[which] - (ends - n), n) + np.arange(n.sum())]
-            ends = np.concatenate([[0], ends])
-            piece = 0
-            for d, some in block:
-                parts[d].append(ids[ends[piece]:ends[piece + len(some)]])
-                piece += len(some)
-        return [np.concatenate(p) if p else np.zeros(0, dtype=np.int32) for p in parts]
+            total = int(ends[-1]) if len(ends) else 0
+            ids = self.flat[np.repeat(self.at[which] - (ends - n), n) + np.arange(total)]
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+            for d, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if counts[d]:
+                    parts[d].append(ids[a:b])
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, dtype=np.int32) for p in parts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocab.tokens.__getitem__, ids.tolist()))

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyrus.llm import texts as X
-from papyrus.session import cut_lineage, ensure_checkpoint_dir
+from papyrus.session import cut_lineage, scratch_path
 
 FOLDS, HELD_OUT = 7, 2
 END, START = 1 << 16, 2 << 16
@@ -49,7 +49,7 @@ HOT = 1024
 #: Training tokens (words) per file of pairs (words).
 BUCKET_TOKENS, BUCKET_WORDS = 1 << 21, 1 << 18
 #: Tokens that a task gathers before it sends their pairs.
-GATHER = 3 << 20
+GATHER = 2 << 20
 SLICE = 4 << 20
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.frombuffer(X.LOWER_AZ, dtype=np.uint8)
@@ -262,7 +262,7 @@ def held_out(id_col: str) -> Column:
 def train_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Learn from the documents that are not held out; the model's folder."""
     spark = docs.sparkSession
-    folder = f"{_local(ensure_checkpoint_dir(spark)).rstrip('/')}/papyrus-lm-{uuid.uuid4().hex}"
+    folder = _local(scratch_path(spark, "lm"))
     os.makedirs(folder)
     train = docs.where(~held_out(id_col)).select(F.col(text_col).cast("string"))
 

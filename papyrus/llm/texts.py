@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
@@ -181,7 +180,3 @@ def sha256(data: bytes) -> str:
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-__all__ = ["LOWER_AZ", "SLICE_BYTES", "F", "T", "Words", "as_bytes", "field", "fresh", "filter_texts", "gram_hashes", "mix",
-           "per_text", "range_hashes", "read", "sha256", "slices"]

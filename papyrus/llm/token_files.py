@@ -20,7 +20,6 @@ writes no shard; other columns are not read.
 
 from __future__ import annotations
 
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -33,17 +32,18 @@ from pyspark.sql import types as T
 
 from papyrus.llm import texts as X
 from papyrus.llm.bpe import Encoder
-from papyrus.session import ensure_checkpoint_dir
 
 SHARD_IDS = 1 << 20
 END = 0
 #: First nonterminal; ids are below it.
 BASE = 1 << 17
 #: A pair becomes a rule from this count on.
-FREQUENT = 16
+FREQUENT = 64
 #: Rules of one round, and the share of symbols below which rounds stop.
-ROUND_RULES = 1 << 12
-LEAST_GAIN = 0.03
+ROUND_RULES = 1 << 13
+LEAST_GAIN = 0.08
+#: Chunks that go through one call of the library.
+CALL = 1 << 10
 _SLOTS = 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,7 +146,7 @@ def unpack(planes: bytes) -> np.ndarray:
 # ----------------------------------------------------------------- encoder
 
 class Library:
-    """The tokenizers library behind the piece cache of :class:`Encoder`."""
+    """The tokenizers library behind the cache of :class:`Encoder`."""
 
     def __init__(self, path: str, pattern: str):
         import os
@@ -155,12 +155,25 @@ class Library:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pattern = regex.compile(pattern)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        self.stop = next(((t.content, i) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)), None)
 
-    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, dtype=np.int32) for f in found]
 
+    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+        """Many chunks go through one call, with a special token between
+        them, where the library splits before anything else."""
+        if self.stop is None:
+            return self.whole(chunks)
+        mark, number = self.stop
+        joined = [mark.join([*chunks[k:k + CALL], ""]) for k in range(0, len(chunks), CALL)]
+        ids = np.concatenate(self.whole(joined))
+        ends = np.flatnonzero(ids == number).tolist()
+        return [ids[a + 1:b] for a, b in zip([-1, *ends[:-1]], ends, strict=True)]
+
 
 class LibraryEncoder(Encoder):
     """Ids as the library gives them for the whole text: a text that spells
@@ -171,7 +184,7 @@ class LibraryEncoder(Encoder):
         ids = super().encode(plain)
         for d, (text, cut) in enumerate(zip(texts, plain, strict=True)):
             if text is not cut:
-                ids[d] = self.vocab.encode_pieces([text])[0]
+                ids[d] = self.vocab.whole([text])[0]
         return ids
 
 
@@ -259,11 +272,11 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
                     names=schema.names)
 
     found = shards.select("part", "start", "ids", "ends", "rules", "symbols").mapInArrow(run, schema)
-    # one row per written part: what comes before it
+    # one row per written part, so it is as small as the number of tasks: what comes before it
     totals = shards.groupBy("part").agg(F.max(F.col("start") + F.element_at("ends", -1)).alias("size"))
     before = totals.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    return found.join(before, "part").select(id_col, (F.col("inside") + F.col("before")).alias("start"),
-                                             "n_tokens", "tokens")
+    return found.join(F.broadcast(before), "part").select(
+        id_col, (F.col("inside") + F.col("before")).alias("start"), "n_tokens", "tokens")
 
 
 def crc(tokens: DataFrame) -> DataFrame:
@@ -271,9 +284,5 @@ def crc(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("ids_crc32", F.crc32("tokens"))
 
 
-def scratch_path(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/papyrus-tokens-{uuid.uuid4().hex}"
-
-
-__all__ = ["compress", "crc", "decode_range", "expand", "expansions", "pack", "read_tokens", "scratch_path",
+__all__ = ["compress", "crc", "decode_range", "expand", "expansions", "pack", "read_tokens",
            "unpack", "write_tokens"]

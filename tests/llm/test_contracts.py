@@ -57,6 +57,24 @@ def test_run_index_marks_as_a_scan_does():
             assert want == marked.tolist()
 
 
+def test_large_anchor_groups_are_marked_by_parts(monkeypatch):
+    passage = C.prose(C.random.Random(3), 40, 4000)
+    rows = [(k, C.prose(C.random.Random(50 + k % 30), 12, 3000) + " " + passage + " " + C.prose(C.random.Random(k), 9, 3000))
+            for k in range(60)]
+    monkeypatch.setattr(run_index, "BATCH_BYTES", 700)
+    texts = [t.encode() for _, t in rows]
+    text, first, count, offset, anchor = run_index.segments(texts)
+    groups = {}
+    for d, f, c, o, a in zip(*(x.tolist() for x in (text, first, count, offset, anchor))):
+        groups.setdefault(a, []).append((texts[d][f:f + c + 99], o))
+    large = [g for g in groups.values() if sum(len(p) for p, _ in g) > 4000]
+    assert large
+    for group in large:
+        distinct = dict(group)
+        got = run_index.mark_by_parts(list(distinct), list(distinct.values()))
+        assert [x.tolist() for x in got] == [x.tolist() for x in run_index.mark(list(distinct))]
+
+
 def test_matching_statistics_are_those_of_the_sorted_suffixes():
     text = np.frombuffer(b"abracadabra\x00abracadabra\x00\x00cad", dtype=np.uint8)
     index = run_index.RunIndex.build(text)
