@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrus.llm import texts as X
+from papyrus.session import cut_lineage
 
 MIN_WORDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,8 +46,10 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, lines): the numbers of the lines that each document loses."""
     every = units(docs, id_col, text_col, min_words)
-    first = (every.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
-             .where("n > 1").select("digest", "first"))
+    # written, so that the join's sides are plain shuffles, which adaptive
+    # execution can split where one digest has very many occurrences
+    first = cut_lineage(every.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+                        .where("n > 1").select("digest", "first"))
     lost = every.join(first, "digest").where(F.col("rank") > F.col("first"))
     return lost.groupBy(F.col("rank")["id"].alias("id")).agg(F.collect_set(F.col("rank")["line"]).alias("lines"))
 
