@@ -15,8 +15,8 @@ statistics stream over the text (length and source of the match of every
 position); sources with long matches form classes of equal windows, of which
 all but the earliest are marked.
 
-Defined results: a null text counts as empty; a null id ranks after all
-others; rows that repeat an id are told apart by the hash of their text, and
+Defined results: a null text counts as empty; rows without an id rank after
+all others (ids are below 2^62), in order of a hash; rows that repeat an id are told apart by the hash of their text, and
 equal rows share one result, none being earlier than the other; an empty
 table gives an empty result; other columns are not read.
 """
@@ -28,20 +28,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrus.llm import texts as X
+from papyrus.session import cut_lineage
 
 LENGTH = 100
 GRAM = 32
-#: Bytes of segments that one index is built over (one anchor, if longer).
+#: Bytes of segments that one index is built over.
 BATCH_BYTES = 1 << 20
 #: Segments that a task remembers to send equal ones once.
 MEMORY = 1 << 18
 _CHUNK = 1 << 19
-_LAST = (1 << 63) - 1
+#: Ranks of rows without an id start here and follow the hash.
+_NULLS = 1 << 62
 
 
 # ----------------------------------------------------------------- anchors
@@ -205,6 +208,51 @@ def mark(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     return [np.flatnonzero(later[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
+def mark_by_parts(pieces: list[bytes], spots: list[int], length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
+    """:func:`mark` for the distinct pieces of one anchor, which stands at
+    ``spots`` in them, of any total size.  Windows are parted by where they
+    have the anchor, and by the bytes that all windows of a part have to the
+    left or right of it: equal windows stay together, and a part is cut
+    further until an index of bounded size holds it."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in pieces]
+    work = [[(i, 0, len(p) - length) for i, p in enumerate(pieces)]]
+    while work:
+        texts: dict[bytes, tuple[int, int, int]] = {}
+        for i, a, b in work.pop():
+            text = pieces[i][a:b + length]
+            if text in texts:
+                out[i].append(np.arange(a, b + 1))
+            else:
+                texts[text] = (i, a, b)
+        if sum(map(len, texts)) <= BATCH_BYTES:
+            for (i, a, _), windows in zip(texts.values(), mark(list(texts), length), strict=True):
+                out[i].append(a + windows)
+            continue
+        low = min(spots[i] - b for i, _, b in texts.values())
+        high = max(spots[i] - a for i, a, _ in texts.values())
+        if low == high:  # single windows, and all of them differ
+            continue
+        middle = (low + high + 1) // 2
+        groups: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+        for i, a, b in texts.values():
+            at, last = spots[i], spots[i] - middle
+            if a <= last:
+                groups.setdefault((0, pieces[i][at - middle:at]), []).append((i, a, min(b, last)))
+            if b > last:
+                right = pieces[i][at + gram:at + length - middle + 1]
+                groups.setdefault((1, right), []).append((i, max(a, last + 1), b))
+        part, size = [], 0
+        for group in groups.values():
+            own = sum(b - a + length for _, a, b in group)
+            if part and size + own > BATCH_BYTES:
+                work.append(sorted(part))
+                part, size = [], 0
+            part += group
+            size += own
+        work.append(sorted(part))
+    return [np.sort(np.concatenate(o)) for o in out]
+
+
 def runs(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Byte ranges that the windows cover, touching ones joined."""
     if not len(windows):
@@ -216,103 +264,165 @@ def runs(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 # ------------------------------------------------------------------- spark
 
-_KEY = [T.StructField("rank", T.LongType()), T.StructField("hash", T.LongType())]
-_LIGHT = T.StructType([T.StructField("anchor", T.LongType()), *_KEY, T.StructField("segment", T.LongType())])
-_PIECE = T.StructType([T.StructField("anchor", T.LongType()), *_KEY, T.StructField("start", T.LongType()),
-                       T.StructField("piece", T.BinaryType()), T.StructField("size", T.IntegerType())])
-_SPAN = T.StructType([*_KEY, T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+_LIGHT = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("rank", T.LongType()),
+                       T.StructField("segment", T.LongType())])
+_PIECE = T.StructType([*_LIGHT, T.StructField("piece", T.BinaryType())])
+_SPAN = T.StructType([T.StructField("rank", T.LongType()), T.StructField("tag", T.IntegerType()),
+                      T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+#: A segment as one integer: bits of its row's hash (rows that repeat an id
+#: are told apart by them), first window, number of windows, anchor's offset.
+_TAG, _FIRST, _COUNT = 50, 14, 7
+_TAG_MASK, _FIRST_MASK, _SMALL = (1 << 13) - 1, (1 << 36) - 1, 127
+#: Bits of an anchor's hash that do not travel.  Anchors that then fall
+#: together share a shard and nothing else.
+_SHORT = 16
+
+
+#: Never null, so that no join adds a filter and both read one shuffle.
+_PACKED = T.StructType([T.StructField("rank", T.LongType(), False), T.StructField("hash", T.LongType(), False),
+                        T.StructField("packed", T.BinaryType(), False)])
+
+
+def _pack(batches):
+    """Texts compressed for the one shuffle that they take."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for part in X.slices(batches, 2):
+        packed = pa.array([squeeze(t) for t in X.as_bytes(part.column(2))], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), packed], names=_PACKED.names)
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    loosen = zstandard.ZstdDecompressor().decompress
+    return [loosen(b) for b in column.to_pylist()]
 
 
 def _anchors(length: int, gram: int):
     def run(batches):
         for part in X.slices(batches, 2):
             text, first, count, offset, anchor = segments(X.as_bytes(part.column(2)), length, gram)
-            keys = [part.column(k).take(pa.array(text)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), *keys, pa.array((first << 16) | (count << 8) | offset)], names=_LIGHT.names)
+            rank = part.column(0).take(pa.array(text))
+            tag = part.column(1).to_numpy()[text] >> 8 & _TAG_MASK
+            packed = (tag << _TAG) | (first << _FIRST) | (count << _COUNT) | offset
+            yield pa.RecordBatch.from_arrays([pa.array(anchor >> _SHORT), rank, pa.array(packed)], names=_LIGHT.names)
     return run
 
 
-def _pieces(length: int):
+def _hash_at(text: bytes, spots: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of the grams at rising positions of one text."""
+    buf = np.frombuffer(text, dtype=np.uint8)
+    out = np.empty(len(spots), dtype=np.uint64)
+    for at in range(0, len(buf), _CHUNK):
+        a, b = np.searchsorted(spots, [at, at + _CHUNK])
+        if a < b:
+            out[a:b] = X.gram_hashes(buf[at:at + _CHUNK + gram - 1], gram)[spots[a:b] - at]
+    return out.view(np.int64)
+
+
+def _pieces(length: int, gram: int):
     """Segments by their anchors.  Rows come in document order, so a segment
     that the task has sent before is a later one, whose bytes all go."""
     def run(batches):
         sent: set[bytes] = set()
         for part in X.slices(batches, 2):
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(4)]
             ranks, hashes = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for d, (text, found) in enumerate(zip(X.as_bytes(part.column(2)), part.column(3).to_pylist(), strict=True)):
-                for packed, anchor in sorted((f["segment"], f["anchor"]) for f in found):
-                    start, count = packed >> 16, packed >> 8 & 255
-                    piece = text[start:start + count - 1 + length]
+            wanted = part.column(3)
+            for d, text in enumerate(_unpacked(part.column(2))):
+                packed = np.sort(wanted[d].values.to_numpy())
+                packed = packed[packed >> _TAG == (hashes[d] >> 8 & _TAG_MASK)]
+                starts, sizes = packed >> _FIRST & _FIRST_MASK, (packed >> _COUNT & _SMALL) - 1 + length
+                fits = starts + sizes <= len(text)
+                starts, sizes, packed = starts[fits], sizes[fits], packed[fits]
+                anchors = _hash_at(text, starts + (packed & _SMALL), gram) >> _SHORT
+                for start, size, anchor, segment in zip(starts.tolist(), sizes.tolist(), anchors.tolist(), packed.tolist(),
+                                                        strict=True):
+                    piece = text[start:start + size]
                     digest = hashlib.blake2b(piece, digest_size=16).digest()
                     again = digest in sent
                     if not again:
                         if len(sent) >= MEMORY:
                             sent.clear()
                         sent.add(digest)
-                    for column, value in zip(columns, (anchor, ranks[d], hashes[d], start, None if again else piece,
-                                                       len(piece)), strict=True):
+                    for column, value in zip(columns, (anchor, ranks[d], segment, None if again else piece), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.binary(), pa.int32()), strict=True)],
+                [pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.binary()), strict=True)],
                 names=_PIECE.names)
     return run
 
 
-def _marked(length: int):
-    """Rows of whole anchors in document order to the byte ranges they lose."""
-    def spans(rows):
-        first: dict[bytes, int] = {}
-        out = []
-        for row in rows:
-            if row[4] is None or row[4] in first:
-                out.append((row[1], row[2], row[3], row[3] + row[5]))
+def _marked(length: int, gram: int):
+    """Rows in order of anchor and document to the byte ranges they lose."""
+    def spans(rows, large=False):
+        seen: set[bytes] = set()
+        out, kept = [], []
+        for _, rank, segment, piece in rows:
+            where = rank, segment >> _TAG, segment >> _FIRST & _FIRST_MASK
+            if piece is None or piece in seen:
+                out.append((*where, where[2] + (segment >> _COUNT & _SMALL) - 1 + length))
             else:
-                first[row[4]] = len(first)
-                row[6] = True
-        kept = [r for r in rows if r[6]]
+                seen.add(piece)
+                kept.append((where, piece, segment & _SMALL))
         if len(kept) > 1:
-            for row, windows in zip(kept, mark([r[4] for r in kept], length), strict=True):
-                out += [(row[1], row[2], row[3] + a, row[3] + b) for a, b in runs(windows, length)]
+            pieces = [k[1] for k in kept]
+            found = mark_by_parts(pieces, [k[2] for k in kept], length, gram) if large else mark(pieces, length)
+            for ((rank, tag, start), *_), windows in zip(kept, found, strict=True):
+                out += [(rank, tag, start + a, start + b) for a, b in runs(windows, length)]
         return pa.RecordBatch.from_arrays(
-            [pa.array([o[k] for o in out], pa.int64()) for k in range(4)], names=_SPAN.names)
+            [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
+            names=_SPAN.names)
 
-    def run(batches):
-        rows: list[list] = []
-        size = 0
+    def groups(batches):
+        rows: list[tuple] = []
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= BATCH_BYTES and rows[-1][0] != values[0]:
-                    yield spans(rows)
-                    rows, size = [], 0
-                rows.append([*values, False])
-                size += len(values[4] or b"")
+                if rows and rows[-1][0] != values[0]:
+                    yield rows
+                    rows = []
+                rows.append(values)
         if rows:
-            yield spans(rows)
+            yield rows
+
+    def run(batches):
+        held: list[tuple] = []
+        size = 0
+        for rows in groups(batches):
+            own = sum(len(r[3] or b"") for r in rows)
+            if own > BATCH_BYTES:
+                yield spans(rows, large=True)
+                continue
+            if size + own > BATCH_BYTES:
+                yield spans(held)
+                held, size = [], 0
+            held += rows
+            size += own
+        if held:
+            yield spans(held)
     return run
 
 
-def removed_spans(base: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(rank, hash, spans) of the documents (rank, hash, text) that lose
-    bytes; spans may overlap."""
+def removed_spans(base: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(rank, spans) of the documents (rank, hash, text) that lose bytes;
+    ``packed`` are the same with their texts packed:
+    tag, start and stop of ranges, which may overlap."""
     light = base.mapInArrow(_anchors(length, gram), _LIGHT)
-    again = light.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = (light.join(again, "anchor").groupBy("rank", "hash")
-              .agg(F.collect_set(F.struct("segment", "anchor")).alias("found")))
-    pieces = (base.join(wanted, ["rank", "hash"]).select("rank", "hash", "text", "found")
-              .sortWithinPartitions("rank", "hash").mapInArrow(_pieces(length), _PIECE))
-    marked = (pieces.repartition("anchor").sortWithinPartitions("anchor", "rank", "hash", "start")
-              .mapInArrow(_marked(length), _SPAN))
-    return marked.groupBy("rank", "hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # written, so that the join's sides are plain shuffles, which adaptive
+    # execution can split where one anchor has very many occurrences
+    again = cut_lineage(light.groupBy("anchor").count().where("count > 1").select("anchor"))
+    wanted = light.join(again, "anchor").groupBy("rank").agg(F.collect_set("segment").alias("wanted"))
+    pieces = (packed.join(wanted, "rank").select("rank", "hash", "packed", "wanted")
+              .sortWithinPartitions("rank", "hash").mapInArrow(_pieces(length, gram), _PIECE))
+    marked = (pieces.repartition("anchor").sortWithinPartitions("anchor", "rank", "segment")
+              .mapInArrow(_marked(length, gram), _SPAN))
+    return marked.groupBy("rank").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
 
 
 FIELDS = [X.field("n_bytes", "long"), X.field("spans", "binary"), X.field("kept", "binary")]
 
 
-def _joined(spans: list[dict] | None) -> list[tuple[int, int]]:
+def _joined(spans: list[dict] | None, hash_: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for start, stop in sorted((s["start"], s["stop"]) for s in spans or ()):
+    for start, stop in sorted((s["start"], s["stop"]) for s in spans or () if s["tag"] == hash_ >> 8 & _TAG_MASK):
         if out and start <= out[-1][1]:
             out[-1] = out[-1][0], max(stop, out[-1][1])
         else:
@@ -324,23 +434,34 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Per document: n_bytes, spans (start and stop of each maximal removed
     run in bytes, unsigned 64-bit little-endian), kept (the other bytes)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col), F.lit(_LAST)).cast("long").alias("rank"),
-                       F.xxhash64(text).alias("hash"), text.alias("text"), F.col(id_col).alias("id"))
-    lost = removed_spans(base.select("rank", "hash", "text"), length)
-    both = base.select("rank", "hash", "text", "id").join(lost, ["rank", "hash"], "left").select("id", "text", "spans")
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType, True), *FIELDS])
-
-    def run(batches):
-        for part in X.slices(batches, 1):
-            sizes, cuts, kept = [], [], []
-            for text, spans in zip(X.as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
-                joined = _joined(spans)
-                edges = [0, *(x for s in joined for x in s), len(text)]
-                sizes.append(len(text))
-                cuts.append(np.array(joined, dtype="<u8").tobytes())
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(cuts, pa.binary()), pa.array(kept, pa.binary())],
-                names=schema.names)
-
-    return both.mapInArrow(run, schema)
+    # the lowest bit of the hash tells a null id; both joins read the same
+    # three columns, so one shuffle of the texts serves them
+    hash_ = F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(F.isnull(id_col).cast("long"))
+    rank = F.coalesce(F.col(id_col).cast("long"), hash_.bitwiseAND(F.lit(_NULLS - 1)).bitwiseOR(F.lit(_NULLS)))
+    base = docs.select(rank.alias("rank"), hash_.alias("hash"),
+                       text.alias("text"))
+    packed = base.mapInArrow(_pack, _PACKED)
+    lost = removed_spans(base, packed, length)
+    id_type = docs.schema[id_col].dataType
+    both = (packed.join(lost, "rank", "left").select("rank", "hash", "packed", "spans")
+            .mapInArrow(_cut, _CUT))
+    id_ = F.when(F.col("hash").bitwiseAND(F.lit(1)) == 0, F.col("rank")).cast(id_type)
+    return both.select(id_.alias(id_col), *(f.name for f in FIELDS))
+
+
+_CUT = T.StructType([T.StructField("rank", T.LongType()), T.StructField("hash", T.LongType()), *FIELDS])
+
+
+def _cut(batches):
+    for part in X.slices(batches, 2):
+        sizes, cuts, kept = [], [], []
+        for text, hash_, spans in zip(_unpacked(part.column(2)), part.column(1).to_pylist(), part.column(3).to_pylist(),
+                                      strict=True):
+            joined = _joined(spans, hash_)
+            edges = [0, *(x for s in joined for x in s), len(text)]
+            sizes.append(len(text))
+            cuts.append(np.array(joined, dtype="<u8").tobytes())
+            kept.append(b"".join(text[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)))
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(cuts, pa.binary()), pa.array(kept, pa.binary())],
+            names=_CUT.names)
