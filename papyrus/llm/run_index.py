@@ -276,6 +276,7 @@ _TAG_MASK, _FIRST_MASK, _SMALL = (1 << 13) - 1, (1 << 36) - 1, 127
 #: Bits of an anchor's hash that do not travel.  Anchors that then fall
 #: together share a shard and nothing else.
 _SHORT = 16
+_ANCHOR = (1 << 47) - 1
 
 
 #: Never null, so that no join adds a filter and both read one shuffle.
@@ -343,7 +344,9 @@ def _pieces(length: int, gram: int):
                         if len(sent) >= MEMORY:
                             sent.clear()
                         sent.add(digest)
-                    for column, value in zip(columns, (anchor, ranks[d], segment, None if again else piece), strict=True):
+                    if again:  # goes whole, wherever it is marked: spread over the shards
+                        anchor, piece = (ranks[d] * 0x9E3779B1 ^ segment * 0x85EBCA77) & _ANCHOR, None
+                    for column, value in zip(columns, (anchor, ranks[d], segment, piece), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.binary()), strict=True)],
