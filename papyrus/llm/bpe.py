@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import regex
@@ -33,8 +33,8 @@ BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 LONG = BUCKETS[-1]
 CELLS = 1 << 20
 PIECES = 1 << 18
-#: Distinct chunks that a worker remembers before it starts anew.
-MEMORY = 1 << 19
+#: Distinct chunks, and pieces, that a worker remembers before it starts anew.
+MEMORY = 3 << 18
 #: Marks a chunk that no space precedes; other chunks do not start with it.
 BARE = " "
 NONE = np.int32(np.iinfo(np.int32).max)
@@ -76,10 +76,31 @@ class PairTable:
         return out
 
 
-class Vocabulary:
+class Pieces:
+    """The ids of chunks, piece by piece; every piece is encoded once."""
+
+    pattern: regex.Pattern
+
+    def __init__(self) -> None:
+        self.seen: dict[str, list[int]] = {}
+
+    def encode_pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        raise TypeError("a vocabulary encodes its pieces")
+
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        if len(self.seen) > MEMORY:
+            self.seen = {}
+        seen, split = self.seen, list(map(self.pattern.findall, chunks))
+        new = list({p for pieces in split for p in pieces if p not in seen})
+        seen.update(zip(new, (ids.tolist() for ids in self.encode_pieces(new)), strict=True))
+        return [seen[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in seen[p]] for pieces in split]
+
+
+class Vocabulary(Pieces):
     """Ids are ranks; ``tokens[id]`` are the bytes of a token."""
 
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
@@ -97,16 +118,6 @@ class Vocabulary:
         left, right, merged = (np.array(x, dtype=np.int32) for x in (left, right, merged))
         self.pairs = PairTable(left, right, merged)
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """The ids of each chunk: those of its pieces, every distinct piece
-        encoded once."""
-        split = [self.pattern.findall(c) for c in chunks]
-        distinct = list({p for pieces in split for p in pieces})
-        ids = dict(zip(distinct, self.encode_pieces(distinct), strict=True))
-        empty = np.zeros(0, dtype=np.int32)
-        return [ids[pieces[0]] if len(pieces) == 1 else np.concatenate([ids[p] for p in pieces]) if pieces else empty
-                for pieces in split]
-
     def encode_pieces(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [t.encode() for t in texts]
         out: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]
@@ -193,13 +204,29 @@ class Encoder:
 
     def __init__(self, vocab):
         self.vocab = vocab
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, dtype=np.int32)
         self.count = np.zeros(0, dtype=np.int64)
         self.at = np.zeros(0, dtype=np.int64)
+        self.used = np.zeros(0, dtype=np.int64)
+
+    def _forget(self) -> None:
+        """Keep the chunks that came more than once, half of the memory at
+        most, the most frequent first."""
+        kept = np.argsort(-self.used, kind="stable")[:MEMORY // 2]
+        kept = np.sort(kept[self.used[kept] > 1])
+        chunks = list(self.known)
+        self.known = {chunks[i]: k for k, i in enumerate(kept.tolist())}
+        self.flat = self._gather(kept)
+        self.count = self.count[kept]
+        self.at = np.cumsum(self.count) - self.count
+        self.used = self.used[kept] // 2
+
+    def _gather(self, which: np.ndarray) -> np.ndarray:
+        """The ids of chunks, joined."""
+        n = self.count[which]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.at[which] - (ends - n), n) + np.arange(n.sum())]
 
     def _chunks(self, text: str) -> Iterator[list[str]]:
         """The chunks of a text, each without the space before it; one that
@@ -238,9 +265,11 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         ids = self.vocab.encode_chunks([c[1:] if c[:1] == BARE else " " + c for c in new])
         count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        new_flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(count.sum()))
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
-        self.flat = np.concatenate([self.flat, *ids])
+        self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, new_flat])
         base = len(self.known)
         self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
@@ -252,11 +281,9 @@ class Encoder:
             if new := list(set(chunks).difference(self.known)):
                 self._learn(new)
             which = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-            n = self.count[which]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = self.flat[np.repeat(self.at[which] - (ends - n), n) + np.arange(total)]
-            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+            self.used += np.bincount(which, minlength=len(self.used))
+            ids = self._gather(which)
+            cuts = np.concatenate([[0], np.cumsum(self.count[which])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
             for d, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if counts[d]:
                     parts[d].append(ids[a:b])

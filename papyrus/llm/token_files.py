@@ -41,7 +41,7 @@ BASE = 1 << 17
 FREQUENT = 64
 #: Rules of one round, and the share of symbols below which rounds stop.
 ROUND_RULES = 1 << 13
-LEAST_GAIN = 0.08
+LEAST_GAIN = 0.1
 #: Chunks that go through one call of the library.
 CALL = 1 << 10
 _SLOTS = 20
@@ -163,16 +163,19 @@ class Library:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, dtype=np.int32) for f in found]
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
         """Many chunks go through one call, with a special token between
         them, where the library splits before anything else."""
         if self.stop is None:
-            return self.whole(chunks)
+            return [ids.tolist() for ids in self.whole(chunks)]
         mark, number = self.stop
-        joined = [mark.join([*chunks[k:k + CALL], ""]) for k in range(0, len(chunks), CALL)]
-        ids = np.concatenate(self.whole(joined))
-        ends = np.flatnonzero(ids == number).tolist()
-        return [ids[a + 1:b] for a, b in zip([-1, *ends[:-1]], ends, strict=True)]
+        out: list[list[int]] = []
+        for k in range(0, len(chunks), CALL):
+            ids = self.whole([mark.join([*chunks[k:k + CALL], ""])])[0]
+            ends = np.flatnonzero(ids == number).tolist()
+            every = ids.tolist()
+            out += [every[a + 1:b] for a, b in zip([-1, *ends[:-1]], ends, strict=True)]
+        return out
 
 
 class LibraryEncoder(Encoder):
