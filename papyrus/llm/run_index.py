@@ -321,14 +321,19 @@ def _hash_at(text: bytes, spots: np.ndarray, gram: int) -> np.ndarray:
 
 def _pieces(length: int, gram: int):
     """Segments by their anchors.  Rows come in document order, so a segment
-    that the task has sent before is a later one, whose bytes all go."""
+    that the task has sent before is a later one, whose bytes all go; of equal
+    rows only the first is read, as their segments are one place."""
     def run(batches):
         sent: set[bytes] = set()
+        last = None
         for part in X.slices(batches, 2):
             columns: list[list] = [[] for _ in range(4)]
             ranks, hashes = part.column(0).to_pylist(), part.column(1).to_pylist()
             wanted = part.column(3)
             for d, text in enumerate(_unpacked(part.column(2))):
+                if (ranks[d], hashes[d]) == last:
+                    continue
+                last = ranks[d], hashes[d]
                 packed = np.sort(wanted[d].values.to_numpy())
                 packed = packed[packed >> _TAG == (hashes[d] >> 8 & _TAG_MASK)]
                 starts, sizes = packed >> _FIRST & _FIRST_MASK, (packed >> _COUNT & _SMALL) - 1 + length
@@ -355,11 +360,18 @@ def _pieces(length: int, gram: int):
 
 
 def _marked(length: int, gram: int):
-    """Rows in order of anchor and document to the byte ranges they lose."""
+    """Rows in order of anchor and document to the byte ranges they lose.
+    Equal rows that two tasks have sent come one after the other and are one
+    place."""
     def spans(rows, large=False):
         seen: set[bytes] = set()
         out, kept = [], []
-        for _, rank, segment, piece in rows:
+        last = None
+        for row in rows:
+            if row == last:
+                continue
+            last = row
+            _, rank, segment, piece = row
             where = rank, segment >> _TAG, segment >> _FIRST & _FIRST_MASK
             if piece is None or piece in seen:
                 out.append((*where, where[2] + (segment >> _COUNT & _SMALL) - 1 + length))

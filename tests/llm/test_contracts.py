@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -42,6 +43,25 @@ def test_run_index(docs, nothing):
     assert run_index.dedup_substrings(nothing).collect() == []
 
 
+def test_run_index_keeps_one_place_of_equal_rows(spark):
+    rng = C.random.Random(11)
+    rows = [(k, C.prose(rng, 60, 4000)) for k in (1, 2, None, 4)]
+    rows = [rows[0], *[rows[1]] * 2, *[rows[2]] * 3, rows[3], (9, rows[1][1])]
+    want = [(i, b"" if i == 9 else C.data(t)) for i, t in rows]
+    for parts in (1, 3):
+        got = run_index.dedup_substrings(C.frame(spark, rows, parts)).collect()
+        assert by_text(got, lambda r: bytes(r["kept"])) == sorted(want, key=repr)
+
+
+def test_run_index_marks_no_place_that_two_tasks_have_sent():
+    piece, first, later = b"".join(b"%d " % k for k in range(200))[:150], 7 << 50, 9 << 50
+    rows = [(5, 2, first, piece), (5, 2, first, piece), (5, 3, later, piece)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 3, pa.binary()))], names=["anchor", "rank", "segment", "piece"])
+    found = [r for b in run_index._marked(100, 32)(iter([batch])) for r in b.to_pylist()]
+    assert {(r["rank"], r["tag"]) for r in found} == {(3, 9)}
+
+
 def test_run_index_marks_as_a_scan_does():
     rng = np.random.default_rng(1)
     for _ in range(60):
