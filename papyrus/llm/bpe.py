@@ -35,6 +35,8 @@ CELLS = 1 << 20
 PIECES = 1 << 18
 #: Distinct chunks, and pieces, that a worker remembers before it starts anew.
 MEMORY = 3 << 18
+#: A space inside a piece: white space before it, white space or the end after.
+CROSSED = regex.compile(r" (?:(?=\s)|\Z)(?<=\s )")
 #: Marks a chunk that no space precedes; other chunks do not start with it.
 BARE = " "
 NONE = np.int32(np.iinfo(np.int32).max)
@@ -197,10 +199,10 @@ class Vocabulary(Pieces):
 class Encoder:
     """Encodes texts, remembering the ids of chunks seen before.
 
-    A chunk is what stands between two spaces, with the space before it.  No
-    piece of the pattern crosses the start of a chunk, unless two spaces
-    follow each other; such texts are split by the pattern itself.  ``vocab``
-    has the ``pattern`` and ``encode_chunks``."""
+    A chunk is what stands between two spaces, with the space before it.  A
+    piece of the pattern crosses the start of a chunk only in a run of white
+    space of any kind; texts with ``CROSSED`` spaces are split by the pattern
+    itself.  ``vocab`` has the ``pattern`` and ``encode_chunks``."""
 
     def __init__(self, vocab):
         self.vocab = vocab
@@ -231,7 +233,7 @@ class Encoder:
     def _chunks(self, text: str) -> Iterator[list[str]]:
         """The chunks of a text, each without the space before it; one that
         has none starts with a mark."""
-        if "  " in text:
+        if CROSSED.search(text):
             found = (m.group() for m in self.vocab.pattern.finditer(text))
             while pieces := list(islice(found, PIECES)):
                 yield [p[1:] if p[0] == " " and p[1:2] != " " else BARE + p for p in pieces]

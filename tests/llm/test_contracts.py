@@ -254,6 +254,18 @@ def test_token_files(spark, docs, nothing):
     assert token_files.read_tokens(spark, empty).collect() == []
 
 
+def test_token_ids_over_runs_of_white_space():
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(vocabulary)
+    rng = np.random.default_rng(9)
+    signs = ["a", "b1", ".", " ", " ", " ", "\xa0", "\xa0", "\n", "\t", "\u3000", "\x85"]
+    texts = ["Home \xa0 \xa0 About us", "x" + " \xa0" * 9 + " y", "\xa0 ", "a\n b", "a  b", "a \xa0"]
+    texts += ["".join(rng.choice(signs, rng.integers(1, 25))) for _ in range(20000)]
+    encoder = token_files.LibraryEncoder(token_files.Library(vocabulary, public_tokenizers.PATTERN))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in encoder.encode(texts)] == want
+
+
 def test_grammar_gives_random_access():
     rng = np.random.default_rng(5)
     for ids in (rng.integers(0, 30, 20000), np.zeros(5000, int), np.array([4]), np.zeros(0, int), np.tile([1, 1, 1, 2], 800)):
