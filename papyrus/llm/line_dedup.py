@@ -3,15 +3,16 @@
 A unit is a line of ``MIN_WORDS`` words or more; shorter lines are left
 alone.  Units are normalised (A-Z lower-cased, white space collapsed), their
 digests grouped globally, and the occurrence that ranks first by (document
-id, line number) stays; the others are removed, their offsets in the original
-text retained.
+id, hash of its text, line number) stays; the others are removed, their
+offsets in the original text retained.
 
 The group of a digest is only ever a partially aggregated minimum and count;
 digests that occur twice or more are joined back to the occurrences.
 
 Defined results: a null or empty text has no units; a null id ranks after all
-others; rows that repeat an id rank alike, so that none of them loses a line
-to another; an empty table gives an empty result; other columns are not read.
+others; rows that share an id, or have none, are told apart by the hash of
+their text, and equal rows share one result, none being earlier than the
+other; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,23 +36,26 @@ def normalised(line):
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(rank, digest) of each unit; rank is (id is null, id, line number)."""
-    lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line", "unit"))
-    norm = lines.select("id", "line", normalised(F.col("unit")).alias("unit"))
+    """(rank, digest) of each unit; rank is (id is null, id, hash of the text,
+    line number)."""
+    text = F.col(text_col).cast("string")
+    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"),
+                        F.posexplode(F.split(text, "\n", -1)).alias("line", "unit"))
+    norm = lines.select("id", "hash", "line", normalised(F.col("unit")).alias("unit"))
     long = norm.where(F.size(F.split("unit", " ")) >= min_words)
-    rank = F.struct(F.isnull("id").alias("last"), F.col("id"), F.col("line"))
+    rank = F.struct(F.isnull("id").alias("last"), F.col("id"), F.col("hash"), F.col("line"))
     return long.select(rank.alias("rank"), F.unhex(F.md5(F.col("unit").cast("binary"))).alias("digest"))
 
 
 def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, lines): the numbers of the lines that each document loses."""
+    """(id, hash, lines): the numbers of the lines that each document loses."""
     every = units(docs, id_col, text_col, min_words)
     # written, so that the join's sides are plain shuffles, which adaptive
     # execution can split where one digest has very many occurrences
     first = cut_lineage(every.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
                         .where("n > 1").select("digest", "first"))
     lost = every.join(first, "digest").where(F.col("rank") > F.col("first"))
-    return lost.groupBy(F.col("rank")["id"].alias("id")).agg(F.collect_set(F.col("rank")["line"]).alias("lines"))
+    return lost.groupBy(F.col("rank")["id"].alias("id"), F.col("rank")["hash"].alias("hash")).agg(F.collect_set(F.col("rank")["line"]).alias("lines"))
 
 
 FIELDS = [X.field("n_lines", "long"), X.field("n_removed", "long"),
@@ -63,8 +67,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in code points of the original text) and kept (the remaining lines'
     bytes, joined by line ends)."""
     lost = removed_units(docs, id_col, text_col, min_words)
-    left = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    both = left.join(lost.withColumnRenamed("id", "owner"), F.col("id").eqNullSafe(F.col("owner")), "left").select("id", "text", "lines")
+    text = F.col(text_col).cast("string")
+    left = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    lost = lost.withColumnsRenamed({"id": "owner", "hash": "of"})
+    same = F.col("id").eqNullSafe(F.col("owner")) & (F.col("hash") == F.col("of"))
+    both = left.join(lost, same, "left").select("id", "text", "lines")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType, True), *FIELDS])
 
     def run(batches):

@@ -345,6 +345,21 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.dedup_lines(nothing).collect() == []
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    line = [f"line {k} of six plain words" for k in range(40)]
+    rows = [(1, "\n".join(line[:3])), (600, "\n".join(["x", line[0], line[3]])), (600, "\n".join(["y", line[4], line[5]])),
+            (600, "\n".join(["y", line[4], line[5]])), (None, "\n".join([line[6], line[1], line[7]])),
+            (None, "\n".join([line[8], line[9], line[2]])), (None, "\n".join([line[10], line[11], line[12]])),
+            (None, line[13]), (None, line[13])]
+    want = [(i, "\n".join(x for x in t.split("\n") if i == 1 or x not in line[:3]).encode()) for i, t in rows]
+    got = line_dedup.dedup_lines(C.frame(spark, rows)).collect()
+    assert by_text(got, lambda r: bytes(r["kept"])) == sorted(want, key=repr)
+    shared = [(None, "\n".join(["a", line[20], line[21]])), (None, "\n".join(["b", line[22], line[20]]))]
+    got = line_dedup.dedup_lines(C.frame(spark, shared)).collect()
+    assert sum(bytes(r["kept"]).count(line[20].encode()) for r in got) == 1
+    assert all(sum(bytes(r["kept"]).count(line[k].encode()) for r in got) == 1 for k in (21, 22))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">{0} menu</a><li><a href="/b">two</a></ul></nav><div class="ad banner">buy {0}</div>
 <article><h1>Head &lt;{0}&gt;</h1><p><b>First &eacute;  line {0}<br>goes
