@@ -15,6 +15,11 @@ links and page furniture.  A page's main text is the text of these elements
 without furniture inside them, block by block; a page that none of its host's
 elements matches is read by the wrapper of that page alone.
 
+Furniture is told by element, role, or a whole name of class or id.  A word
+inside a longer name (``site-footer``) only tells it for an element with a
+minor share of the text and without a main heading or article.  Where all text
+is furniture, an article inside it or else the whole body is read.
+
 Defined results: a null or empty page has an empty text; pages whose url is
 null or has no host form one group; repeated rows and null ids pass through;
 an empty table gives an empty result; other columns are not read.
@@ -60,6 +65,11 @@ reply replies respond disqus widget widgets toolbar pagination pager login signi
 #: Names that mark the article itself.
 MAIN_ROLES = {"main", "article"}
 MAIN_WORDS = {"articlebody"}
+#: Never furniture, whatever their names.
+KEPT = {"html", "body", "main", "article"}
+#: A word inside a longer name tells furniture below one part in so many of the text; the article
+#: is all in one element if no other has one part in so many of its text.
+HINT = 4
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -69,7 +79,7 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for na
 @dataclass
 class Node:
     name: str
-    sign: str  # name, and the words of class, id and role without digits
+    sign: str  # name, and the names of class, id and role without digits
     kids: list = field(default_factory=list)  # Node or str
 
 
@@ -78,7 +88,7 @@ def _sign(name: str, raw: str) -> str:
         return name
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(raw)}
     words = [f"{key[0]}:{w}" for key in ("class", "id", "role", "itemprop")
-             for w in sorted(set(re.findall(r"[a-z]+", found.get(key, "").lower())))]
+             for w in sorted({re.sub(r"[^a-z_-]+", "", w) for w in found.get(key, "").lower().split()} - {""})]
     return " ".join([name, *words])
 
 
@@ -135,13 +145,26 @@ def _close_for(path: list[Node], name: str) -> None:
 
 def is_furniture(sign: str) -> bool:
     name, *words = sign.split(" ")
-    return name in FURNITURE or any((w[2:] in ROLES) if w[0] == "r" else (w[0] in "ci" and w[2:] in WORDS) for w in words)
+    return name not in KEPT and (name in FURNITURE or any(
+        (w[2:] in ROLES) if w[0] == "r" else (w[0] in "ci" and w[2:] in WORDS) for w in words))
+
+
+def is_hinted(sign: str) -> bool:
+    """Whether a longer name has a word of furniture in it."""
+    name, *words = sign.split(" ")
+    return name not in KEPT and any(w[0] in "ci" and not WORDS.isdisjoint(re.split("[_-]+", w[2:])) for w in words)
 
 
 def is_main(sign: str) -> bool:
     name, *words = sign.split(" ")
     return name in ("article", "main") or any(
-        (w[0] == "r" and w[2:] in MAIN_ROLES) or (w[0] == "i" and w[2:] in MAIN_WORDS) for w in words)
+        (w[0] == "r" and w[2:] in MAIN_ROLES) or (w[0] == "i" and not MAIN_WORDS.isdisjoint(re.split("[_-]+", w[2:])))
+        for w in words)
+
+
+def is_kept(sign: str) -> bool:
+    """Whether what holds it is no furniture by a word inside a name."""
+    return is_main(sign) or sign.split(" ")[0] == "h1"
 
 
 # -------------------------------------------------------------- expressions
@@ -249,36 +272,40 @@ def hash_text(text: str) -> str:
 
 def regions(wrapper: list) -> list[list[str]]:
     """Paths (signs from the root) of the elements that hold the article."""
-    marked: list[list[str]] = []
+    whole = sum(map(_plain, wrapper))
 
-    def look(items: list, path: list[str]) -> None:
+    def look(items: list, path: list[str], through: bool) -> list[tuple[list[str], list]]:
+        """The marked elements, inside furniture too if ``through``."""
+        out = []
         for item in items:
             if item[0] == "g":
-                look(item[5], path)
-            elif item[0] == "t" and not is_furniture(item[1]):
+                out += look(item[5], path, through)
+            elif item[0] == "t" and (through or not _is_cut(item, whole)):
                 here = [*path, item[1]]
-                if is_main(item[1]):
-                    inner = len(marked)
-                    look(item[5], here)  # an article inside main goes first
-                    if len(marked) == inner:
-                        marked.append(here)
-                else:
-                    look(item[5], here)
+                inner = look(item[5], here, through)  # an article inside main goes first
+                out += inner or ([(here, item)] if is_main(item[1]) else [])
+        return out
 
-    look(wrapper, [])
+    marked = look(wrapper, [], False)
     if marked:
-        return marked
+        return [path for path, _ in marked]
     path: list[str] = []
     items = wrapper
     while True:
         flat = list(_tags(items))
-        weights = [(_plain(i), i) for i in flat if i[0] == "t" and i[1].split(" ")[0] not in _INLINE]
-        whole = sum(_plain(i) for i in flat)
+        weights = [(_plain(i, whole), i) for i in flat if i[0] == "t" and i[1].split(" ")[0] not in _INLINE]
+        here = sum(_plain(i, whole) for i in flat)
         best = max(weights, key=lambda w: w[0], default=(0, None))
-        if best[1] is None or 10 * best[0] < 6 * whole or best[1][1].split(" ")[0] in _LEAVES:
-            return [path]
+        if best[1] is None or not best[0] or 10 * best[0] < 6 * here or best[1][1].split(" ")[0] in _LEAVES:
+            break
+        if any(HINT * w >= best[0] for w, i in weights if i is not best[1]):  # the article may stand in several
+            break
         path = [*path, best[1][1]]
         items = best[1][5]
+    hidden = look(wrapper, [], True)
+    if sum(_plain(i) for _, item in hidden for i in item[5]) > here:
+        return [path for path, _ in hidden]
+    return [path]
 
 
 _INLINE = set("a abbr b bdi bdo cite code em font i kbd mark q s small span strong sub sup tt u".split())
@@ -293,18 +320,49 @@ def _tags(items: list) -> Iterator[list]:
             yield item
 
 
-def _plain(item: list) -> int:
-    """Characters outside links and furniture."""
+def _plain(item: list, whole: int = 0) -> int:
+    """Characters outside links and furniture; ``whole`` are those of the
+    page, where hints count."""
     if item[0] == "x":
         return item[4]
-    if item[0] == "t" and (item[1].split(" ")[0] == "a" or is_furniture(item[1]) or item[1].split(" ")[0] == "header"):
+    if item[0] == "t" and (item[1].split(" ")[0] in ("a", "header") or _is_cut(item, whole)):
         return 0
-    return sum(map(_plain, item[5]))
+    return sum(_plain(i, whole) for i in item[5])
+
+
+def _is_cut(item: list, whole: int) -> bool:
+    return is_furniture(item[1]) or (is_hinted(item[1]) and HINT * sum(map(_plain, item[5])) < whole
+                                     and not any(map(_keeps, item[5])))
+
+
+def _keeps(item: list) -> bool:
+    return item[0] == "t" and is_kept(item[1]) or any(map(_keeps, item[5]))
+
+
+def _size(node: Node) -> int:
+    """Characters of a node outside furniture."""
+    return sum(len(" ".join(k.split())) if isinstance(k, str) else 0 if is_furniture(k.sign) else _size(k) for k in node.kids)
+
+
+def _node_keeps(node: Node) -> bool:
+    return any(not isinstance(k, str) and (is_kept(k.sign) or _node_keeps(k)) for k in node.kids)
 
 
-def blocks(node: Node) -> Iterator[str]:
-    """The texts of a node's blocks in page order, furniture left out."""
+def blocks(node: Node, names: bool = True) -> Iterator[str]:
+    """The texts of a node's blocks in page order, furniture left out; without
+    ``names`` only what is furniture by its element, forms not among it."""
     held: list[str] = []
+    whole = -1
+
+    def is_cut(kid: Node) -> bool:
+        nonlocal whole
+        if not names:
+            return kid.name in FURNITURE and kid.name != "form"
+        if is_furniture(kid.sign) or not is_hinted(kid.sign):
+            return is_furniture(kid.sign)
+        if whole < 0:
+            whole = _size(node)
+        return HINT * _size(kid) < whole and not _node_keeps(kid)
 
     def done() -> Iterator[str]:
         text = " ".join("".join(held).split())
@@ -318,7 +376,7 @@ def blocks(node: Node) -> Iterator[str]:
                 held.append(kid)
             elif kid.name == "br":
                 held.append(" ")
-            elif is_furniture(kid.sign):
+            elif is_cut(kid):
                 if kid.name in BLOCK:
                     yield from done()
             elif kid.name in BLOCK:
@@ -334,7 +392,8 @@ def blocks(node: Node) -> Iterator[str]:
 
 def main_text(page: str, where: list[list[str]] | None) -> str:
     """The article of a page by the paths of its host's wrapper, or by its
-    own where none of them occurs."""
+    own where none of them occurs; the whole body where neither has text
+    outside furniture."""
     root = parse(page)
     own = None
     for paths in (where, None):
@@ -353,8 +412,10 @@ def main_text(page: str, where: list[list[str]] | None) -> str:
 
         look(root, [])
         if found or own is not None:
-            return "\n".join(b for node in found for b in blocks(node))
-    return ""
+            text = "\n".join(b for node in found for b in blocks(node))
+            if text or paths != [[]]:
+                return text
+    return "\n".join(blocks(root, names=False))
 
 
 # -------------------------------------------------------------------- spark

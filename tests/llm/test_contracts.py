@@ -383,6 +383,23 @@ def test_wrappers(spark):
     assert wrappers.extract(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body class='skin-vector-search-vue no-sidebar'><article><h1>Head</h1><p>Text of it</p></article></body>", "Head\nText of it"),
+    ("<body class=sidebar><div class='content-with-comments'><p>Text of it</p><p>goes on</p></div></body>", "Text of it\ngoes on"),
+    ("<body><article><div class='entry-header'><h1>Head</h1></div><p>" + "words " * 20 + "</p></article>", "Head\n" + "words " * 19 + "words"),
+    ("<body><div class='overlay'><article><p>Text of it</p></article></div><p>by</p>", "Text of it"),
+    ("<body><div class=a><p>" + "one " * 60 + "</p></div><div class=b><p>" + "two " * 38 + "</p></div>",
+     ("one " * 60).strip() + "\n" + ("two " * 38).strip()),
+    ("<body><form id=all><div class=widget><p>Text of it</p></div></form>", "Text of it"),
+    ("<body><div class=post><p>" + "words " * 40 + "</p><div class='site-footer'>end</div></div><div id=comments><article>I like it</article></div>",
+     "words " * 39 + "words")])
+def test_containers_of_the_article_are_no_furniture(page, want):
+    root = wrappers.parse("<html><head><title>t</title></head>" + page)
+    host = wrappers.regions(wrappers.expression(root))
+    for where in (host, None):
+        assert wrappers.main_text("<html><head><title>t</title></head>" + page, where) == want
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     one = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl><p>same</p><p>x</p>"))
     two = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b</dl><hr><p>same</p>"))
