@@ -38,10 +38,10 @@ END = 0
 #: First nonterminal; ids are below it.
 BASE = 1 << 17
 #: A pair becomes a rule from this count on.
-FREQUENT = 64
+FREQUENT = 16
 #: Rules of one round, and the share of symbols below which rounds stop.
 ROUND_RULES = 1 << 13
-LEAST_GAIN = 0.1
+LEAST_GAIN = 0.03
 #: Chunks that go through one call of the library.
 CALL = 1 << 10
 _SLOTS = 20

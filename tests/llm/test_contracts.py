@@ -279,6 +279,15 @@ def test_grammar_gives_random_access():
     assert len(symbols) < 2000 and len(rules)
 
 
+def test_grammar_goes_on_while_it_saves():
+    single = np.random.default_rng(10).permutation(100000)[:20000]
+    seldom = np.concatenate([[*single[k::30], 100001, 100002] for k in range(30)])
+    assert len(token_files.compress(seldom)[0]) == 20030
+    # three rounds, each of which saves about one symbol in 24
+    phrase = np.concatenate([[*single[k::1000], 100001, 100002, 100003, 100004] for k in range(1000)])
+    assert len(token_files.compress(phrase)[0]) == 21000
+
+
 def test_secrets(spark, nothing):
     hexes = [C.sha(bytes([k]))[:40] for k in range(60)]
     rows = [(k, f"intro é {'token' if k % 2 else 'Api_Key'} = \"{h}\" tail") for k, h in enumerate(hexes)]
