@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.llm import bpe, decontaminate, line_dedup, ngram_lm, quality, run_index, secrets, simhash, token_files, wrappers
+from papyrus.llm import (bpe, decontaminate, fill_middle, line_dedup, ngram_lm, quality, run_index, secrets, simhash,
+                         token_files, wrappers)
 from papyrus.llm import texts as X
 from papyrus.session import scratch_path
 
@@ -99,3 +100,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(X.read(spark, sf_dir, "documents"))
+
+
+@register("op11_fill_in_middle", fill_middle.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle.fill_in_middle(X.read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), "restored_sha256")

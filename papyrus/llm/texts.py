@@ -51,12 +51,18 @@ def per_text(docs: DataFrame, id_col: str, text_col: str, fields: list[T.StructF
     ``work`` gets the texts of a slice as bytes and returns one sequence per
     field.  Only the two named columns leave the scan; other columns of
     ``docs`` may have any name."""
+    return per_row(docs, id_col, text_col, fields, lambda ids, texts: work(texts), limit)
+
+
+def per_row(docs: DataFrame, id_col: str, text_col: str, fields: list[T.StructField],
+            work: Callable[[list, list[bytes]], list], limit: int = SLICE_BYTES) -> DataFrame:
+    """:func:`per_text` for work that needs the ids of the slice as well."""
     chosen = docs.select(docs[id_col], docs[text_col].cast("string"))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType, True), *fields])
 
     def run(batches):
         for part in slices(batches, 1, limit):
-            columns = work(as_bytes(part.column(1)))
+            columns = work(part.column(0).to_pylist(), as_bytes(part.column(1)))
             arrays = [part.column(0)]
             for field, values in zip(fields, columns, strict=True):
                 arrays.append(pa.array(values, type=_ARROW[field.dataType.typeName()]))
