@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyrus.llm import (bpe, decontaminate, fill_middle, line_dedup, ngram_lm, quality, run_index, secrets, simhash,
-                         token_files, wrappers)
+from papyrus.llm import (bpe, decontaminate, fill_middle, hard_negatives, line_dedup, ngram_lm, quality, run_index, secrets,
+                         simhash, token_files, wrappers)
 from papyrus.llm import texts as X
 from papyrus.session import scratch_path
 
@@ -107,3 +107,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = fill_middle.fill_in_middle(X.read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
                        F.sha2("output", 256).alias("output_sha256"), "restored_sha256")
+
+
+@register("op12_hard_negatives", hard_negatives.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.quantised(X.read(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
