@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrus.llm import (bpe, decontaminate, fill_middle, hard_negatives, line_dedup, ngram_lm, quality, run_index, secrets,
-                         simhash, token_files, wrappers)
+                         simhash, token_files, toxicity, wrappers)
 from papyrus.llm import texts as X
 from papyrus.session import scratch_path
 
@@ -113,3 +113,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hard_negatives.quantised(X.read(spark, sf_dir, "embeddings"))
     return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+@register("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = X.read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, X.read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
