@@ -1,22 +1,30 @@
 """Substring dedup by line hashing.
 
-A unit is a line of ``MIN_WORDS`` words or more; shorter lines are left
-alone.  Units are normalised (A-Z lower-cased, white space collapsed), their
-digests grouped globally, and the occurrence that ranks first by (document
-id, hash of its text, line number) stays; the others are removed, their
-offsets in the original text retained.
-
-The group of a digest is only ever a partially aggregated minimum and count;
-digests that occur twice or more are joined back to the occurrences.
+A unit is a line, or a part of one that ends with a run of ``.``, ``!`` or ``?``;
+every unit with a word counts, and the units of a text, put together, are the text.
+Units are normalised (A-Z lower-cased, white space collapsed), their digests grouped
+globally, and the occurrence that ranks first by (document id, hash of its text,
+unit number) stays.  Later occurrences are removed where consecutive ones hold
+``RUN_WORDS`` words together, so that a phrase or a short line that many texts use
+stays, while a passage goes whatever its line breaks; their offsets in the original
+text are retained.
+
+Digests are written once, with the rank of their unit, and read twice: grouped by
+a partially aggregated minimum and count, and joined back where a digest occurs
+twice or more.
 
 Defined results: a null or empty text has no units; a null id ranks after all
 others; rows that share an id, or have none, are told apart by the hash of
 their text, and equal rows share one result, none being earlier than the
-other; an empty table gives an empty result; other columns are not read.
+other; an empty table gives an empty result; other columns are not read.  A text
+longer than a slice is a slice of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,66 +34,97 @@ from pyspark.sql import types as T
 from papyrus.llm import texts as X
 from papyrus.session import cut_lineage
 
-MIN_WORDS = 5
+RUN_WORDS = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UNIT = re.compile(rb"[^\n.!?]*[.!?\n]+|[^\n.!?]+")
 
 
-def normalised(line):
+def normalised(unit: bytes) -> bytes:
     """A-Z lower-cased, runs of white space as one space, ends trimmed."""
-    return F.trim(F.regexp_replace(F.translate(line, _UPPER, _LOWER), r"[\x20\x09-\x0D]+", " "))
+    return b" ".join(unit.translate(X.LOWER_AZ).split())
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(rank, digest) of each unit; rank is (id is null, id, hash of the text,
-    line number)."""
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, hash, unit, digest) of each unit with a word; ``hash`` is that of
+    the whole text, ``unit`` its number in the text."""
     text = F.col(text_col).cast("string")
-    lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"),
-                        F.posexplode(F.split(text, "\n", -1)).alias("line", "unit"))
-    norm = lines.select("id", "hash", "line", normalised(F.col("unit")).alias("unit"))
-    long = norm.where(F.size(F.split("unit", " ")) >= min_words)
-    rank = F.struct(F.isnull("id").alias("last"), F.col("id"), F.col("hash"), F.col("line"))
-    return long.select(rank.alias("rank"), F.unhex(F.md5(F.col("unit").cast("binary"))).alias("digest"))
-
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType, True), X.field("hash", "long"),
+                           X.field("unit", "integer"), X.field("digest", "binary")])
 
-def removed_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, hash, lines): the numbers of the lines that each document loses."""
-    every = units(docs, id_col, text_col, min_words)
+    def run(batches):
+        for part in X.slices(batches, 2):
+            row, number, digests = [], [], []
+            for k, body in enumerate(X.as_bytes(part.column(2))):
+                for n, unit in enumerate(UNIT.findall(body)):
+                    key = normalised(unit)
+                    if key:
+                        row.append(k)
+                        number.append(n)
+                        digests.append(hashlib.md5(key).digest())
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(number, pa.int32()),
+                                              pa.array(digests, pa.binary())], names=schema.names)
+
+    return keyed.mapInArrow(run, schema)
+
+
+def later_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, hash, units): the numbers of the units that occur earlier as well."""
+    every = cut_lineage(units(docs, id_col, text_col))
+    rank = F.struct(F.isnull("id").alias("last"), F.col("id"), F.col("hash"), F.col("unit"))
     # written, so that the join's sides are plain shuffles, which adaptive
     # execution can split where one digest has very many occurrences
-    first = cut_lineage(every.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    first = cut_lineage(every.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
                         .where("n > 1").select("digest", "first"))
-    lost = every.join(first, "digest").where(F.col("rank") > F.col("first"))
-    return lost.groupBy(F.col("rank")["id"].alias("id"), F.col("rank")["hash"].alias("hash")).agg(F.collect_set(F.col("rank")["line"]).alias("lines"))
-
-
-FIELDS = [X.field("n_lines", "long"), X.field("n_removed", "long"),
+    lost = every.join(first, "digest").where(rank > F.col("first"))
+    return lost.groupBy("id", "hash").agg(F.collect_set("unit").alias("units"))
+
+
+def cut(body: bytes, later: set[int], run_words: int = RUN_WORDS) -> tuple[int, list[tuple[int, int]], bytes]:
+    """(units, byte ranges of the removed units, remaining bytes)."""
+    parts = UNIT.findall(body)
+    if not later:
+        return len(parts), [], body
+    removed, run, words = set(), [], 0
+    for n, part in enumerate([*parts, None]):
+        count = len(part.split()) if part is not None and n in later else 0
+        if count:
+            run.append(n)
+            words += count
+        elif part is None or part.split():
+            if words >= run_words:
+                removed.update(run)
+            run, words = [], 0
+    ends = np.cumsum([len(p) for p in parts])
+    spans = [(int(ends[n]) - len(parts[n]), int(ends[n])) for n in sorted(removed)]
+    return len(parts), spans, b"".join(p for n, p in enumerate(parts) if n not in removed)
+
+
+FIELDS = [X.field("n_units", "long"), X.field("n_removed", "long"),
           T.StructField("spans", T.ArrayType(T.StringType()), True), X.field("kept", "binary")]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document: n_lines, n_removed, spans (start:end of each removed line
-    in code points of the original text) and kept (the remaining lines'
-    bytes, joined by line ends)."""
-    lost = removed_units(docs, id_col, text_col, min_words)
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+    """Per document: n_units, n_removed, spans (start:end of each removed unit
+    in code points of the original text) and kept (the remaining units)."""
+    lost = later_units(docs, id_col, text_col)
     text = F.col(text_col).cast("string")
     left = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     lost = lost.withColumnsRenamed({"id": "owner", "hash": "of"})
     same = F.col("id").eqNullSafe(F.col("owner")) & (F.col("hash") == F.col("of"))
-    both = left.join(lost, same, "left").select("id", "text", "lines")
+    both = left.join(lost, same, "left").select("id", "text", "units")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType, True), *FIELDS])
 
     def run(batches):
         for part in X.slices(batches, 1):
             rows = []
-            for text, lines in zip(X.as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
-                every = text.split(b"\n") if text else []
-                gone = set(lines or ())
-                spans = []
-                if gone:
-                    size = np.array([len(x.decode("utf-8", "replace")) for x in every])
-                    start = np.cumsum(size + 1) - size - 1
-                    spans = [f"{start[k]}:{start[k] + size[k]}" for k in sorted(gone)]
-                rows.append((len(every), len(gone), spans, b"\n".join(x for k, x in enumerate(every) if k not in gone)))
+            for body, later in zip(X.as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
+                n, spans, kept = cut(body, set(later or ()), run_words)
+                if spans:
+                    lead = np.concatenate([[0], np.cumsum((np.frombuffer(body, dtype=np.uint8) & 0xC0) != 0x80)])
+                    spans = [f"{lead[a]}:{lead[b]}" for a, b in spans]
+                rows.append((n, len(spans), spans, kept))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(
                     (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary())))], names=schema.names)
@@ -93,20 +132,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return both.mapInArrow(run, schema)
 
 
-SQL = f"""WITH lines AS (
-  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS unit
-  FROM documents WHERE text <> ''),
+SQL = rf"""WITH units AS (
+  SELECT doc_id, unnest(generate_series(1, len(u))) AS k, unnest(u) AS unit
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\n.!?]*[.!?\n]+|[^\n.!?]+') AS u FROM documents WHERE text <> '') d),
 norm AS (
-  SELECT *, trim(regexp_replace(translate(unit, '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS key
-  FROM lines),
+  SELECT *, trim(regexp_replace(translate(unit, '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS key
+  FROM units),
 ranked AS (
-  SELECT *, len(string_split(key, ' ')) >= {MIN_WORDS}
-    AND rank() OVER (PARTITION BY key ORDER BY doc_id NULLS LAST, line) > 1 AS lost
-  FROM norm),
+  SELECT *, len(string_split(key, ' ')) AS words,
+    row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS LAST, k) > 1 AS later
+  FROM norm WHERE key <> ''),
+runs AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - row_number() OVER (PARTITION BY doc_id, later ORDER BY k) AS run
+  FROM ranked),
+lost AS (
+  SELECT doc_id, k FROM runs
+  QUALIFY later AND sum(words) OVER (PARTITION BY doc_id, later, run) >= {RUN_WORDS}),
 kept AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_removed,
-    string_agg(unit, chr(10) ORDER BY line) FILTER (NOT lost) AS body
-  FROM ranked GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  SELECT u.doc_id, count(*) AS n_units, count(l.k) AS n_removed,
+    string_agg(unit, '' ORDER BY u.k) FILTER (l.k IS NULL) AS body
+  FROM units u LEFT JOIN lost l ON l.doc_id IS NOT DISTINCT FROM u.doc_id AND l.k = u.k GROUP BY u.doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed,
   sha256(coalesce(body, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON d.doc_id IS NOT DISTINCT FROM k.doc_id"""

@@ -94,7 +94,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_line_dedup", line_dedup.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(X.read(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_units", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @register("op10_quality_rules")
