@@ -5,9 +5,9 @@ every unit with a word counts, and the units of a text, put together, are the te
 Units are normalised (A-Z lower-cased, white space collapsed), their digests grouped
 globally, and the occurrence that ranks first by (document id, hash of its text,
 unit number) stays.  Later occurrences are removed where consecutive ones hold
-``RUN_WORDS`` words together, so that a phrase or a short line that many texts use
-stays, while a passage goes whatever its line breaks; their offsets in the original
-text are retained.
+``RUN_WORDS`` words together and ``UNIT_WORDS`` on average, so that a phrase, a short
+line that many texts use or a row of single words stays, while a passage goes whatever
+its line breaks; their offsets in the original text are retained.
 
 Digests are written once, with the rank of their unit, and read twice: grouped by
 a partially aggregated minimum and count, and joined back where a digest occurs
@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from papyrus.llm import texts as X
 from papyrus.session import cut_lineage
 
-RUN_WORDS = 20
+#: A removed run has this many words, and this many for each of its units.
+RUN_WORDS, UNIT_WORDS = 20, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNIT = re.compile(rb"[^\n.!?]*[.!?\n]+|[^\n.!?]+")
 
@@ -93,7 +94,7 @@ def cut(body: bytes, later: set[int], run_words: int = RUN_WORDS) -> tuple[int,
             run.append(n)
             words += count
         elif part is None or part.split():
-            if words >= run_words:
+            if words >= max(run_words, UNIT_WORDS * len(run)):
                 removed.update(run)
             run, words = [], 0
     ends = np.cumsum([len(p) for p in parts])
@@ -147,7 +148,8 @@ runs AS (
   FROM ranked),
 lost AS (
   SELECT doc_id, k FROM runs
-  QUALIFY later AND sum(words) OVER (PARTITION BY doc_id, later, run) >= {RUN_WORDS}),
+  QUALIFY later AND sum(words) OVER (PARTITION BY doc_id, later, run)
+    >= greatest({RUN_WORDS}, {UNIT_WORDS} * count(*) OVER (PARTITION BY doc_id, later, run))),
 kept AS (
   SELECT u.doc_id, count(*) AS n_units, count(l.k) AS n_removed,
     string_agg(unit, '' ORDER BY u.k) FILTER (l.k IS NULL) AS body
