@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrus.schemas import AUTHOR_PREFIX
-from papyrus.session import cut_lineage, release
+from papyrus.session import bucketed, cut_lineage, release
 
 
 class Graph(NamedTuple):
@@ -116,54 +116,86 @@ def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))
 
 
+def _multiplicity(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(src, dst, m)`` and ``(src, deg, n)``, both written: parallel edges
+    collapse into one with their number ``m``; ``deg`` counts edges, ``n``
+    distinct ones.  Joins of the two are then plain shuffles on both sides,
+    which adaptive execution can split at a hub."""
+    mult = cut_lineage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")))
+    return mult, cut_lineage(mult.groupBy("src").agg(F.sum("m").alias("deg"), F.count(F.lit(1)).alias("n")))
+
+
 def transition_weights(graph: Graph) -> DataFrame:
     """``(src, dst, w)`` over internal edges, ``w = multiplicity / outdeg``.
 
     Parallel edges collapse into one weighted edge, which keeps their
     weight and shrinks the table every rank iteration joins against.
     """
-    e = internal_edges(graph).select("src", "dst")
-    mult = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    deg = mult.groupBy("src").agg(F.sum("m").alias("deg"))
-    return mult.join(deg, "src").select("src", "dst", (F.col("m") / F.col("deg")).alias("w"))
+    mult, degree = _multiplicity(internal_edges(graph).select("src", "dst"))
+    return _weighted(mult, degree)
+
+
+def _weighted(mult: DataFrame, degree: DataFrame) -> DataFrame:
+    return (mult.join(degree.select("src", "deg"), "src")
+            .select("src", "dst", (F.col("m") / F.col("deg")).alias("w")))
 
 
 #: Edges of one vertex that a slice holds.
 SLICE_EDGES = 100_000
+#: Edges that a bucket of the stored table holds on average.
+BUCKET_EDGES = 1_000_000
 
 
 class SlicedEdges(NamedTuple):
-    """Edges for repeated joins on ``src``: a vertex with more than a slice
-    of distinct edges has them dealt over several slices.  ``hubs`` are the
-    vertices with more than one slice (at most ``|E| / slice`` rows), or None
-    where all edges of every vertex fit one."""
+    """Edges for repeated joins on ``src``, stored in buckets of ``(src,
+    slice)``, so that a step shuffles its state and never the edges.  A
+    vertex with more than a slice of distinct edges has them dealt over
+    several slices.  ``hubs`` are the vertices with more than one slice (at
+    most ``|E| / slice`` rows), or None where all edges of every vertex fit
+    one; then there is no slice column."""
 
     table: DataFrame        # src, dst, ... and slice where there are hubs
     hubs: DataFrame | None  # src, slices
 
     @classmethod
-    def of(cls, edges: DataFrame, slice_edges: int | None = None) -> "SlicedEdges":
+    def of(cls, edges: DataFrame, slice_edges: int | None = None, degree: DataFrame | None = None) -> "SlicedEdges":
+        """``edges`` with distinct ``(src, dst)``; ``degree`` (src, n) where
+        it is known already."""
         size = slice_edges or SLICE_EDGES
-        edges = cut_lineage(edges)
-        degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+        if degree is None:
+            edges = cut_lineage(edges)
+            degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+        degree = cut_lineage(degree.select("src", "n"))
         hubs = cut_lineage(degree.filter(F.col("n") > size)
                            .select("src", F.ceil(F.col("n") / size).cast("int").alias("slices")))
+        total = degree.agg(F.sum("n")).first()[0] or 0
+        buckets = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_EDGES))
+        release(degree)
         if hubs.isEmpty():
             release(hubs)
-            return cls(edges, None)
+            return cls(bucketed(edges, ["src"], buckets), None)
         deal = F.pmod(F.xxhash64("dst"), F.coalesce(F.col("slices"), F.lit(1))).cast("int")
-        table = cut_lineage(edges.join(hubs, "src", "left").withColumn("slice", deal).drop("slices"))
-        release(edges)
-        return cls(table, hubs)
+        dealt = edges.join(hubs, "src", "left").withColumn("slice", deal).drop("slices")
+        return cls(bucketed(dealt, ["src", "slice"], buckets), hubs)
+
+    @classmethod
+    def transitions(cls, graph: Graph, with_degree: bool = False) -> "SlicedEdges":
+        """``(src, dst, w)`` of :func:`transition_weights`, and with
+        ``with_degree`` also ``dst_deg``, the distinct out-edges of ``dst``."""
+        mult, degree = _multiplicity(internal_edges(graph).select("src", "dst"))
+        edges = _weighted(mult, degree)
+        if with_degree:
+            edges = (edges.join(degree.select(F.col("src").alias("dst"), F.col("n").alias("dst_deg")), "dst", "left")
+                     .select("src", "dst", "w", F.coalesce("dst_deg", F.lit(0)).alias("dst_deg")))
+        return cls.of(edges, degree=degree)
 
     def meet(self, state: DataFrame, key: str) -> DataFrame:
         """Inner join of ``state`` on ``key = src``, its rows repeated for
         every slice of their vertex."""
         if self.hubs is None:
             return state.join(self.table.withColumnRenamed("src", key), key)
-        hubs = self.hubs.select(F.col("src").alias(key), "slices")
         last = F.coalesce(F.col("slices"), F.lit(1)) - 1
-        dealt = (state.join(hubs, key, "left")
+        dealt = (state.join(self.hubs.withColumnRenamed("src", key), key, "left")
                  .withColumn("slice", F.explode(F.sequence(F.lit(0), last))).drop("slices"))
         return dealt.join(self.table.withColumnRenamed("src", key), [key, "slice"]).drop("slice")
 

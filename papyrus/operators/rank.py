@@ -13,13 +13,13 @@ Semantics (same as the graph library the reference calls):
   ``tol`` (Pregel style), then the same rescaling.
 
 Plan shape per iteration: the transition table ``(src, dst, w)`` is written
-once, with the out-edges of a hub cut into slices
-(:class:`papyrus.operators.graph.SlicedEdges`).  A step joins the state, one
-row per slice of its vertex, with the edges on ``(src, slice)``, then sums
-by ``groupBy(source, dst)`` with partial aggregation.  No task gets more than
-a slice of one vertex' edges (out-degree skew), a hub's in-edges are summed
-before the shuffle (in-degree skew), and nothing pins a layout, so adaptive
-execution may coalesce or split on top.  Personalised state is sparse: only
+once, in buckets of ``(src, slice)``, with the out-edges of a hub cut into
+slices (:class:`papyrus.operators.graph.SlicedEdges`).  A step shuffles the
+state, one row per slice of its vertex, to the edges, which stay where they
+lie, then sums by ``groupBy(source, dst)`` with partial aggregation.  No vertex
+brings more than a slice of its edges to a task (out-degree skew), and a
+hub's in-edges are summed before the shuffle (in-degree skew).  Personalised
+state is sparse: only
 vertices reached from a source carry a row, so one source costs its
 reachable set, not ``|V|``.  Lineage is cut with written tables.
 """
@@ -31,21 +31,24 @@ from pyspark.sql import functions as F
 
 from papyrus.functions.ranking import top_k_per_group
 from papyrus.operators.graph import (Graph, SlicedEdges, author_id_of_vertex, author_vertex_id,
-                                     drop_isolated, transition_weights, undirected)
+                                     drop_isolated, undirected)
 from papyrus.operators.lookup import AUTHOR_ID, resolve_author
 from papyrus.session import cut_lineage, release
 
 DEFAULT_RESET = 0.15
 RANK_THRESHOLD = 1e-5
+# ranks equal to this many places are ties (broken by id), so float noise
+# from summation order cannot reorder papers of one rank
+RANK_TIE_DIGITS = 12
 # Iterations between reliable checkpoints: bounds lineage (recovery cost)
 # and the plan the adaptive optimizer re-plans after every stage.
 CHECKPOINT_EVERY = 3
 
 
-def prepared_weights(graph: Graph, make_undirected: bool = False) -> SlicedEdges:
+def prepared_weights(graph: Graph, make_undirected: bool = False, with_degree: bool = False) -> SlicedEdges:
     """Transition table in slices, written to the scratch folder."""
     g = Graph(graph.vertices, undirected(graph.edges)) if make_undirected else graph
-    return SlicedEdges.of(transition_weights(g))
+    return SlicedEdges.transitions(g, with_degree)
 
 
 # ---------------------------------------------------------------- cores
@@ -84,6 +87,46 @@ def personalized_ranks(weights: SlicedEdges, sources: DataFrame, reset: float =
     return state.join(totals, "source").select("source", "id", (F.col("r") / F.col("t")).alias("r"))
 
 
+def push_ranks(weights: SlicedEdges, sources: DataFrame, push: float, reset: float = DEFAULT_RESET,
+               max_iter: int = 10, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
+    """``(source, id, r)``: :func:`personalized_ranks` by forward push.
+
+    A row of the state holds the estimate ``p`` of a vertex and the residual
+    ``r`` that it has not passed on.  A step passes on the residuals of at
+    least ``push`` per out-edge: ``reset`` of them stays as estimate, the rest
+    moves along the edges; smaller ones wait, and join later arrivals.  At the
+    end all residuals count for the vertex they have come to.  Each out-edge
+    used adds ``reset * push`` to estimates that sum up to 1, so a source
+    uses at most ``1 / (reset * push)`` edges in all and its state is bounded
+    by that, whatever the graph's size.  With ``push`` 0 it is the exact run.
+
+    ``weights`` must carry ``dst_deg`` (:meth:`SlicedEdges.transitions`).
+    """
+    keep = 1.0 - reset
+    src = sources.select("source").distinct()
+    degree = weights.table.groupBy("src").agg(F.count(F.lit(1)).alias("deg")).withColumnRenamed("src", "source")
+    state = cut_lineage(src.join(degree, "source", "left").select(
+        "source", F.col("source").alias("id"), F.coalesce("deg", F.lit(0)).cast("long").alias("deg"),
+        F.lit(0.0).alias("p"), F.lit(1.0).alias("r")))
+    written = state
+    moves = (F.col("r") > 0) & (F.col("r") >= F.lit(push) * F.col("deg"))
+    for i in range(1, max_iter + 1):
+        passed = (weights.meet(state.where(moves & (F.col("deg") > 0)).select("source", "id", "r"), "id")
+                  .select("source", F.col("dst").alias("id"), F.col("dst_deg").cast("long").alias("deg"),
+                          F.lit(0.0).alias("p"), (F.lit(keep) * F.col("r") * F.col("w")).alias("r")))
+        stays = state.select("source", "id", "deg",
+                             (F.col("p") + F.when(moves, F.lit(reset) * F.col("r")).otherwise(F.lit(0.0))).alias("p"),
+                             F.when(moves, F.lit(0.0)).otherwise(F.col("r")).alias("r"))
+        state = (stays.unionByName(passed).groupBy("source", "id")
+                 .agg(F.max("deg").alias("deg"), F.sum("p").alias("p"), F.sum("r").alias("r")))
+        # every step: the state is read twice by the next one
+        state = cut_lineage(state)
+        release(written)
+        written = state
+    totals = state.groupBy("source").agg(F.sum(F.col("p") + F.col("r")).alias("t"))
+    return state.join(totals, "source").select("source", "id", ((F.col("p") + F.col("r")) / F.col("t")).alias("r"))
+
+
 def plain_ranks(weights: SlicedEdges, vertex_ids: DataFrame, reset: float = DEFAULT_RESET,
                 max_iter: int = 30, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
     """``(id, r)``: PageRank on every vertex, rescaled to sum ``|V|``."""
@@ -245,6 +288,29 @@ def topic_pagerank_tol(graph: Graph, start: str, tol: float,
             .orderBy(F.desc("pagerank"), "related_paper"))
 
 
+#: Residual per out-edge from which on :func:`top_related` passes it on.
+PUSH = 1e-4
+
+
+def top_related(graph: Graph, n: int = 10, sources: DataFrame | None = None, push: float = PUSH,
+                reset_probability: float = DEFAULT_RESET, max_iter: int = 10, undirected: bool = False,
+                threshold: float = RANK_THRESHOLD) -> DataFrame:
+    """K8: ``(start_paper, related_paper, pagerank, rank)``: the ``n`` papers
+    most related to each paper that has an edge (or to each of ``sources``),
+    ties to the smaller id.
+
+    Linear in the number of sources: forward push bounds the state of each
+    (:func:`push_ranks`), and the output is ``n`` rows a source.  The exact
+    form is :func:`topic_pagerank` with a top-n, or
+    :func:`all_topic_pagerank` with ``keep_top``.
+    """
+    starts = drop_isolated(graph).vertices.select(F.col("id").alias("source")) if sources is None else sources
+    ranks = push_ranks(prepared_weights(graph, undirected, with_degree=True), starts, push, reset_probability, max_iter)
+    kept = ranks.filter((F.col("id") != F.col("source")) & (F.col("r") > F.lit(threshold)))
+    found = kept.select(F.col("source").alias("start_paper"), F.col("id").alias("related_paper"), F.col("r").alias("pagerank"))
+    return top_k_per_group(found, ["start_paper"], [F.round("pagerank", RANK_TIE_DIGITS).desc(), F.asc("related_paper")], n, "rank")
+
+
 def all_topic_pagerank(graph: Graph, reset_probability: float = DEFAULT_RESET, max_iter: int = 10,
                        undirected: bool = False, threshold: float = RANK_THRESHOLD,
                        keep_top: int | None = None, source_blocks: int = 1,

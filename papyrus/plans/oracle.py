@@ -109,6 +109,27 @@ def personalized_steps(reset: float, iters: int, sources: str = "S") -> list[str
     return out
 
 
+def push_steps(reset: float, iters: int, push: float, sources: str = "S") -> list[str]:
+    """Q0..Q{iters}: forward push; residuals of at least ``push`` per
+    distinct out-edge move, smaller ones wait."""
+    keep = 1.0 - reset
+    moves = f"(r > 0 AND r >= {dbl(push)} * deg)"
+    out = ["DEG AS MATERIALIZED (SELECT src, count(*) AS deg FROM W GROUP BY src)",
+           f"Q0 AS MATERIALIZED (SELECT source, source AS id, coalesce(deg, 0) AS deg, CAST(0.0 AS DOUBLE) AS p, CAST(1.0 AS DOUBLE) AS r "
+           f"FROM {sources} LEFT JOIN DEG ON DEG.src = source)"]
+    for i in range(1, iters + 1):
+        out.append(
+            f"Q{i} AS MATERIALIZED (SELECT source, id, max(deg) AS deg, sum(p) AS p, sum(r) AS r FROM ("
+            f"SELECT source, id, deg, p + CASE WHEN {moves} THEN {dbl(reset)} * r ELSE 0.0 END AS p, "
+            f"CASE WHEN {moves} THEN CAST(0.0 AS DOUBLE) ELSE r END AS r FROM Q{i-1} "
+            f"UNION ALL SELECT q.source, W.dst, coalesce(DEG.deg, 0), CAST(0.0 AS DOUBLE), {dbl(keep)} * q.r * W.w "
+            f"FROM (SELECT * FROM Q{i-1} WHERE {moves}) q JOIN W ON q.id = W.src LEFT JOIN DEG ON DEG.src = W.dst) x "
+            f"GROUP BY source, id)")
+    out.append(f"RN AS (SELECT Q{iters}.source, id, (p + r) / t AS r FROM Q{iters} "
+               f"JOIN (SELECT source, sum(p + r) AS t FROM Q{iters} GROUP BY source) T ON Q{iters}.source = T.source)")
+    return out
+
+
 def plain_steps(reset: float, iters: int) -> list[str]:
     keep = 1.0 - reset
     out = ["P0 AS (SELECT id, CAST(1.0 AS DOUBLE) AS r FROM V)"]

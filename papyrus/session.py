@@ -62,12 +62,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "folder (HDFS/S3/ABFS) to checkpoint into")
 
 
+_BUCKETS = "papyrus-buckets-"
+
+
+def _table_name(path: str) -> str:
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
 #: Open scratch scopes, innermost last; the first one ends with the process.
 _scopes: list[list[tuple[SparkSession, str]]] = [[]]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
     try:
+        if _BUCKETS in path:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
         jvm = spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
@@ -122,6 +131,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Materialise ``df`` as a table bucketed and sorted by ``keys``, one file
+    a bucket, in the shared checkpoint folder.
+
+    A join on exactly ``keys`` reads it where it lies: only the other side is
+    shuffled.  The table belongs to the current :func:`scratch` block.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "buckets")
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+     .format("parquet").option("path", path).saveAsTable(_table_name(path)))
+    return spark.table(_table_name(path))
+
+
 def release(df: DataFrame) -> None:
     """Delete the files behind a :func:`cut_lineage` result that no later
     plan reads any more (iterations drop superseded states this way)."""
