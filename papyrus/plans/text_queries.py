@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyrus.operators import simjoin
 from papyrus.operators import text as T
 from papyrus.operators import vectors as VEC
 from papyrus.plans import oracle as O
@@ -336,3 +337,38 @@ def similar_lsh(spark, sf):
     docs = cut_lineage(fixture_doc_vectors(spark, sf))
     index = VEC.build_index(docs, num_tables=FULL_RECALL_TABLES)
     return VEC.similar_lsh(index, first_doc(docs)).select("doi", "title", rnd("distance"))
+
+
+# ------------------------------------------------------- joins of vectors
+
+JOIN_THRESHOLD, NEAR_THRESHOLD = 1.2, 0.5
+#: Hashing of the registered join: a pair within the threshold misses all
+#: tables with a chance below 1e-9, so the exact result is its twin.
+HASHING = {"dims": 64, "tables": 12, "keys": 8, "width": 1.2, "probes": 33}
+
+
+def _join_sql(vectors: str, threshold: float) -> str:
+    return (f"WITH E AS MATERIALIZED ({vectors}) SELECT q.id AS query, e.id AS id, "
+            f"round(sqrt(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(q.vector, e.vector)])), {O.DP}) AS distance "
+            f"FROM E q JOIN E e ON q.id % 20 = 0 "
+            f"WHERE sqrt(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(q.vector, e.vector)])) < {O.dbl(threshold)}")
+
+
+@register("similarity_join_exact", _join_sql("SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS vector FROM embeddings", JOIN_THRESHOLD))
+def similarity_join_exact(spark, sf):
+    """J4 between tables: the embeddings with an id divisible by 20 against
+    all, by cells around pivots."""
+    docs = td.embeddings(spark, sf).withColumnRenamed("vec_id", "id")
+    found = simjoin.similarity_join_exact(docs, docs.where("id % 20 = 0"), JOIN_THRESHOLD)
+    return found.select("query", "id", rnd("distance"))
+
+
+@register("similarity_join_lsh", _join_sql(
+    f"SELECT vec_id * {td.VARIANTS} + n AS id, [CAST(embedding[i] AS DOUBLE) + n * {O.dbl(td.VARIANT_STEP)} * ((7 * (i - 1) + n) % 3 - 1) "
+    f"FOR i IN range(1, len(embedding) + 1)] AS vector FROM embeddings, range({td.VARIANTS}) r(n)", NEAR_THRESHOLD))
+def similarity_join_lsh(spark, sf):
+    """J4 / T9 between tables: variants of the embeddings, those with an id
+    divisible by 20 against all, by hash buckets with several probes."""
+    docs = td.embedding_variants(spark, sf)
+    found = simjoin.similarity_join_lsh(docs, docs.where("id % 20 = 0"), NEAR_THRESHOLD, **HASHING)
+    return found.select("query", "id", rnd("distance"))

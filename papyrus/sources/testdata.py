@@ -147,6 +147,19 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
 
 
+#: Rows that :func:`embedding_variants` makes of one embedding, and their step.
+VARIANTS, VARIANT_STEP = 4, 0.03
+
+
+def embedding_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, vector)``: groups of near vectors, for joins whose threshold
+    selects: variant ``n`` of a vector has ``n * 0.03 * ((7 i + n) % 3 - 1)``
+    added to component ``i``."""
+    e = embeddings(spark, sf_dir).select("vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("n"))
+    moved = F.transform("vector", lambda x, i: x + F.col("n") * F.lit(VARIANT_STEP) * ((7 * i + F.col("n")) % 3 - 1))
+    return e.select((F.col("vec_id") * VARIANTS + F.col("n")).alias("id"), moved.alias("vector"))
+
+
 def word_vectors(spark: SparkSession, sf_dir: str, word_counts: DataFrame,
                  min_count: int = 3) -> DataFrame:
     """``(word, vector)``: the n-th word (alphabetical, from 0) among words

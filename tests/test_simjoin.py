@@ -1,0 +1,88 @@
+"""Joins of vector tables against brute force."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from papyrus.operators import simjoin as S
+
+SCHEMA = "id long, vector array<double>, cell string, d string, ring string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, "x", "x", "x") for i, v in rows], SCHEMA).repartition(3)
+
+
+def brute(docs, queries, threshold):
+    good = lambda v: v is not None and all(x is not None and np.isfinite(x) for x in v)
+    return sorted((q, i) for q, a in queries if good(a) for i, b in docs if good(b) and np.linalg.norm(np.subtract(a, b)) < threshold)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(12, 8)) * 2
+    rows = [(k, (centre[k % 12] + 0.3 * rng.normal(size=8)).tolist()) for k in range(600)]
+    rows += [(1000 + k, rows[5][1]) for k in range(300)]                    # a third are copies
+    return rows + [(7, rows[7][1]), (2000, None), (2001, [float("nan")] * 8), (2002, [None] + [0.0] * 7), (2003, [float("inf")] * 8)]
+
+
+@pytest.mark.parametrize("pivots, cell", [(1, 10_000), (16, 10_000), (16, 20), (64, 7)])
+def test_exact_join(spark, rows, pivots, cell):
+    some = [r for r in rows if r[0] % 20 == 0 or r[0] > 1999]
+    docs, queries = frame(spark, rows), frame(spark, some)
+    got = S.similarity_join_exact(docs, queries, 0.8, pivots=pivots, cell=cell)
+    assert sorted((r["query"], r["id"]) for r in got.collect()) == brute(rows, some, 0.8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_planes_leave_out_most_cells(spark, rows):
+    pivots = np.array([r[1] for r in rows[:12]])
+    queries = np.array([r[1] for r in rows[12:200]])
+    row, _, _ = S.Cells(pivots).open(queries, 0.8)
+    assert len(row) < 0.3 * len(queries) * len(pivots)
+
+
+def test_nothing_to_join(spark, rows):
+    none, some = frame(spark, []), frame(spark, rows[:3])
+    for a, b in ((none, some), (some, none), (none, none)):
+        assert S.similarity_join_exact(a, b, 1.0).collect() == []
+        assert S.similarity_join_lsh(a, b, 1.0, dims=8).collect() == []
+
+
+def test_hashed_join(spark, rows):
+    some = [r for r in rows if r[0] % 20 == 0 and r[0] < 1000]
+    docs, queries = frame(spark, rows), frame(spark, some)
+    found = S.similarity_join_lsh(docs, queries, 0.8, dims=8)
+    got = sorted((r["query"], r["id"]) for r in found.collect())
+    want = brute(rows, some, 0.8)
+    assert len(set(got) & set(want)) / len(set(want)) >= 0.9
+    # repeated rows join row by row, and no pair comes from two tables
+    assert all(got.count(p) <= want.count(p) for p in set(got))
+    pairs = S.similarity_candidates_lsh(docs, queries, 8, 8, 4, 1.6, 9).count()
+    assert pairs < 0.5 * len(rows) * len(some)
+
+
+def test_more_probes_find_more(spark):
+    rng = np.random.default_rng(2)
+    own = S.Projections(16, 4, 6, 1.0)
+    a = rng.normal(size=(400, 16))
+    b = a + 0.08 * rng.normal(size=a.shape)
+    share = []
+    for n in (1, 8, 40):
+        hit = (own.probes(a, n) == own.own(b)[:, :, None]).any(axis=(1, 2))
+        share.append(hit.mean())
+    assert share[0] < share[1] < share[2] + 1e-9 and share[2] > 0.9
+    assert (own.probes(a, 1)[:, :, 0] == own.own(a)).all()
+
+
+def test_registered_hashing_selects(spark):
+    """Candidates of the registered query are below a tenth of all pairs."""
+    from papyrus.plans.text_queries import HASHING
+    from papyrus.sources import testdata as td
+
+    docs = td.embedding_variants(spark, "/root/testdata/sf0.01")
+    queries = docs.where("id % 20 = 0")
+    pairs = S.similarity_candidates_lsh(docs, queries, **HASHING).count()
+    assert pairs < 0.1 * docs.count() * queries.count()
