@@ -5,13 +5,17 @@ kind, a bounded sample of them (``SAMPLE`` distinct values, the smallest by
 hash, out of all documents) builds a prefix tree, whose states are merged
 where their symbol and end frequencies are statistically compatible (Hoeffding
 bound), which gives a probabilistic automaton of the kind's format.  Every
-other token that could be a credential is scored by all automata and becomes
-a span of the likeliest kind if its likelihood per symbol reaches that of the
-kind's own values and its length lies among theirs.
+other run of ``MIN_CANDIDATE`` symbols or more over the labelled alphabet, cut
+where it meets a plain case, is a candidate.  All automata score it, and it becomes a
+span of the likeliest kind if its likelihood per symbol, the end counted as one,
+reaches that of the kind's own values; its length is judged by the end's
+likelihood alone.  A sum of each symbol's highest likelihood in any state, taken for
+all candidates of a slice at once, leaves out those that cannot reach it.
 
 Defined results: a null or empty text has no spans; without any labelled
 value nothing is added; null and repeated document ids pass through row by
-row; an empty table gives an empty result; other columns are not read.
+row; an empty table gives an empty result; other columns are not read.  A text
+longer than a slice is a slice of its own.
 """
 
 from __future__ import annotations
@@ -19,7 +23,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,7 +41,8 @@ SAMPLE = 400
 ALPHA = 0.05
 #: Share of a kind's own values that may lie below its threshold.
 MISS = 0.02
-MIN_CANDIDATE = 16
+#: Symbols of the shortest value that the patterns label.
+MIN_CANDIDATE = 6
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
                     re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -53,8 +57,7 @@ def _class(chars: bytes) -> np.ndarray:
 
 _DIGITS = b"0123456789"
 _LETTERS = bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B))
-_HEX, _TOKEN = _class(_DIGITS + b"abcdef"), _class(_DIGITS + _LETTERS + b"+/_=-")
-_IS_DIGIT, _IS_LETTER = _class(_DIGITS), _class(_LETTERS)
+_HEX, _TOKEN = _class(_DIGITS + b"abcdef"), _class(_DIGITS + _LETTERS + b"+/_.=-")
 
 Span = tuple[int, int, int]  # start, kind, end: in order of the contract
 
@@ -77,28 +80,38 @@ def base_spans(text: bytes) -> list[tuple[Span, bytes]]:
     return found
 
 
-def scan(texts: list[bytes]) -> Iterator[tuple[int, list[tuple[Span, bytes]], list[tuple[int, int]]]]:
-    """(row, base spans with values, further candidate ranges) of the texts
-    that have any, in bytes."""
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    starts = np.cumsum(lengths) - lengths
-    hexes: dict[int, list[tuple[int, int]]] = {}
-    others: dict[int, list[tuple[int, int]]] = {}
-    for table, least, into in ((_HEX, 24, hexes), (_TOKEN, MIN_CANDIDATE, others)):
-        for s, e in _runs(buf, table, least):
-            d = int(np.searchsorted(starts, s, side="right")) - 1
-            into.setdefault(d, []).append((s - int(starts[d]), e - int(starts[d])))
-    for d, text in enumerate(texts):
-        base = base_spans(text) + [((s, 2, e), text[s:e]) for s, e in hexes.get(d, ())]
-        free = []
-        for s, e in others.get(d, ()):
-            piece = buf[int(starts[d]) + s:int(starts[d]) + e]
-            if (_IS_DIGIT[piece].any() and _IS_LETTER[piece].any()
-                    and not any(s < span[2] and span[0] < e for span, _ in base)):
-                free.append((s, e))
-        if base or free:
-            yield d, base, free
+class Slice:
+    """The texts of a slice as one buffer."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts = texts
+        self.buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+        self.starts = np.cumsum(lengths) - lengths
+
+    def row(self, place: int) -> int:
+        return int(np.searchsorted(self.starts, place, side="right")) - 1
+
+    def base(self) -> dict[int, list[tuple[Span, bytes]]]:
+        """Base spans (in bytes of their text) with their values, by row."""
+        found = {d: spans for d, text in enumerate(self.texts) if (spans := base_spans(text))}
+        for s, e in _runs(self.buf, _HEX, 24):
+            d = self.row(s)
+            at = int(self.starts[d])
+            found.setdefault(d, []).append(((s - at, 2, e - at), self.buf[s:e].tobytes()))
+        return found
+
+    def candidates(self, base: dict[int, list[tuple[Span, bytes]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, in the buffer, of the runs outside base spans."""
+        free = _TOKEN[self.buf]
+        for d, spans in base.items():
+            at = int(self.starts[d])
+            for (s, _, e), _ in spans:
+                free[at + s:at + e] = False
+        edge = np.flatnonzero(np.diff(free, prepend=False, append=False))
+        start, end = edge[0::2], edge[1::2]
+        long = end - start >= MIN_CANDIDATE
+        return start[long], end[long]
 
 
 # ---------------------------------------------------------------- automata
@@ -111,27 +124,37 @@ class State:
     to: dict[int, int] = field(default_factory=dict)
 
 
-@dataclass
 class Automaton:
-    """A probabilistic automaton over bytes."""
-
-    states: list[State]
-    least: int
-    most: int
-    threshold: float = 0.0
+    """A probabilistic automaton over bytes.
+
+    Symbols that a state has not seen share half a count; what follows one is
+    read from the state that met it."""
+
+    def __init__(self, states: list[State]):
+        self.states = states
+        self.threshold = -math.inf
+        self.unseen = [math.log2(0.5 / 64 / (s.count + 1)) for s in states]
+        self.symbol = [{c: math.log2((n + 0.5 / 64) / (s.count + 1)) for c, n in s.seen.items()} for s in states]
+        self.end = [math.log2((s.ends + 0.5) / (s.count + 1)) for s in states]
+        highest = np.full(256, max(self.unseen))
+        for table in self.symbol:
+            for c, v in table.items():
+                highest[c] = max(highest[c], v)
+        self.highest = highest
 
     def score(self, value: bytes) -> float:
-        """Mean log2 likelihood per symbol, the end among them; symbols that
-        a state has not seen share half a count with the end."""
-        total, at, known = 0.0, 0, True
+        """Mean log2 likelihood per symbol, the end among them."""
+        total, at = 0.0, 0
         for symbol in value:
-            state = self.states[at]
-            total += math.log2((state.seen.get(symbol, 0) + 0.5 / 64 if known else 0.5 / 64) / (state.count + 1))
-            known = known and symbol in state.to
-            at = state.to.get(symbol, at)
-        state = self.states[at]
-        total += math.log2((state.ends + 0.5) / (state.count + 1))
-        return total / (len(value) + 1)
+            total += self.symbol[at].get(symbol, self.unseen[at])
+            at = self.states[at].to.get(symbol, at)
+        return (total + self.end[at]) / (len(value) + 1)
+
+    def may_reach(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether the ranges could score the threshold: no sequence of states
+        gives a symbol more than its highest likelihood."""
+        sums = np.concatenate([[0.0], np.cumsum(self.highest[buf])])
+        return (sums[end] - sums[start] + max(self.end)) / (end - start + 1) >= self.threshold - 1e-6
 
 
 def _compatible(states: list[State], a: int, b: int) -> bool:
@@ -149,8 +172,6 @@ def _compatible(states: list[State], a: int, b: int) -> bool:
                 if abs(x.seen.get(symbol, 0) / x.count - y.seen.get(symbol, 0) / y.count) > bound:
                     return False
         stack += [(x.to[s], y.to[s]) for s in x.to.keys() & y.to.keys()]
-        if len(stack) > 100_000:
-            return False
     return True
 
 
@@ -205,7 +226,7 @@ def infer(values: list[bytes]) -> Automaton:
     number = {q: k for k, q in enumerate(accepted)}
     kept = [State(states[q].count, states[q].ends, states[q].seen, {s: number[t] for s, t in states[q].to.items()})
             for q in accepted]
-    made = Automaton(kept, min(map(len, values)), max(map(len, values)))
+    made = Automaton(kept)
     scores = sorted(map(made.score, values))
     made.threshold = scores[int(MISS * len(scores))]
     return made
@@ -215,13 +236,12 @@ Model = dict[int, Automaton]
 
 
 def judge(model: Model, value: bytes) -> int | None:
-    """The likeliest kind whose threshold and lengths the value meets."""
+    """The likeliest kind whose threshold the value meets."""
     best = None
     for kind, automaton in sorted(model.items()):
-        if automaton.least <= len(value) <= automaton.most:
-            score = automaton.score(value)
-            if score >= automaton.threshold and (best is None or score > best[0]):
-                best = (score, kind)
+        score = automaton.score(value)
+        if score >= automaton.threshold and (best is None or score > best[0]):
+            best = (score, kind)
     return None if best is None else best[1]
 
 
@@ -231,7 +251,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         least: list[list[tuple[int, bytes]]] = [[] for _ in KINDS]  # of each kind, heaps of (-hash, value)
         inside: list[set[bytes]] = [set() for _ in KINDS]
         for part in X.slices(batches, 0):
-            for _, base, _ in scan(X.as_bytes(part.column(0))):
+            for base in Slice(X.as_bytes(part.column(0))).base().values():
                 for (_, kind, _), value in base:
                     order = -(xxhash.xxh64_intdigest(value) >> 1)
                     heap = least[kind]
@@ -259,13 +279,22 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
 def spans_of(texts: list[bytes], model: Model) -> dict[int, tuple[list[Span], list[Span]]]:
     """Per row with any: base spans and all spans, in bytes, in order."""
-    out = {}
-    for d, base, free in scan(texts):
-        first = sorted(span for span, _ in base)
-        more = [(s, kind, e) for s, e in free if (kind := judge(model, texts[d][s:e])) is not None]
-        if first or more:
-            out[d] = first, sorted(first + more)
-    return out
+    part = Slice(texts)
+    base = part.base()
+    first = {d: sorted(span for span, _ in found) for d, found in base.items()}
+    more: dict[int, list[Span]] = {}
+    if model:
+        start, end = part.candidates(base)
+        likely = np.zeros(len(start), dtype=bool)
+        for automaton in model.values():
+            likely |= automaton.may_reach(part.buf, start, end)
+        for s, e in zip(start[likely].tolist(), end[likely].tolist(), strict=True):
+            kind = judge(model, part.buf[s:e].tobytes())
+            if kind is not None:
+                d = part.row(s)
+                at = int(part.starts[d])
+                more.setdefault(d, []).append((s - at, kind, e - at))
+    return {d: (first.get(d, []), sorted(first.get(d, []) + more.get(d, []))) for d in sorted(first.keys() | more.keys())}
 
 
 def _named(text: bytes, spans: list[Span]) -> list[str]:

@@ -311,6 +311,46 @@ def test_secrets(spark, nothing):
     assert secrets.train(nothing) == {} and secrets.find(nothing, {}).collect() == []
 
 
+def test_added_spans_are_those_of_scoring_every_run(spark):
+    """Unlabelled credentials of the labelled formats, against scoring each run
+    outside the plain cases symbol by symbol."""
+    rng = np.random.default_rng(16)
+    make = lambda chars, n: "".join(rng.choice(list(chars), n))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    rows = [(k, f"{C.prose(rng=C.random.Random(k), n=20)} token={make('xyz', 4)}-{make('0123456789', 8)} and AKIA{make(upper, 16)}") for k in range(120)]
+    rows += [(200 + k, f"an {make('xyz', 4)}-{make('0123456789', 8)} é {make(lower, 20)}, AKIA{make(upper, 12)} xxyy-123 zz") for k in range(30)]
+    rows += [(300, "password=abcdef\u00e9" + "xyzx-12345678"), (301, None), (302, ""), (303, "xyzz-" + "1" * 5000), (304, "xyzz-12345678 " * 3)]
+    docs = C.frame(spark, rows)
+    model = secrets.train(docs)
+    assert len(model[0].states) > 1 and len(model[1].states) > 1
+
+    def plain(automaton, value):
+        at, total = 0, 0.0
+        for c in value:
+            s = automaton.states[at]
+            n = s.seen.get(c, 0) + 0.5 / 64
+            total += np.log2(n / (s.count + 1))
+            at = s.to.get(c, at)
+        return (total + np.log2((automaton.states[at].ends + 0.5) / (automaton.states[at].count + 1))) / (len(value) + 1)
+
+    added = 0
+    for r in secrets.find(docs, model).collect():
+        text = dict(rows)[r["doc_id"]] or ""
+        covered = [False] * len(text)
+        for x in r["base"]:
+            _, a, b = x.split(":")
+            covered[int(a):int(b)] = [True] * (int(b) - int(a))
+        free = "".join("\n" if c else t for c, t in zip(covered, text))
+        want = set(r["base"])
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", free):
+            scores = [(plain(a, m.group().encode()), -k) for k, a in model.items() if plain(a, m.group().encode()) >= a.threshold]
+            if scores:
+                want.add(f"{secrets.KINDS[-max(scores)[1]]}:{m.start()}:{m.end()}")
+                added += 1
+        assert set(r["spans"]) == want
+    assert added >= 30
+
+
 def test_automata_tell_formats_apart():
     """Held-out accuracy on labelled credentials and other tokens."""
     rng = np.random.default_rng(6)
