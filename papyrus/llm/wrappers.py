@@ -9,9 +9,11 @@ become slots.  Aligning all pages of a host one after the other gives its
 wrapper: tasks align the pages they read, partial wrappers of a host are
 aligned in two further steps.
 
-The wrapper tells where the article is: an element that is marked as the
-article, or else the innermost element that holds most of the text outside
-links and page furniture.  A page's main text is the text of these elements
+The wrapper tells where the article is: of the text outside links and page
+furniture, what differs between the host's pages (its slots) weighs, and what all of
+them repeat does not; where nothing differs, as on a host of one page, all of it
+weighs.  Elements marked as the article are taken if they hold half of that weight,
+or else the innermost element that holds most of it.  A page's main text is the text of these elements
 without furniture inside them, block by block; a page that none of its host's
 elements matches is read by the wrapper of that page alone.
 
@@ -22,15 +24,21 @@ is furniture, an article inside it or else the whole body is read.
 
 Defined results: a null or empty page has an empty text; pages whose url is
 null or has no host form one group; repeated rows and null ids pass through;
-an empty table gives an empty result; other columns are not read.
+an empty table gives an empty result; other columns are not read.  Elements nested
+deeper than ``DEPTH`` count as content of the one at that depth, as in browsers; no
+text is lost.  Tags that never end are text.  Siblings are aligned by a longest common
+subsequence where they are few; long lists are cut at items that are unique in both
+first, and what is still long is matched from left to right.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrus.llm import texts as X
+from papyrus.session import cut_lineage
 
 # Fixed values of HTML: elements without content, raw-text elements, blocks.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,7 +80,8 @@ KEPT = {"html", "body", "main", "article"}
 #: is all in one element if no other has one part in so many of its text.
 HINT = 4
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.DOTALL)
+#: A tag ends before the next ``<`` outside quotes, or is none.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:"[^"]*"|'[^']*'|[^'"<>])*+)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in RAW}
 
@@ -92,16 +102,71 @@ def _sign(name: str, raw: str) -> str:
     return " ".join([name, *words])
 
 
+#: Levels of the tree, as browsers limit them too.
+DEPTH = 150
+
+
+class Path:
+    """The open elements, and how many of each name."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.names = [""]
+        self.open: Counter = Counter()
+
+    def push(self, name: str, node: Node) -> None:
+        """Beyond the depth, the deepest element takes the content."""
+        self.nodes.append(node if len(self.nodes) < DEPTH else self.nodes[-1])
+        self.names.append(name)
+        self.open[name] += 1
+
+    def cut(self, at: int) -> None:
+        for name in self.names[at:]:
+            self.open[name] -= 1
+        del self.nodes[at:], self.names[at:]
+
+    def close(self, name: str) -> None:
+        """The end of ``name``: up to the innermost open one; the end of an
+        inline element goes over no block."""
+        if not self.open[name]:
+            return
+        for k in range(len(self.names) - 1, 0, -1):
+            if self.names[k] == name:
+                return self.cut(k)
+            if name not in BLOCK and self.names[k] in BLOCK:
+                return None
+
+    def close_for(self, name: str) -> None:
+        """Close the elements that the start of ``name`` ends."""
+        while any(self.open[held] for held in _CLOSES.get(name, ())):
+            for k in range(len(self.names) - 1, 0, -1):
+                held = self.names[k]
+                if name in CLOSED_BY.get(held, ()):
+                    self.cut(k)
+                    break
+                if held in SCOPE.get(name, ()) or held in BLOCK and held not in CLOSED_BY:
+                    return
+            else:
+                return
+
+
+_CLOSES: dict[str, list[str]] = {}
+for _held, _names in CLOSED_BY.items():
+    for _name in _names:
+        _CLOSES.setdefault(_name, []).append(_held)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; open ends are closed as HTML does."""
     root = Node("", "")
-    path = [root]
+    path = Path(root)
+    endless: set[str] = set()
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
             text = page[at:m.start() if m else len(page)]
-            path[-1].kids.append(html.unescape(text))
+            path.nodes[-1].kids.append(html.unescape(text))
             if m is None:
                 break
         at = m.end()
@@ -109,40 +174,26 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if m.group(1):
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].name == name:
-                    del path[k:]
-                    break
-                if name not in BLOCK and path[k].name in BLOCK:
-                    break
+            path.close(name)
             continue
-        _close_for(path, name)
+        path.close_for(name)
         node = Node(name, _sign(name, m.group(3)))
-        path[-1].kids.append(node)
+        if len(path.nodes) <= DEPTH:
+            path.nodes[-1].kids.append(node)
         if name in RAW:
-            end = _RAW_END[name].search(page, at)
-            if end is None and name not in ("script", "style"):
-                continue
+            end = None if name in endless else _RAW_END[name].search(page, at)
+            if end is None:
+                endless.add(name)
+                if name not in ("script", "style"):
+                    continue
             if name == "title":
                 node.kids.append(html.unescape(page[at:end.start() if end else len(page)]))
             at = end.end() if end else len(page)
         elif name not in VOID and not m.group(3).endswith("/"):
-            path.append(node)
+            path.push(name, node)
     return root
 
 
-def _close_for(path: list[Node], name: str) -> None:
-    """Close the elements that the start of ``name`` ends."""
-    for k in range(len(path) - 1, 0, -1):
-        held = path[k].name
-        if name in CLOSED_BY.get(held, ()):
-            del path[k:]
-            return _close_for(path, name)
-        if held in SCOPE.get(name, ()) or held in BLOCK and held not in CLOSED_BY:
-            return None
-    return None
-
-
 def is_furniture(sign: str) -> bool:
     name, *words = sign.split(" ")
     return name not in KEPT and (name in FURNITURE or any(
@@ -174,15 +225,11 @@ def is_kept(sign: str) -> bool:
 # (repeated group).  ``many`` and ``maybe`` are 0 or 1 for + and ?, ``weight``
 # the characters of the text in it, ``content`` a list of items.
 
-def _same(a: list, b: list) -> bool:
-    """Items that may stand for one another."""
-    if a[0] != b[0]:
-        return False
-    if a[0] == "x":
-        return True
-    if a[0] == "t":
-        return a[1] == b[1]
-    return len(a[5]) == len(b[5]) and all(map(_same, a[5], b[5]))
+def _key(item: list) -> tuple:
+    """Items of one key may stand for one another."""
+    if item[0] == "x":
+        return ("x",)
+    return ("t", item[1]) if item[0] == "t" else ("g", *map(_key, item[5]))
 
 
 def _merge(a: list, b: list) -> list:
@@ -191,62 +238,144 @@ def _merge(a: list, b: list) -> list:
     return [a[0], key, a[2] | b[2], a[3] | b[3], a[4] + b[4], align(a[5], b[5])]
 
 
-def align(a: list, b: list) -> list:
-    """One expression for both: a longest common subsequence stays, the rest
-    becomes optional."""
-    if not a or not b or a is b:
-        return [[*i[:3], 1, *i[4:]] for i in a or b] if a is not b else a
-    head = 0
-    while head < min(len(a), len(b)) and _same(a[head], b[head]):
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and _same(a[-1 - tail], b[-1 - tail]):
-        tail += 1
-    out = [_merge(x, y) for x, y in zip(a[:head], b[:head], strict=True)]
-    p, q = a[head:len(a) - tail], b[head:len(b) - tail]
+#: Cells of the table of a longest common subsequence.
+TABLE = 1 << 18
+#: Items that the left-to-right match of long lists goes over at most.
+AHEAD = 64
+
+
+def _table(p: list, q: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence."""
     best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
     for i in range(len(p) - 1, -1, -1):
+        row, below = best[i], best[i + 1]
         for j in range(len(q) - 1, -1, -1):
-            best[i][j] = 1 + best[i + 1][j + 1] if _same(p[i], q[j]) else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < len(p) or j < len(q):
-        if i < len(p) and j < len(q) and _same(p[i], q[j]):
-            out.append(_merge(p[i], q[j]))
+            row[j] = 1 + below[j + 1] if p[i] == q[j] else max(below[j], row[j + 1])
+    out, i, j = [], 0, 0
+    while i < len(p) and j < len(q):
+        if p[i] == q[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == len(q) or i < len(p) and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*p[i][:3], 1, *p[i][4:]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([*q[j][:3], 1, *q[j][4:]])
             j += 1
-    if tail:
-        out += [_merge(x, y) for x, y in zip(a[-tail:], b[-tail:], strict=True)]
-    return fold(out)
+    return out
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of pairs, in order of the first, whose seconds rise."""
+    tops: list[int] = []
+    ends: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        at = bisect.bisect_left(tops, j)
+        before[k] = ends[at - 1] if at else -1
+        tops[at:at + 1], ends[at:at + 1] = [j], [k]
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _common(p: list, q: list) -> list[tuple[int, int]]:
+    """Places of a common subsequence of two lists of keys."""
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(p), 0, len(q))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and p[a] == q[c]:
+            found.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and p[b - 1] == q[d - 1]:
+            b, d = b - 1, d - 1
+            found.append((b, d))
+        if (b - a) * (d - c) <= TABLE:
+            found += [(a + i, c + j) for i, j in _table(p[a:b], q[c:d])]
+            continue
+        left, right = Counter(p[a:b]), Counter(q[c:d])
+        place = {q[j]: j for j in range(c, d) if right[q[j]] == 1}
+        fixed = _rising([(i, place[p[i]]) for i in range(a, b) if left[p[i]] == 1 and p[i] in place])
+        if fixed:
+            found += fixed
+            edges = [(a - 1, c - 1), *fixed, (b, d)]
+            todo += [(i + 1, k, j + 1, n) for (i, j), (k, n) in zip(edges, edges[1:])]
+            continue
+        places: dict[tuple, list[int]] = {}
+        for j in range(c, d):
+            places.setdefault(q[j], []).append(j)
+        at = c
+        for i in range(a, b):
+            where = places.get(p[i], ())
+            k = bisect.bisect_left(where, at)
+            if k < len(where) and where[k] - at <= AHEAD:
+                found.append((i, where[k]))
+                at = where[k] + 1
+    return sorted(found)
 
 
-LONGEST_GROUP = 4
+def align(a: list, b: list) -> list:
+    """One expression for both: a common subsequence stays, the rest becomes
+    optional."""
+    if not a or not b or a is b:
+        return [[*i[:3], 1, *i[4:]] for i in a or b] if a is not b else a
+    out: list = []
+    i = j = 0
+    for m, n in [*_common(list(map(_key, a)), list(map(_key, b))), (len(a), len(b))]:
+        out += [[*x[:3], 1, *x[4:]] for x in (*a[i:m], *b[j:n])]
+        if m < len(a):
+            out.append(_merge(a[m], b[n]))
+        i, j = m + 1, n + 1
+    return fold(out)
 
 
 def fold(items: list) -> list:
-    """Repeats in a row become one repeated item or group."""
+    """Repeats in a row become one repeated item or group, however long: the
+    last items are held against those up to the last item of the same key, and
+    against the content of the last group."""
     out: list = []
-    for item in items:
+    keys: list = []
+    last: dict[tuple, int] = {}
+
+    def put(item: list, key: tuple) -> None:
+        last[key] = len(out)
         out.append(item)
-        for n in range(1, LONGEST_GROUP + 1):
-            last, first = out[-n:], out[-2 * n:-n]
-            if len(first) == n and all(map(_same, first, last)) and not (n == 1 and item[0] == "x"):
-                both = [_merge(x, y) for x, y in zip(first, last, strict=True)]
-                if n == 1:
-                    both[0][2] = 1
-                    out[-2:] = both
-                else:
-                    out[-2 * n:] = [["g", None, 1, 0, sum(i[4] for i in both), both]]
-                break
-            group = out[-n - 1] if len(out) > n else None
-            if n > 1 and group is not None and group[0] == "g" and len(group[5]) == n and all(map(_same, group[5], last)):
-                out[-n - 1:] = [["g", None, 1, group[3], group[4] + sum(i[4] for i in last),
-                                 [_merge(x, y) for x, y in zip(group[5], last, strict=True)]]]
-                break
+        keys.append(key)
+
+    def drop(n: int) -> list:
+        gone = out[len(out) - n:]
+        del out[len(out) - n:], keys[len(keys) - n:]
+        return gone
+
+    group = -1
+    for item in items:
+        key = _key(item)
+        before = last.get(key, -1)
+        before = before if before < len(out) and before >= 0 and keys[before] == key else -1
+        put(item, key)
+        if item[0] == "g":
+            group = len(out) - 1
+        n = len(out) - 1 - before if before >= 0 else 0
+        if n and not (n == 1 and item[0] == "x") and 2 * n <= len(out) and keys[-n:] == keys[-2 * n:-n]:
+            second, first = drop(n), drop(n)
+            both = [_merge(x, y) for x, y in zip(first, second, strict=True)]
+            if n == 1:
+                both[0][2] = 1
+                put(both[0], key)
+            else:
+                made = ["g", None, 1, 0, sum(i[4] for i in both), both]
+                put(made, _key(made))
+                group = len(out) - 1
+            continue
+        if 0 <= group < len(out) - 1 and out[group][0] == "g":
+            n = len(out) - 1 - group
+            if len(out[group][5]) == n and keys[group][1:] == tuple(keys[-n:]):
+                tail = drop(n)
+                held = drop(1)[0]
+                made = ["g", None, 1, held[3], held[4] + sum(i[4] for i in tail), [_merge(x, y) for x, y in zip(held[5], tail, strict=True)]]
+                put(made, _key(made))
+                group = len(out) - 1
     return out
 
 
@@ -273,6 +402,10 @@ def hash_text(text: str) -> str:
 def regions(wrapper: list) -> list[list[str]]:
     """Paths (signs from the root) of the elements that hold the article."""
     whole = sum(map(_plain, wrapper))
+    slots = any(_plain(i, whole, True) for i in wrapper)
+
+    def weigh(items: list) -> int:
+        return sum(_plain(i, whole, slots) for i in items)
 
     def look(items: list, path: list[str], through: bool) -> list[tuple[list[str], list]]:
         """The marked elements, inside furniture too if ``through``."""
@@ -287,23 +420,25 @@ def regions(wrapper: list) -> list[list[str]]:
         return out
 
     marked = look(wrapper, [], False)
-    if marked:
+    if marked and 2 * sum(weigh(item[5]) for _, item in marked) >= weigh(wrapper):
         return [path for path, _ in marked]
+    # a cell that holds most of what differs is one of a table for layout
+    leaves = _LEAVES - {"table", "td"} if slots else _LEAVES
     path: list[str] = []
     items = wrapper
     while True:
         flat = list(_tags(items))
-        weights = [(_plain(i, whole), i) for i in flat if i[0] == "t" and i[1].split(" ")[0] not in _INLINE]
-        here = sum(_plain(i, whole) for i in flat)
+        weights = [(weigh([i]), i) for i in flat if i[0] == "t" and i[1].split(" ")[0] not in _INLINE]
+        here = weigh(flat)
         best = max(weights, key=lambda w: w[0], default=(0, None))
-        if best[1] is None or not best[0] or 10 * best[0] < 6 * here or best[1][1].split(" ")[0] in _LEAVES:
+        if best[1] is None or not best[0] or 10 * best[0] < 6 * here or best[1][1].split(" ")[0] in leaves:
             break
         if any(HINT * w >= best[0] for w, i in weights if i is not best[1]):  # the article may stand in several
             break
         path = [*path, best[1][1]]
         items = best[1][5]
     hidden = look(wrapper, [], True)
-    if sum(_plain(i) for _, item in hidden for i in item[5]) > here:
+    if not marked and sum(_plain(i) for _, item in hidden for i in item[5]) > sum(_plain(i, whole) for i in _tags(items)):
         return [path for path, _ in hidden]
     return [path]
 
@@ -320,14 +455,14 @@ def _tags(items: list) -> Iterator[list]:
             yield item
 
 
-def _plain(item: list, whole: int = 0) -> int:
-    """Characters outside links and furniture; ``whole`` are those of the
-    page, where hints count."""
+def _plain(item: list, whole: int = 0, slots: bool = False) -> int:
+    """Characters outside links and furniture, or only those of ``slots``;
+    ``whole`` are those of the page, where hints count."""
     if item[0] == "x":
-        return item[4]
+        return item[4] if not slots or item[1] is None else 0
     if item[0] == "t" and (item[1].split(" ")[0] in ("a", "header") or _is_cut(item, whole)):
         return 0
-    return sum(_plain(i, whole) for i in item[5])
+    return sum(_plain(i, whole, slots) for i in item[5])
 
 
 def _is_cut(item: list, whole: int) -> bool:
@@ -471,7 +606,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             frame["paths"] = [json.dumps(regions(json.loads(w))) for w in frame.pop("wrapper")]
             yield frame
 
-    places_of = infer(pages, url_col, html_col).mapInPandas(places, "host string, paths string")
+    # written, so that the planner knows its size: pages are shuffled only where there are very many hosts
+    places_of = cut_lineage(infer(pages, url_col, html_col).mapInPandas(places, "host string, paths string"))
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"),
                          F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host"))
     both = named.join(places_of, "host", "left").select("id", "url", "html", "paths")

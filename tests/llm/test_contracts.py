@@ -1,6 +1,7 @@
 """Each operator on the same small corpus of odd cases, against brute force."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -485,6 +486,53 @@ def test_containers_of_the_article_are_no_furniture(page, want):
         assert wrappers.main_text("<html><head><title>t</title></head>" + page, where) == want
 
 
+def test_what_differs_between_pages_of_a_host_is_the_article(spark):
+    """No element or name tells the article: long fixed parts around it do not
+    differ between the pages, optional parts come and go."""
+    fixed = C.prose(C.random.Random(1), 120, 4000)
+    rows, want = [], {}
+    for k in range(40):
+        host, rng = k % 4, C.random.Random(100 + k)
+        body = [C.prose(rng, 12, 4000) for _ in range(2 + k % 3)]
+        note = "<section class=qn>" + C.prose(C.random.Random(host), 40, 4000) + "</section>" if k % 8 < 4 else ""
+        tag = ("div", "section", "td", "center")[host]
+        rows.append((k, f"https://h{host}.example/{k}", f"<html><body><div class=qa>{fixed}<p>{fixed}</div>{note}"
+                     f"<{tag} class=qb>" + "".join(f"<p>{b}</p>" for b in body) + f"</{tag}><div class=qc><p>{fixed}</p><p>{fixed}</div></body>", "x"))
+        want[k] = "\n".join(body)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string").repartition(3)
+    assert {r["page_id"]: r["text"] for r in wrappers.extract(pages).collect()} == want
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "deep text" + "</div>" * 100_000, "<b>" * 100_000 + "deep text", "<a " * 1_700_000 + "<p>deep text",
+    "<p>deep text<p>" + "<textarea>" * 50_000, '<a "' * 300_000 + "<p>deep text", "<!x " * 500_000 + "<p>deep text",
+    "<p>deep text" + "<div>" * 50_000 + "</i>" * 100_000, "".join(f"<div class=c{'z' * (k % 50)}{'y' * (k // 50)}>deep text</div>" for k in range(5_000))],
+    ids=["nested", "inline", "open tags", "textarea", "quotes", "declarations", "ends", "unique"])
+def test_odd_pages_take_seconds(page):
+    began = time.time()
+    assert "deep text" in wrappers.main_text(page, None)
+    made = wrappers.expression(wrappers.parse(page))
+    wrappers.align(made, wrappers.expression(wrappers.parse("<p>other</p>" + page[:len(page) // 2] + page[len(page) // 3:])))
+    assert time.time() - began < 30
+
+
+def test_common_places_are_a_longest_subsequence_of_short_lists():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        p, q = ([("t", str(x)) for x in rng.integers(0, 5, rng.integers(0, 15))] for _ in range(2))
+        got = wrappers._common(p, q)
+        assert all(p[i] == q[j] for i, j in got) and got == sorted(got) and len({j for _, j in got}) == len(got)
+        assert [j for _, j in got] == sorted(j for _, j in got) and len(got) == len(wrappers._table(p, q))
+    long = [("t", str(k)) for k in range(3000)]
+    assert wrappers._common(long, long[:1000] + [("t", "x")] + long[1200:]) == [(k, k if k < 1000 else k - 199) for k in (*range(1000), *range(1200, 3000))]
+
+
+def test_long_repeats_become_groups():
+    page = "<dl>" + "".join(f"<{t}>v{n}</{t}>" for n in range(3) for t in ("i", "b", "u", "s", "em", "q")) + "</dl>"
+    inner = wrappers.expression(wrappers.parse(page))[0][5]
+    assert len(inner) == 1 and inner[0][0] == "g" and len(inner[0][5]) == 6
+
+
 def test_alignment_makes_optional_and_repeated_groups():
     one = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl><p>same</p><p>x</p>"))
     two = wrappers.expression(wrappers.parse("<dl><dt>a<dd>b</dl><hr><p>same</p>"))
