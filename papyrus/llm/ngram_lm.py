@@ -300,7 +300,11 @@ def train_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 # ----------------------------------------------------------------- scoring
 
 class Files:
-    """Sorted arrays of one name, mapped into memory bucket by bucket."""
+    """Sorted arrays of one name, mapped into memory bucket by bucket; the
+    ``OPEN`` buckets opened last stay mapped, so that descriptors do not grow
+    with the model."""
+
+    OPEN = 24
 
     def __init__(self, folder: str, name: str, key: str, columns: tuple[str, ...]):
         self.folder, self.name, self.key, self.columns = folder, name, key, columns
@@ -308,6 +312,8 @@ class Files:
 
     def _open(self, bucket: int) -> list[np.ndarray]:
         if bucket not in self.maps:
+            while len(self.maps) >= self.OPEN:
+                del self.maps[next(iter(self.maps))]
             paths = [os.path.join(self.folder, f"{self.name}-{bucket}.{c}.npy") for c in (self.key, *self.columns)]
             self.maps[bucket] = [np.load(p, mmap_mode="r") for p in paths] if os.path.exists(paths[0]) else []
         return self.maps[bucket]
