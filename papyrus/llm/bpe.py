@@ -33,8 +33,9 @@ BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 LONG = BUCKETS[-1]
 CELLS = 1 << 20
 PIECES = 1 << 18
-#: Distinct chunks, and pieces, that a worker remembers before it starts anew.
-MEMORY = 3 << 18
+#: Distinct chunks, and their characters, that a worker remembers before it
+#: starts anew.
+MEMORY, LETTERS = 3 << 17, 1 << 23
 #: A space inside a piece: white space before it, white space or the end after.
 CROSSED = regex.compile(r" (?:(?=\s)|\Z)(?<=\s )")
 #: Marks a chunk that no space precedes; other chunks do not start with it.
@@ -204,8 +205,9 @@ class Encoder:
     space of any kind; texts with ``CROSSED`` spaces are split by the pattern
     itself.  ``vocab`` has the ``pattern`` and ``encode_chunks``."""
 
-    def __init__(self, vocab):
-        self.vocab = vocab
+    def __init__(self, vocab, memory: int = MEMORY):
+        self.vocab, self.memory = vocab, memory
+        self.letters = 0
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, dtype=np.int32)
         self.count = np.zeros(0, dtype=np.int64)
@@ -215,9 +217,11 @@ class Encoder:
     def _forget(self) -> None:
         """Keep the chunks that came more than once, half of the memory at
         most, the most frequent first."""
-        kept = np.argsort(-self.used, kind="stable")[:MEMORY // 2]
-        kept = np.sort(kept[self.used[kept] > 1])
         chunks = list(self.known)
+        kept = np.argsort(-self.used, kind="stable")[:self.memory // 2]
+        size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        kept = np.sort(kept[(self.used[kept] > 1) & (np.cumsum(size[kept]) <= LETTERS // 2)])
+        self.letters = int(size[kept].sum())
         self.known = {chunks[i]: k for k, i in enumerate(kept.tolist())}
         self.flat = self._gather(kept)
         self.count = self.count[kept]
@@ -272,13 +276,14 @@ class Encoder:
         self.count = np.concatenate([self.count, count])
         self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int64)])
         self.flat = np.concatenate([self.flat, new_flat])
+        self.letters += sum(map(len, new))
         base = len(self.known)
         self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts: list[list[np.ndarray]] = [[] for _ in texts]
         for counts, chunks in self._blocks(texts):
-            if len(self.known) > MEMORY:
+            if len(self.known) > self.memory or self.letters > LETTERS:
                 self._forget()
             if new := list(set(chunks).difference(self.known)):
                 self._learn(new)

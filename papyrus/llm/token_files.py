@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrus.llm import texts as X
-from papyrus.llm.bpe import Encoder
+from papyrus.llm.bpe import MEMORY, Encoder
 
 SHARD_IDS = 1 << 20
 END = 0
@@ -193,7 +193,7 @@ class LibraryEncoder(Encoder):
 
 @lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> LibraryEncoder:
-    return LibraryEncoder(Library(path, pattern))
+    return LibraryEncoder(Library(path, pattern), 2 * MEMORY)
 
 
 # ------------------------------------------------------------------- files
