@@ -35,7 +35,7 @@ CELLS = 1 << 20
 PIECES = 1 << 18
 #: Distinct chunks, and their characters, that a worker remembers before it
 #: starts anew.
-MEMORY, LETTERS = 3 << 17, 1 << 23
+MEMORY, LETTERS = 3 << 17, 1 << 24
 #: A space inside a piece: white space before it, white space or the end after.
 CROSSED = regex.compile(r" (?:(?=\s)|\Z)(?<=\s )")
 #: Marks a chunk that no space precedes; other chunks do not start with it.
