@@ -8,6 +8,12 @@ documents table.
 ``run`` writes the stages' outputs to the session's shared checkpoint folder.
 The stages cannot be expressed in SQL as a whole; ``tests/llm`` holds them
 against brute force.
+
+Defined results, for every stage: a null text counts as the empty text (and stays
+null where the stage passes rows on), a null or repeated id is a row like any
+other, except that near_dedup keeps one row of equal ids and texts as of other copies;
+an empty table gives an empty table; further columns pass through all stages but the
+last, which reads doc_id and text alone.
 """
 
 from __future__ import annotations
