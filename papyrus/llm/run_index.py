@@ -16,7 +16,8 @@ position); sources with long matches form classes of equal windows, of which
 all but the earliest are marked.
 
 Defined results: a null text counts as empty; rows without an id rank after
-all others (ids are below 2^62), in order of a hash; rows that repeat an id are told apart by the hash of their text, and
+all others (ids are below 2^62), in order of a hash; rows that repeat an id
+rank in order of their text's hash, all 63 bits of which tell them apart, and
 equal rows share one result, none being earlier than the other; an empty
 table gives an empty result; other columns are not read.
 """
@@ -265,22 +266,22 @@ def runs(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
 # ------------------------------------------------------------------- spark
 
 _LIGHT = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("rank", T.LongType()),
-                       T.StructField("segment", T.LongType())])
+                       T.StructField("twin", T.LongType()), T.StructField("segment", T.LongType())])
 _PIECE = T.StructType([*_LIGHT, T.StructField("piece", T.BinaryType())])
-_SPAN = T.StructType([T.StructField("rank", T.LongType()), T.StructField("tag", T.IntegerType()),
+_SPAN = T.StructType([T.StructField("rank", T.LongType()), T.StructField("twin", T.LongType()),
                       T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
-#: A segment as one integer: bits of its row's hash (rows that repeat an id
-#: are told apart by them), first window, number of windows, anchor's offset.
-_TAG, _FIRST, _COUNT = 50, 14, 7
-_TAG_MASK, _FIRST_MASK, _SMALL = (1 << 13) - 1, (1 << 36) - 1, 127
+#: A segment as one integer: first window, number of windows, anchor's offset.
+_FIRST, _COUNT, _SMALL = 14, 7, 127
 #: Bits of an anchor's hash that do not travel.  Anchors that then fall
 #: together share a shard and nothing else.
 _SHORT = 16
 _ANCHOR = (1 << 47) - 1
+#: What tells the rows of the texts apart, in document order.
+_PLACE = ["rank", "twin"]
 
 
 #: Never null, so that no join adds a filter and both read one shuffle.
-_PACKED = T.StructType([T.StructField("rank", T.LongType(), False), T.StructField("hash", T.LongType(), False),
+_PACKED = T.StructType([T.StructField("rank", T.LongType(), False), T.StructField("twin", T.LongType(), False),
                         T.StructField("packed", T.BinaryType(), False)])
 
 
@@ -301,10 +302,10 @@ def _anchors(length: int, gram: int):
     def run(batches):
         for part in X.slices(batches, 2):
             text, first, count, offset, anchor = segments(X.as_bytes(part.column(2)), length, gram)
-            rank = part.column(0).take(pa.array(text))
-            tag = part.column(1).to_numpy()[text] >> 8 & _TAG_MASK
-            packed = (tag << _TAG) | (first << _FIRST) | (count << _COUNT) | offset
-            yield pa.RecordBatch.from_arrays([pa.array(anchor >> _SHORT), rank, pa.array(packed)], names=_LIGHT.names)
+            text = pa.array(text)
+            packed = (first << _FIRST) | (count << _COUNT) | offset
+            yield pa.RecordBatch.from_arrays([pa.array(anchor >> _SHORT), part.column(0).take(text), part.column(1).take(text),
+                                              pa.array(packed)], names=_LIGHT.names)
     return run
 
 
@@ -327,18 +328,15 @@ def _pieces(length: int, gram: int):
         sent: set[bytes] = set()
         last = None
         for part in X.slices(batches, 2):
-            columns: list[list] = [[] for _ in range(4)]
-            ranks, hashes = part.column(0).to_pylist(), part.column(1).to_pylist()
+            columns: list[list] = [[] for _ in range(5)]
+            ranks, twins = part.column(0).to_pylist(), part.column(1).to_pylist()
             wanted = part.column(3)
             for d, text in enumerate(_unpacked(part.column(2))):
-                if (ranks[d], hashes[d]) == last:
+                if (ranks[d], twins[d]) == last:
                     continue
-                last = ranks[d], hashes[d]
+                last = ranks[d], twins[d]
                 packed = np.sort(wanted[d].values.to_numpy())
-                packed = packed[packed >> _TAG == (hashes[d] >> 8 & _TAG_MASK)]
-                starts, sizes = packed >> _FIRST & _FIRST_MASK, (packed >> _COUNT & _SMALL) - 1 + length
-                fits = starts + sizes <= len(text)
-                starts, sizes, packed = starts[fits], sizes[fits], packed[fits]
+                starts, sizes = packed >> _FIRST, (packed >> _COUNT & _SMALL) - 1 + length
                 anchors = _hash_at(text, starts + (packed & _SMALL), gram) >> _SHORT
                 for start, size, anchor, segment in zip(starts.tolist(), sizes.tolist(), anchors.tolist(), packed.tolist(),
                                                         strict=True):
@@ -350,11 +348,11 @@ def _pieces(length: int, gram: int):
                             sent.clear()
                         sent.add(digest)
                     if again:  # goes whole, wherever it is marked: spread over the shards
-                        anchor, piece = (ranks[d] * 0x9E3779B1 ^ segment * 0x85EBCA77) & _ANCHOR, None
-                    for column, value in zip(columns, (anchor, ranks[d], segment, piece), strict=True):
+                        anchor, piece = (ranks[d] * 0x9E3779B1 ^ twins[d] ^ segment * 0x85EBCA77) & _ANCHOR, None
+                    for column, value in zip(columns, (anchor, *last, segment, piece), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.binary()), strict=True)],
+                [pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.binary()), strict=True)],
                 names=_PIECE.names)
     return run
 
@@ -371,8 +369,8 @@ def _marked(length: int, gram: int):
             if row == last:
                 continue
             last = row
-            _, rank, segment, piece = row
-            where = rank, segment >> _TAG, segment >> _FIRST & _FIRST_MASK
+            _, rank, twin, segment, piece = row
+            where = rank, twin, segment >> _FIRST
             if piece is None or piece in seen:
                 out.append((*where, where[2] + (segment >> _COUNT & _SMALL) - 1 + length))
             else:
@@ -381,11 +379,9 @@ def _marked(length: int, gram: int):
         if len(kept) > 1:
             pieces = [k[1] for k in kept]
             found = mark_by_parts(pieces, [k[2] for k in kept], length, gram) if large else mark(pieces, length)
-            for ((rank, tag, start), *_), windows in zip(kept, found, strict=True):
-                out += [(rank, tag, start + a, start + b) for a, b in runs(windows, length)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
-            names=_SPAN.names)
+            for ((rank, twin, start), *_), windows in zip(kept, found, strict=True):
+                out += [(rank, twin, start + a, start + b) for a, b in runs(windows, length)]
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], names=_SPAN.names)
 
     def groups(batches):
         rows: list[tuple] = []
@@ -402,7 +398,7 @@ def _marked(length: int, gram: int):
         held: list[tuple] = []
         size = 0
         for rows in groups(batches):
-            own = sum(len(r[3] or b"") for r in rows)
+            own = sum(len(r[4] or b"") for r in rows)
             if own > BATCH_BYTES:
                 yield spans(rows, large=True)
                 continue
@@ -417,27 +413,27 @@ def _marked(length: int, gram: int):
 
 
 def removed_spans(base: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(rank, spans) of the documents (rank, hash, text) that lose bytes;
-    ``packed`` are the same with their texts packed:
-    tag, start and stop of ranges, which may overlap."""
+    """(rank, twin, spans) of the documents (rank, twin, text) that lose
+    bytes; ``packed`` are the same with their texts packed.  Spans are start
+    and stop of ranges, which may overlap."""
     light = base.mapInArrow(_anchors(length, gram), _LIGHT)
     # written, so that the join's sides are plain shuffles, which adaptive
     # execution can split where one anchor has very many occurrences
     again = cut_lineage(light.groupBy("anchor").count().where("count > 1").select("anchor"))
-    wanted = light.join(again, "anchor").groupBy("rank").agg(F.collect_set("segment").alias("wanted"))
-    pieces = (packed.join(wanted, "rank").select("rank", "hash", "packed", "wanted")
-              .sortWithinPartitions("rank", "hash").mapInArrow(_pieces(length, gram), _PIECE))
-    marked = (pieces.repartition("anchor").sortWithinPartitions("anchor", "rank", "segment")
+    wanted = light.join(again, "anchor").groupBy(*_PLACE).agg(F.collect_set("segment").alias("wanted"))
+    pieces = (packed.join(wanted, _PLACE).select(*_PLACE, "packed", "wanted")
+              .sortWithinPartitions(*_PLACE).mapInArrow(_pieces(length, gram), _PIECE))
+    marked = (pieces.repartition("anchor").sortWithinPartitions("anchor", *_PLACE, "segment")
               .mapInArrow(_marked(length, gram), _SPAN))
-    return marked.groupBy("rank").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
+    return marked.groupBy(*_PLACE).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 FIELDS = [X.field("n_bytes", "long"), X.field("spans", "binary"), X.field("kept", "binary")]
 
 
-def _joined(spans: list[dict] | None, hash_: int) -> list[tuple[int, int]]:
+def _joined(spans: list[dict] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for start, stop in sorted((s["start"], s["stop"]) for s in spans or () if s["tag"] == hash_ >> 8 & _TAG_MASK):
+    for start, stop in sorted((s["start"], s["stop"]) for s in spans or ()):
         if out and start <= out[-1][1]:
             out[-1] = out[-1][0], max(stop, out[-1][1])
         else:
@@ -449,30 +445,39 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Per document: n_bytes, spans (start and stop of each maximal removed
     run in bytes, unsigned 64-bit little-endian), kept (the other bytes)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # the lowest bit of the hash tells a null id; both joins read the same
-    # three columns, so one shuffle of the texts serves them
-    hash_ = F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(F.isnull(id_col).cast("long"))
+    hash_ = F.xxhash64(text)
     rank = F.coalesce(F.col(id_col).cast("long"), hash_.bitwiseAND(F.lit(_NULLS - 1)).bitwiseOR(F.lit(_NULLS)))
-    base = docs.select(rank.alias("rank"), hash_.alias("hash"),
-                       text.alias("text"))
+    base = docs.select(rank.alias("rank"), hash_.bitwiseAND(F.lit(-2)).alias("hash"),
+                       F.isnull(id_col).cast("long").alias("no_id"), text.alias("text"))
+    base = _told_apart(base)
     packed = base.mapInArrow(_pack, _PACKED)
     lost = removed_spans(base, packed, length)
     id_type = docs.schema[id_col].dataType
-    both = (packed.join(lost, "rank", "left").select("rank", "hash", "packed", "spans")
-            .mapInArrow(_cut, _CUT))
-    id_ = F.when(F.col("hash").bitwiseAND(F.lit(1)) == 0, F.col("rank")).cast(id_type)
+    # both joins read the same three columns, so one shuffle of the texts serves them
+    both = packed.join(lost, _PLACE, "left").select(*_PLACE, "packed", "spans").mapInArrow(_cut, _CUT)
+    id_ = F.when(F.col("twin").bitwiseAND(F.lit(1)) == 0, F.col("rank")).cast(id_type)
     return both.select(id_.alias(id_col), *(f.name for f in FIELDS))
 
 
-_CUT = T.StructType([T.StructField("rank", T.LongType()), T.StructField("hash", T.LongType()), *FIELDS])
+def _told_apart(base: DataFrame) -> DataFrame:
+    """(rank, twin, text): ``twin`` is the text's hash where different texts
+    share the rank and else zero, so that it costs a shuffle next to nothing;
+    its lowest bit tells a null id.  Such ranks are written first: with none,
+    or few, the planner sends them to the tasks and no text moves."""
+    shared = cut_lineage(base.select("rank", "hash").distinct().groupBy("rank").count().where("count > 1")
+                         .select("rank", F.lit(True).alias("shared")))
+    hash_ = F.when(F.col("shared"), F.col("hash")).otherwise(F.lit(0))
+    return base.join(shared, "rank", "left").select("rank", hash_.bitwiseOR(F.col("no_id")).alias("twin"), "text")
+
+
+_CUT = T.StructType([T.StructField("rank", T.LongType()), T.StructField("twin", T.LongType()), *FIELDS])
 
 
 def _cut(batches):
     for part in X.slices(batches, 2):
         sizes, cuts, kept = [], [], []
-        for text, hash_, spans in zip(_unpacked(part.column(2)), part.column(1).to_pylist(), part.column(3).to_pylist(),
-                                      strict=True):
-            joined = _joined(spans, hash_)
+        for text, spans in zip(_unpacked(part.column(2)), part.column(3).to_pylist(), strict=True):
+            joined = _joined(spans)
             edges = [0, *(x for s in joined for x in s), len(text)]
             sizes.append(len(text))
             cuts.append(np.array(joined, dtype="<u8").tobytes())

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -56,12 +57,29 @@ def test_run_index_keeps_one_place_of_equal_rows(spark):
 
 
 def test_run_index_marks_no_place_that_two_tasks_have_sent():
-    piece, first, later = b"".join(b"%d " % k for k in range(200))[:150], 7 << 50, 9 << 50
-    rows = [(5, 2, first, piece), (5, 2, first, piece), (5, 3, later, piece)]
+    piece = b"".join(b"%d " % k for k in range(200))[:150]
+    rows = [(5, 2, 7, 0, piece), (5, 2, 7, 0, piece), (5, 3, 9, 0, piece)]
     batch = pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 3, pa.binary()))], names=["anchor", "rank", "segment", "piece"])
+        [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.binary()))], names=run_index._PIECE.names)
     found = [r for b in run_index._marked(100, 32)(iter([batch])) for r in b.to_pylist()]
-    assert {(r["rank"], r["tag"]) for r in found} == {(3, 9)}
+    assert {(r["rank"], r["twin"]) for r in found} == {(3, 9)}
+
+
+def test_run_index_tells_rows_of_one_id_apart(spark):
+    """Two texts of one id whose hashes agree in 13 bits: only the one that
+    repeats a passage loses it; and an id of very many rows."""
+    rng = C.random.Random(5)
+    passage, other = C.prose(rng, 40, 4000)[:150], C.prose(rng, 80, 4000)
+    bits = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) >> 8 & 8191
+    repeats = passage + " and its own end"
+    twin = next(t for t in (f"{other} {k}" for k in range(1 << 20)) if bits(t) == bits(repeats))
+    rows = [(1, "first " + passage), (5, repeats), (5, twin), *((7, f"{k} {k} short") for k in range(300)), (7, passage)]
+    want = C.removed(rows)
+    for parts in (1, 3):
+        got = run_index.dedup_substrings(C.frame(spark, rows, parts)).collect()
+        assert sorted((r["doc_id"], r["n_bytes"] - len(r["kept"]), C.sha(r["kept"])) for r in got) == \
+            sorted((i, want[i, t][1], want[i, t][3]) for i, t in rows)
+        assert [len(r["kept"]) for r in got if r["n_bytes"] == len(twin)] == [len(twin)]
 
 
 def test_run_index_marks_as_a_scan_does():
