@@ -121,12 +121,16 @@ def term_freq(words: DataFrame, words_col: str = "words") -> DataFrame:
             .groupBy("row", "doi", "word").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def idf_of(df: Column, n_docs: int) -> Column:
+    return F.log((F.lit(float(n_docs)) + F.lit(1.0)) / (df + F.lit(1.0)))
+
+
 def idf_table(tf: DataFrame, n_docs: int) -> DataFrame:
     """``(word, df, idf, total)`` with ``idf = ln((N+1)/(df+1))``
     (minimum document frequency 0) and ``total`` the corpus count."""
     return (tf.groupBy("word")
             .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-            .withColumn("idf", F.log((F.lit(float(n_docs)) + F.lit(1.0)) / (F.col("df") + F.lit(1.0)))))
+            .withColumn("idf", idf_of(F.col("df"), n_docs)))
 
 
 def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
@@ -142,6 +146,62 @@ def vocabulary(idf: DataFrame) -> DataFrame:
                        [F.desc("total"), F.asc("word")], "index").select("word", "idf", "index")
 
 
+#: Rows of one bin that are ordered at once; larger bins are cut finer.
+BIN = 10_000
+
+
+def bounded_vocabulary(idf: DataFrame, size: int, min_df: float = 1.0, n_docs: int | None = None) -> DataFrame:
+    """T4: the ``size`` most frequent words over the corpus among those in at
+    least ``min_df`` documents (below 1: of that share of ``n_docs``), ties by
+    word: ``(word, df, idf, total)`` as stored in ``idf``, which is read
+    several times.
+
+    There is no sort of the vocabulary: :func:`_last_key` finds the last key
+    that stays by histograms, and the result is a filter by that key.  A
+    size of zero gives no row, one beyond the vocabulary all; null words take
+    no part.
+    """
+    if min_df < 1 and n_docs is None:
+        raise ValueError("a share of documents needs n_docs")
+    least = min_df if min_df >= 1 else min_df * n_docs
+    kept = idf.where(F.col("word").isNotNull() & (F.col("df") >= F.lit(float(least))))
+    if size <= 0:
+        return kept.where(F.lit(False))
+    # bytes whose order is that of falling counts, then of words
+    rest = F.lpad(F.hex(F.lit((1 << 63) - 1) - F.col("total").cast("long")), 16, "0")
+    key = F.concat(F.unhex(rest), F.encode("word", "UTF-8"))
+    last = _last_key(kept.select(key.alias("key")), size)
+    return kept if last is None else kept.where(key <= F.lit(last))
+
+
+def _last_key(keys: DataFrame, k: int) -> bytes | None:
+    """The ``k``-th smallest of distinct binary keys (null if there are
+    fewer).  Each round counts the keys below the common prefix by their next
+    two bytes, counts that tasks merge before the shuffle and of which the
+    driver sees at most 65,793, and goes on with the one bin that holds the
+    ``k``-th, until it is small."""
+    while True:
+        low, high, n = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
+        if n < k:
+            return None
+        if n <= BIN:
+            return bytes(keys.orderBy("key").limit(k).agg(F.max("key")).first()[0])
+        same = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+        head = F.substring("key", 1, same + 2)
+        bins = sorted((bytes(r[0]), r[1]) for r in keys.groupBy(head.alias("head")).count().collect())
+        for found, count in bins:
+            if k <= count:
+                break
+            k -= count
+        keys = keys.where(head == F.lit(found))
+
+
+def count_vectors(tf: DataFrame, bounded: DataFrame) -> DataFrame:
+    """T4: ``(row, doi, index, tf)`` over a bounded vocabulary; index 0 is its
+    most frequent word.  Words outside are left out."""
+    return tf.join(vocabulary(bounded).select("word", "index"), "word").select("row", "doi", "index", "tf")
+
+
 def _best(weights: DataFrame, k: int) -> DataFrame:
     order = [F.desc("tfidf"), F.desc("total"), F.asc("word")]
     return top_k_per_group(weights, ["row"], order, k, rank_col="rank")

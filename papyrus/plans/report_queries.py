@@ -8,6 +8,7 @@ from papyrus.operators import lookup, reports
 from papyrus.plans import oracle as O
 from papyrus.plans.graph_queries import top_author
 from papyrus.plans.registry import register
+from papyrus.session import scratch_path
 from papyrus.sources import stopwords as SW
 from papyrus.sources import testdata as td
 
@@ -72,6 +73,33 @@ def search_keyword_pick(spark, sf):
     return lookup.pick_by_keyword(p, kw, seed=0).select(*SCALARS)
 
 
+SQL_TWO = ("(SELECT p_brand FROM part WHERE 'P' || CAST(p_partkey AS VARCHAR) = '%s')" % KEYWORD_OF,
+           "(SELECT p_type FROM part WHERE 'P' || CAST(p_partkey AS VARCHAR) = '%s')" % KEYWORD_OF)
+
+
+def _two_keywords(spark, sf) -> tuple[lookup.Postings, list[str]]:
+    p = td.papers_long(spark, sf)
+    index = lookup.Postings.build(p, "ieee_keywords", scratch_path(spark, "postings"))
+    return index, _value(p.filter(F.col("paper_doi") == KEYWORD_OF), F.col("ieee_keywords"))
+
+
+@register("search_keywords_all", O.with_(*BASE, O.KEYWORDS)
+          + f"SELECT paper_doi FROM keywords WHERE kw = {SQL_TWO[0]} "
+            f"INTERSECT SELECT paper_doi FROM keywords WHERE kw = {SQL_TWO[1]}")
+def search_keywords_all(spark, sf):
+    """P10 for several keywords, from stored postings alone."""
+    index, words = _two_keywords(spark, sf)
+    return index.having_all(words)
+
+
+@register("search_keywords_any", O.with_(*BASE, O.KEYWORDS)
+          + f"SELECT paper_doi, count(DISTINCT kw) AS matches FROM keywords WHERE kw IN ({SQL_TWO[0]}, {SQL_TWO[1]}) GROUP BY paper_doi")
+def search_keywords_any(spark, sf):
+    """Papers with one or both of two keywords, from stored postings alone."""
+    index, words = _two_keywords(spark, sf)
+    return index.having_any(words)
+
+
 @register("papers_by_author", O.with_(*BASE, SQL_TA)
           + f"SELECT {SQL_SCALARS} FROM papers WHERE paper_doi IN "
             "(SELECT paper_doi FROM wrote WHERE author_id = (SELECT author_id FROM TA))")

@@ -192,6 +192,39 @@ def vocab_index(spark, sf):
     return T.vocabulary(statistics(spark, sf)[3]).select("word", rnd("idf"), "index")
 
 
+#: Bound and least document frequency of the registered vocabulary.
+VOCAB_SIZE, VOCAB_MIN_DF = 500, 2
+SQL_BOUNDED = (f"BV AS (SELECT word, df, total, idf, row_number() OVER (ORDER BY total DESC, word) - 1 AS i FROM IDF "
+               f"WHERE df >= {VOCAB_MIN_DF} QUALIFY i < {VOCAB_SIZE})")
+
+
+@register("vocab_bounded", O.with_(*TEXT_CTES[:4], SQL_BOUNDED) + "SELECT word, df, CAST(total AS BIGINT) AS total FROM BV")
+def vocab_bounded(spark, sf):
+    """T4: the most frequent words with a least document frequency."""
+    idf = cut_lineage(statistics(spark, sf)[3])
+    return T.bounded_vocabulary(idf, VOCAB_SIZE, VOCAB_MIN_DF).select("word", "df", "total")
+
+
+@register("count_vectors", O.with_(*TEXT_CTES[:4], SQL_BOUNDED)
+          + "SELECT TF.doi, BV.i AS \"index\", TF.tf FROM TF JOIN BV ON TF.word = BV.word")
+def count_vectors(spark, sf):
+    """T4: the count vectors over the bounded vocabulary, in long form."""
+    _, _, tf, idf = statistics(spark, sf)
+    return T.count_vectors(tf, T.bounded_vocabulary(cut_lineage(idf), VOCAB_SIZE, VOCAB_MIN_DF)).drop("row")
+
+
+@register("vocab_idf_merged", O.with_(*TEXT_CTES[:4]) + f"SELECT word, df, CAST(total AS BIGINT) AS total, round(idf, {O.DP}) AS idf FROM IDF")
+def vocab_idf_merged(spark, sf):
+    """Statistics stored in two overlapping steps; the second counts only
+    the rows that the first did not hold."""
+    store = models.TermStore(spark, scratch_path(spark, "terms"))
+    raw = td.corpus(spark, sf)
+    number = F.substring("doi", 2, 20).cast("long")
+    store.add("first", raw.where(number % 3 != 0), STOP)
+    store.add("second", raw.where(number % 2 == 0).unionByName(raw.where(number % 3 == 0)), STOP)
+    return store.idf().select("word", "df", "total", rnd("idf"))
+
+
 @register("keywords_top20", O.with_(*TEXT_CTES)
           + "SELECT doi, title, keyword, weight, rank FROM KW")
 def keywords_top20(spark, sf):
