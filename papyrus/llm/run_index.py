@@ -357,6 +357,18 @@ def _pieces(length: int, gram: int):
     return run
 
 
+def _lone(batch: pa.RecordBatch) -> np.ndarray:
+    """Pieces alone under their anchor, but at the batch's ends, where the
+    group may go on.  They lose nothing: equal windows have equal anchors, and
+    two windows of one segment have theirs at different offsets."""
+    anchor = batch.column(0).to_numpy()
+    lone = np.zeros(len(anchor), dtype=bool)
+    if len(anchor) > 2:
+        fresh = anchor[1:] != anchor[:-1]
+        lone[1:-1] = fresh[:-1] & fresh[1:]
+    return lone & batch.column(len(batch.columns) - 1).is_valid().to_numpy(zero_copy_only=False)
+
+
 def _marked(length: int, gram: int):
     """Rows in order of anchor and document to the byte ranges they lose.
     Equal rows that two tasks have sent come one after the other and are one
@@ -386,7 +398,9 @@ def _marked(length: int, gram: int):
     def groups(batches):
         rows: list[tuple] = []
         for batch in batches:
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            batch = batch.filter(pa.array(~_lone(batch)))
+            numbers = (c.to_numpy().tolist() for c in batch.columns[:-1])
+            for values in zip(*numbers, batch.column(len(batch.columns) - 1).to_pylist(), strict=True):
                 if rows and rows[-1][0] != values[0]:
                     yield rows
                     rows = []
@@ -398,6 +412,8 @@ def _marked(length: int, gram: int):
         held: list[tuple] = []
         size = 0
         for rows in groups(batches):
+            if len(rows) == 1 and rows[0][4] is not None:
+                continue
             own = sum(len(r[4] or b"") for r in rows)
             if own > BATCH_BYTES:
                 yield spans(rows, large=True)
