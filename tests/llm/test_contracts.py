@@ -65,6 +65,17 @@ def test_run_index_marks_no_place_that_two_tasks_have_sent():
     assert {(r["rank"], r["twin"]) for r in found} == {(3, 9)}
 
 
+def test_run_index_keeps_groups_that_cross_batches():
+    piece, other = (b"".join(b"%d " % (k * m) for k in range(200))[:150] for m in (1, 7))
+    rows = [(1, 2, 0, 0, other), (3, 2, 0, 0, other), (5, 2, 0, 0, piece), (5, 3, 0, 0, piece), (8, 4, 0, 0, None), (9, 5, 0, 0, other)]
+    for cut in range(len(rows) + 1):
+        batches = [pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in part], t) for k, t in enumerate((*[pa.int64()] * 4, pa.binary()))], names=run_index._PIECE.names)
+            for part in (rows[:cut], rows[cut:])]
+        found = {r["rank"] for b in run_index._marked(100, 32)(iter(batches)) for r in b.to_pylist()}
+        assert found == {3, 4}
+
+
 def test_run_index_tells_rows_of_one_id_apart(spark):
     """Two texts of one id whose hashes agree in 13 bits: only the one that
     repeats a passage loses it; and an id of very many rows."""
