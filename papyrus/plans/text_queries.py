@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyrus.operators import cooccurrence
 from papyrus.operators import simjoin
 from papyrus.operators import text as T
 from papyrus.operators import vectors as VEC
@@ -405,3 +406,36 @@ def similarity_join_lsh(spark, sf):
     docs = td.embedding_variants(spark, sf)
     found = simjoin.similarity_join_lsh(docs, docs.where("id % 20 = 0"), NEAR_THRESHOLD, **HASHING)
     return found.select("query", "id", rnd("distance"))
+
+
+# ------------------------------------------- vectors of a large vocabulary
+
+def fixture_ppmi(spark: SparkSession, sf: str) -> DataFrame:
+    _, words, _, idf = statistics(spark, sf)
+    known = idf.where(F.col("total") >= VEC.W2V_MIN_COUNT).select("word")
+    return cooccurrence.ppmi(words, known)
+
+
+@register("word_ppmi", O.with_(
+    *TEXT_CTES[:4],
+    f"K AS (SELECT t.row, t.i, t.word FROM (SELECT row, generate_subscripts(words, 1) AS i, unnest(words) AS word FROM W) t "
+    f"JOIN IDF ON t.word = IDF.word WHERE IDF.total >= {VEC.W2V_MIN_COUNT})",
+    f"D AS (SELECT unnest(range(1, {cooccurrence.WINDOW} + 1)) AS d)",
+    "NEAR AS (SELECT a.row, a.word AS x, a.i + D.d AS j FROM K a, D)",
+    "ONE AS (SELECT x, K.word AS y FROM NEAR JOIN K ON NEAR.row = K.row AND NEAR.j = K.i)",
+    "C AS (SELECT word, context, count(*) AS n FROM (SELECT x AS word, y AS context FROM ONE UNION ALL "
+    "SELECT y, x FROM ONE) t GROUP BY word, context)",
+    "M AS (SELECT word, CAST(sum(n) AS DOUBLE) AS total FROM C GROUP BY word)",
+    "J AS (SELECT C.word, C.context, C.n, C.n * (SELECT sum(total) FROM M) AS seen, a.total * b.total AS chance "
+    "FROM C JOIN M a ON C.word = a.word JOIN M b ON C.context = b.word)")
+    + f"SELECT word, context, n, round(ln(seen / chance), {O.DP}) AS ppmi FROM J WHERE seen > chance")
+def word_ppmi(spark, sf):
+    """The matrix that the vectors of a large vocabulary are taken from."""
+    return fixture_ppmi(spark, sf).select("word", "context", "n", rnd("ppmi"))
+
+
+@register("word_vectors_ppmi")
+def word_vectors_ppmi(spark, sf):
+    """T3 without a model on the driver: one vector a word, by subspace
+    iteration on the table of :func:`word_ppmi`."""
+    return cooccurrence.word_vectors(fixture_ppmi(spark, sf), VEC.W2V_SIZE)
