@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from papyrus.functions.ranking import top_k_per_group
 from papyrus.operators.graph import (Graph, SlicedEdges, author_id_of_vertex, author_vertex_id,
                                      drop_isolated, undirected)
+from papyrus.operators.graph import undirected as both_ways
 from papyrus.operators.lookup import AUTHOR_ID, resolve_author
+from papyrus.operators.reach import reach
+from papyrus.operators.reach import source_blocks as blocks_by_reach
 from papyrus.session import cut_lineage, release
 
 DEFAULT_RESET = 0.15
@@ -314,15 +317,20 @@ def top_related(graph: Graph, n: int = 10, sources: DataFrame | None = None, pus
 def all_topic_pagerank(graph: Graph, reset_probability: float = DEFAULT_RESET, max_iter: int = 10,
                        undirected: bool = False, threshold: float = RANK_THRESHOLD,
                        keep_top: int | None = None, source_blocks: int = 1,
-                       output_path: str | None = None, checkpoint_every: int = CHECKPOINT_EVERY) -> DataFrame:
+                       output_path: str | None = None, checkpoint_every: int = CHECKPOINT_EVERY,
+                       max_state: int | None = None) -> DataFrame:
     """Personalised PageRank from every non-isolated paper.
 
     The output is quadratic in the worst case, so the sources can be split
     into ``source_blocks`` hash blocks; each block is computed against the
     shared transition table and appended to ``output_path`` (a shared
-    folder), and the written table is returned.  ``keep_top`` keeps the N
-    best related papers per start paper (ties to the smaller id).
+    folder), and the written table is returned.  With ``max_state`` the
+    blocks follow from the data instead: the state of each is about that
+    many rows (:func:`papyrus.operators.reach.source_blocks`).  ``keep_top``
+    keeps the N best related papers per start paper (ties to the smaller id).
     """
+    if max_state is not None and source_blocks != 1:
+        raise ValueError("give at most one of source_blocks and max_state")
     g = drop_isolated(graph)
     weights = prepared_weights(g, undirected)
     all_sources = g.vertices.select(F.col("id").alias("source"))
@@ -337,14 +345,22 @@ def all_topic_pagerank(graph: Graph, reset_probability: float = DEFAULT_RESET, m
                                   keep_top)
         return out
 
-    if source_blocks <= 1 and output_path is None:
+    if max_state is None and source_blocks <= 1 and output_path is None:
         return block_result(all_sources)
     if output_path is None:
         raise ValueError("output_path (a shared folder) is needed when sources are blocked")
     spark = graph.vertices.sparkSession
-    for b in range(max(1, source_blocks)):
-        block = all_sources.filter(F.pmod(F.xxhash64("source"), F.lit(source_blocks)) == b)
-        block_result(block).write.mode("overwrite" if b == 0 else "append").parquet(output_path)
+    if max_state is None:
+        dealt = all_sources.select("source", F.pmod(F.xxhash64("source"), F.lit(max(1, source_blocks))).alias("block"))
+        blocks = range(max(1, source_blocks))
+    else:
+        walked = Graph(g.vertices, both_ways(g.edges)) if undirected else g
+        dealt = cut_lineage(blocks_by_reach(reach(walked, max_iter), max_state).select("source", "block"))
+        # numbers are left out beside a source that fills more than a block
+        blocks = sorted(r[0] for r in dealt.select("block").distinct().collect()) or [0]
+    for b in blocks:
+        block = dealt.filter(F.col("block") == b).select("source")
+        block_result(block).write.mode("overwrite" if b == blocks[0] else "append").parquet(output_path)
     return spark.read.parquet(output_path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyrus.functions.ranking import top_k_per_group
-from papyrus.operators import community, graph as G, rank
+from papyrus.operators import community, graph as G, rank, reach
 from papyrus.plans import oracle as O
 from papyrus.plans.registry import register, rnd
 from papyrus.session import cut_lineage
@@ -339,3 +339,16 @@ def papers_scan(spark, sf):
     size0 = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return p.select("paper_doi", "title", "publishedby", "publicationDate",
                     size0(F.col("author_id")).alias("n_authors"), size0(F.col("refs_doi")).alias("n_refs"))
+
+
+#: Rows of state that a block of sources may have in :func:`source_blocks`.
+BLOCK_STATE = 20_000
+
+
+@register("source_blocks")
+def source_blocks(spark, sf):
+    """Every paper with its reach over undirected citations, and the
+    block of sources it is run in."""
+    g = citation_graph(spark, sf)
+    found = reach.reach(G.Graph(g.vertices, G.undirected(g.edges)), ITERS)
+    return reach.source_blocks(found, BLOCK_STATE)
