@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyrus.functions.quantiles import key_bounds
 from papyrus.schemas import AUTHORS, PAPERS
 
 PAPER_COLUMNS = [f.name for f in PAPERS.fields]
@@ -35,10 +36,17 @@ def key_ranges(column: str, bounds: list[str]) -> list[str]:
     return [f"{column} < {quoted[0]}", *inner, f"{column} >= {quoted[-1]}", f"{column} IS NULL"]
 
 
+def paper_bounds(papers: DataFrame, parts: int) -> list[str]:
+    """Bounds that cut the papers into ``parts`` ranges of their key with
+    about the same number of rows, from a sketch of the keys."""
+    return key_bounds(papers, "paper_doi", parts)
+
+
 def read_papers_jdbc(spark: SparkSession, url: str, dbtable: str, properties: dict[str, str],
                      bounds: list[str], columns: list[str] | None = None) -> DataFrame:
     """Papers from a database over JDBC, one task for each range of the text
-    key between ``bounds`` (see :func:`key_ranges`).  Credentials come from
+    key between ``bounds`` (see :func:`key_ranges`; an earlier copy of the
+    table gives them by :func:`paper_bounds`).  Credentials come from
     the caller's ``properties``; nothing is hard-coded.  Array columns map to
     Spark arrays where the driver supports them."""
     table = spark.read.jdbc(url, dbtable, predicates=key_ranges("paper_doi", bounds), properties=properties)
