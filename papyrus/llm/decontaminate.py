@@ -10,7 +10,8 @@ together as numpy arrays.
 
 The benchmark is the stated query set: it is read in blocks of at most
 ``BLOCK_BYTES`` of item text (one item, if longer), and all documents pass
-each block, so its size has no cap.
+each block, so its size has no cap.  The driver and a worker hold one block at
+a time; a worker builds its matcher once.
 
 Defined results: null or empty texts have no words and no hits; null items
 and items without words give no window; equal windows of several items count
@@ -21,11 +22,20 @@ nothing; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyrus.llm import texts as X
+from papyrus.session import cut_lineage
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -157,19 +167,20 @@ class Matcher:
         return n_words, hit, items
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, bytes]]]:
-    """The query set in blocks of bounded size, as (id as text, text)."""
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
+    """The query set in blocks of bounded size, as (id as text, text), one
+    after the other: the driver holds one block and a partition of the table."""
     rows = benchmark.select(benchmark[id_col].cast("string"), benchmark[text_col].cast("string"))
-    blocks: list[list[tuple[str, bytes]]] = [[]]
+    block: list[tuple[str, bytes]] = []
     size = 0
     for item, text in rows.toLocalIterator():
         raw = (text or "").encode()
-        if blocks[-1] and size + len(raw) > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item or "", raw))
+        if block and size + len(raw) > BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+        block.append((item or "", raw))
         size += len(raw)
-    return blocks
+    yield block
 
 
 _FIELDS = [X.field("n_words", "long"), X.field("hit_words", "binary"),
@@ -180,43 +191,110 @@ def _pack(words: set[int]) -> bytes:
     return np.array(sorted(words), dtype="<u4").tobytes()
 
 
+#: The matcher that this worker built last, with the name of its block.
+_built: list[tuple[str, Matcher]] = []
+
+
+def _matcher(name: str, block: Broadcast) -> Matcher:
+    """The matcher of a block, built once a worker and not once a task."""
+    if not _built or _built[0][0] != name:
+        _built.clear()
+        _built.append((name, Matcher(windows(block.value))))
+    return _built[0][1]
+
+
+class Blocks:
+    """The blocks of a benchmark; ``single`` is the only one, or None where
+    there are several, which :meth:`hits` takes one after the other."""
+
+    def __init__(self, benchmark: DataFrame, item_col: str, item_text_col: str):
+        found = benchmark_blocks(benchmark, item_col, item_text_col)
+        self.context = benchmark.sparkSession.sparkContext
+        first = next(found)
+        second = next(found, None)
+        self.single = self._shared(first) if second is None else None
+        self.rest = () if second is None else chain([first, second], found)
+
+    def _shared(self, block) -> tuple[str, Broadcast]:
+        return uuid.uuid4().hex, self.context.broadcast(block)
+
+    def hits(self, docs: DataFrame, text_col: str) -> DataFrame:
+        """``(digest, n_words, hit_words, items)`` of the texts with a hit, one
+        row for each different text.
+
+        Every block is one pass over the documents, which sends the hits of a
+        text alone, under the SHA-256 of the text: hits depend on the text
+        only, so copies are one group and are met before the shuffle.
+        """
+        parts = None
+        for block in self.rest:
+            name, shared = self._shared(block)
+            found = cut_lineage(_hits_of(docs, text_col, name, shared).dropDuplicates(["digest"]))
+            shared.destroy()
+            parts = found if parts is None else parts.unionByName(found)
+        united = parts.groupBy("digest").agg(F.first("n_words").alias("n_words"), F.collect_list("hit_words").alias("hit_words"),
+                                             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        return cut_lineage(united.mapInArrow(_united, _HITS))
+
+
+_HITS = T.StructType([X.field("digest", "string"), *_FIELDS])
+
+
+def _digest(text: bytes) -> str:
+    return hashlib.sha256(text).hexdigest()
+
+
+def _hits_of(docs: DataFrame, text_col: str, name: str, block: Broadcast) -> DataFrame:
+    def run(batches):
+        for part in X.slices(batches, 0, SLICE):
+            texts = X.as_bytes(part.column(0))
+            n_words, hit, items = _matcher(name, block).match(texts)
+            rows = [d for d in range(len(texts)) if hit[d]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_digest(texts[d]) for d in rows], pa.string()), pa.array([int(n_words[d]) for d in rows], pa.int64()),
+                 pa.array([_pack(hit[d]) for d in rows], pa.binary()),
+                 pa.array([sorted(items[d]) for d in rows], pa.list_(pa.string()))], names=_HITS.names)
+
+    return docs.select(docs[text_col].cast("string")).mapInArrow(run, _HITS)
+
+
+def _united(batches):
+    """One sorted list of positions from those of the blocks."""
+    for b in batches:
+        hit = [np.unique(np.frombuffer(b"".join(parts), dtype="<u4")).astype("<u4").tobytes()
+               for parts in b.column("hit_words").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n_words"), pa.array(hit, pa.binary()),
+                                          b.column("items")], names=_HITS.names)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: n_words, hit_words (word positions, ascending unsigned
-    32-bit little-endian), items (ids of items with occurring windows)."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in benchmark_blocks(benchmark, item_col, item_text_col)]
+    32-bit little-endian), items (ids of items with occurring windows).
 
-    def work():
-        ready: list[Matcher] = []
+    A benchmark of one block takes one pass and no shuffle.  With more, each
+    is a pass that sends hits, and the documents' ids, digests and numbers of
+    words meet the hits by the digest of the text.
+    """
+    blocks = Blocks(benchmark, item_col, item_text_col)
+    if blocks.single is not None:
+        name, shared = blocks.single
 
         def run(texts):
-            if len(blocks) == 1 and not ready:
-                ready.append(Matcher(windows(blocks[0].value)))
-            hit, items = [set() for _ in texts], [set() for _ in texts]
-            n_words = None
-            for k in range(len(blocks)):
-                matcher = ready[0] if len(blocks) == 1 else Matcher(windows(blocks[k].value))
-                n_words, h, i = matcher.match(texts)
-                for d in range(len(texts)):
-                    hit[d] |= h[d]
-                    items[d] |= i[d]
+            n_words, hit, items = _matcher(name, shared).match(texts)
             return [n_words, [_pack(h) for h in hit], [sorted(i) for i in items]]
-        return run
-
-    return X.per_text(docs, id_col, text_col, _FIELDS, _Lazy(work), SLICE)
-
 
-class _Lazy:
-    """Builds its function once per task, on the first call."""
+        return X.per_text(docs, id_col, text_col, _FIELDS, run, SLICE)
+    hits = blocks.hits(docs, text_col)
 
-    def __init__(self, make):
-        self.make, self.made = make, None
+    def count(texts):
+        return [[_digest(t) for t in texts], [len(folded(t).split()) for t in texts]]
 
-    def __call__(self, texts):
-        if self.made is None:
-            self.made = self.make()
-        return self.made(texts)
+    key = X.fresh("digest", docs.select(id_col))
+    counted = X.per_text(docs, id_col, text_col, [X.field(key, "string"), X.field("n_words", "long")], count, SLICE)
+    met = counted.join(hits.drop("n_words").withColumnRenamed("digest", key), key, "left")
+    return met.select(id_col, "n_words", F.coalesce("hit_words", F.lit(b"")).alias("hit_words"),
+                      F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contaminated(n_words: int, n_hit: int) -> bool:
@@ -226,19 +304,17 @@ def contaminated(n_words: int, n_hit: int) -> bool:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in benchmark_blocks(benchmark, item_col, item_text_col)]
-    ready: list[Matcher] = []
-
-    def keep(texts):
-        hit = [set() for _ in texts]
-        n_words = None
-        for k in range(len(blocks)):
-            if len(blocks) > 1 or not ready:
-                ready[:] = [Matcher(windows(blocks[k].value))]
-            n_words, h, _ = ready[0].match(texts)
-            for d in range(len(texts)):
-                hit[d] |= h[d]
-        return np.array([not contaminated(int(n), len(h)) for n, h in zip(n_words, hit, strict=True)])
-
-    return X.filter_texts(docs, text_col, keep)
+    blocks = Blocks(benchmark, item_col, item_text_col)
+    if blocks.single is not None:
+        name, shared = blocks.single
+
+        def keep(texts):
+            n_words, hit, _ = _matcher(name, shared).match(texts)
+            return np.array([not contaminated(int(n), len(h)) for n, h in zip(n_words, hit, strict=True)])
+
+        return X.filter_texts(docs, text_col, keep)
+    n_hit = F.length("hit_words") / F.lit(4)
+    key = X.fresh("digest", docs)
+    bad = blocks.hits(docs, text_col).where(20 * n_hit >= F.col("n_words")).select(F.col("digest").alias(key))
+    return (docs.withColumn(key, F.sha2(docs[text_col].cast("string"), 256))
+            .join(cut_lineage(bad), key, "left_anti").select(*docs.columns))

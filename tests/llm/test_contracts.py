@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from papyrus.llm import bpe, decontaminate, line_dedup, ngram_lm, quality, run_index, secrets, simhash, token_files, wrappers
@@ -239,10 +240,35 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, decontaminate.scan(docs, benchmark).collect()), key=repr)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 600)
-    assert len(decontaminate.benchmark_blocks(benchmark, "item_id", "text")) > 2
+    assert len(list(decontaminate.benchmark_blocks(benchmark, "item_id", "text"))) > 2
     assert sorted(map(tuple, decontaminate.scan(docs, benchmark).collect()), key=repr) == whole
 
 
+def test_clean_documents_in_blocks(spark, docs, nothing, monkeypatch):
+    """The same rows stay, whether the benchmark is one block or several:
+    items that share windows, an item whose hits only reach the limit together
+    with another block's, copies of a contaminated text, and columns with the
+    names used inside."""
+    halves = [" ".join(f"w{k}x{j}" for j in range(14)) for k in range(2)]
+    filler = " ".join(f"f{j}" for j in range(440))
+    odd = docs.select("doc_id", "text").unionByName(spark.createDataFrame(
+        [(9000 + n, t) for n in range(40) for t in (halves[0] + " " + filler + " " + halves[1],)]
+        + [(9100, halves[0] + " " + filler), (9101, None), (9102, "")], "doc_id long, text string"))
+    odd = odd.withColumn("digest", F.lit("d")).withColumn("n_words", F.lit(1)).withColumn("items", F.lit("i"))
+    items = [(k, ROWS[k][1]) for k in range(6)] + [(50, halves[0]), (51, halves[1]), (52, halves[0] + " more")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    whole, kept = key(decontaminate.scan(odd, benchmark)), key(decontaminate.keep_clean(odd, benchmark))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    assert key(decontaminate.scan(odd, benchmark)) == whole
+    many = decontaminate.keep_clean(odd, benchmark)
+    assert many.columns == odd.columns and key(many) == kept
+    # 28 of 468 words are hit by two items, 14 of 454 by one
+    ids = {r[0] for r in kept}
+    assert not ids & set(range(9000, 9040)) and {9100, 9101, 9102} <= ids
+    assert decontaminate.scan(nothing, benchmark).collect() == [] == decontaminate.keep_clean(nothing, benchmark).collect()
+
+
 def test_quality(docs, nothing):
     got = quality.quality_report(docs).collect()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
