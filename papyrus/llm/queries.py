@@ -63,12 +63,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "train_tokens", "base_score", "score", "perplexity")
 
 
+def _of_kind(kind: str) -> F.Column:
+    """Number of base spans of a kind.  The lambda has one argument: Spark
+    hands a second one the place in the list."""
+    return F.size(F.filter("base", lambda span: span.startswith(f"{kind}:"))).cast("long")
+
+
 @register("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = X.read(spark, sf_dir, "documents")
     found = secrets.find(docs, secrets.train(docs))
-    counts = [F.size(F.filter("base", lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}")
-              for k in secrets.KINDS]
+    counts = [_of_kind(k).alias(f"n_{k}") for k in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
                         F.array_join("spans", ",").alias("spans"))
 

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from papyrus.llm import bpe, decontaminate, line_dedup, ngram_lm, quality, run_index, secrets, simhash, token_files, wrappers
+from papyrus.llm import bpe, decontaminate, line_dedup, ngram_lm, quality, queries, run_index, secrets, simhash, token_files, wrappers
 from papyrus.session import scratch_path
 from tests.llm import cases as C
 
@@ -367,6 +367,17 @@ def test_secrets(spark, nothing):
     assert secrets.train(nothing) == {} and secrets.find(nothing, {}).collect() == []
 
 
+def test_secret_query_counts_its_base_spans(spark, tmp_path):
+    hexes = "0123456789abcdef" * 2
+    rows = [(1, f"token={hexes} password: abcdefgh"), (2, "AKIA" + "A1B2" * 5), (2, f"{hexes} é {hexes}"), (3, None), (None, "secret=short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op6_secret_scan"](spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+    spans = {0: "assign:0:38,hex:6:38,assign:39:57", 1: "access:0:24", 2: "hex:0:32,hex:35:67", 3: "", 4: ""}
+    want = [(1, 2, 0, 1), (2, 0, 1, 0), (2, 0, 0, 2), (3, 0, 0, 0), (None, 0, 0, 0)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        ((*w, C.sha(spans[k].encode())) for k, w in enumerate(want)), key=str)
+
+
 def test_added_spans_are_those_of_scoring_every_run(spark):
     """Unlabelled credentials of the labelled formats, against scoring each run
     outside the plain cases symbol by symbol."""
