@@ -2,8 +2,8 @@
 W1, A11, J1).
 
 Tokenising is native expressions (``regexp_extract_all``, higher order
-functions) plus the JVM function inside ``StopWordsRemover``; there is no
-Python worker.  Statistics are kept per corpus row: one doi may have several
+functions) plus the JVM function inside ``StopWordsRemover``; words are counted
+within their row by Arrow, which needs no shuffle.  Statistics are kept per corpus row: one doi may have several
 rows (titles), so rows carry a ``row`` id, stored once with the cleaned
 corpus.  Term statistics use the long format ``(row, doi, word, tf)`` instead
 of sparse vectors: it needs no vocabulary on the driver and every aggregation
@@ -12,9 +12,15 @@ is partial (map-side).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyrus.functions.ranking import dense_index, top_k_per_group
 from papyrus.schemas import CORPUS
@@ -115,10 +121,46 @@ def tokenize_lexicon(corpus: DataFrame, lexicon: DataFrame, input_col: str = "ab
 
 # ----------------------------------------------------------- term weights
 
+#: Words of the lists that are counted at once.
+COUNTED = 1 << 20
+
+
+def _counts(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """``(row, doi, word, tf)`` of rows ``(row, doi, words)``."""
+    listed = rows.column(2)
+    coded = pc.list_flatten(listed).dictionary_encode(null_encoding="encode")
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    parent = pc.list_parent_indices(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(1, len(coded.dictionary))
+    pair, n = np.unique(parent * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row = pa.array(pair // width)
+    return pa.RecordBatch.from_arrays(
+        [rows.column(0).take(row), rows.column(1).take(row), coded.dictionary.take(pa.array(pair % width)),
+         pa.array(n.astype(np.int64))], names=["row", "doi", "word", "tf"])
+
+
 def term_freq(words: DataFrame, words_col: str = "words") -> DataFrame:
-    """A5/T4: ``(row, doi, word, tf)``, counted per corpus row."""
-    return (words.select("row", "doi", F.explode(words_col).alias("word"))
-            .groupBy("row", "doi", "word").agg(F.count(F.lit(1)).alias("tf")))
+    """A5/T4: ``(row, doi, word, tf)``, counted per corpus row.
+
+    A row is one row of the table, so its words are counted where they lie:
+    no shuffle.  Null and empty lists have no words."""
+    chosen = words.select("row", "doi", F.col(words_col).alias("words"))
+    kinds = {f.name: f.dataType for f in chosen.schema.fields}
+    schema = T.StructType([T.StructField("row", kinds["row"]), T.StructField("doi", kinds["doi"]),
+                           T.StructField("word", kinds["words"].elementType), T.StructField("tf", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + COUNTED, side="right")))
+                yield _counts(batch.slice(at, to - at))
+                at = to
+
+    return chosen.mapInArrow(run, schema)
 
 
 def idf_of(df: Column, n_docs: int) -> Column:
@@ -133,10 +175,31 @@ def idf_table(tf: DataFrame, n_docs: int) -> DataFrame:
             .withColumn("idf", idf_of(F.col("df"), n_docs)))
 
 
-def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
-    """``(row, doi, word, tf, tfidf, total)``, raw count times idf."""
-    return (tf.join(idf.select("word", "idf", "total"), "word")
-            .select("row", "doi", "word", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"), "total"))
+#: Words whose weights are sent to all tasks when keywords are chosen.
+COMMON = 50_000
+
+
+def _weighted(joined: DataFrame) -> DataFrame:
+    return joined.select("row", "doi", "word", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"), "total")
+
+
+def tfidf(tf: DataFrame, idf: DataFrame, common: DataFrame | None = None) -> DataFrame:
+    """``(row, doi, word, tf, tfidf, total)``, raw count times idf.
+
+    ``common``, rows of ``idf`` that fit a task, is sent to all tasks, so
+    that only the counts of the other words are shuffled by word."""
+    of = ["word", "idf", "total"]
+    if common is None:
+        return _weighted(tf.join(idf.select(of), "word"))
+    some = F.broadcast(common.select(of))
+    near = _weighted(tf.join(some, "word"))
+    rest = tf.join(some.select("word"), "word", "left_anti")
+    return near.unionByName(_weighted(rest.join(idf.select(of), "word")))
+
+
+def common_words(idf: DataFrame, size: int = COMMON) -> DataFrame:
+    """The ``size`` most frequent rows of a stored ``idf``, written."""
+    return cut_lineage(bounded_vocabulary(idf.select("word", "df", "idf", "total"), size))
 
 
 def vocabulary(idf: DataFrame) -> DataFrame:
@@ -236,8 +299,9 @@ def corpus_statistics(corpus: DataFrame, stop: list[str]) -> tuple[DataFrame, Da
     """``(words, tf, idf)`` of a numbered corpus (one count action for N).
 
     ``tf`` feeds both the idf aggregation and the tf-idf join, so it is
-    materialised once instead of re-tokenising the corpus for each.
+    materialised once instead of re-tokenising the corpus for each; so is
+    ``idf``, of one row a word.
     """
     words = word_lists(corpus, stop)
     tf = cut_lineage(term_freq(words))
-    return words, tf, idf_table(tf, corpus.count())
+    return words, tf, cut_lineage(idf_table(tf, corpus.count()))

@@ -108,3 +108,33 @@ def test_lexicon_tokenizer_rule(spark):
     # xx/12: unknown ASCII (eng) shorter than 3; ab: eng of length 2; runs: a
     # verb; é: one character; éé: unknown non-ASCII (x) of length 2
     assert got == ["abc", "nation", "éé"]
+
+
+def test_words_are_counted_where_their_row_lies(spark):
+    lists = [(1, "a", ["x", "y", "x", None, None]), (2, "a", ["x"]), (3, None, []), (4, "b", None), (5, "b", ["ä"] * 7 + ["z"])]
+    words = spark.createDataFrame(lists, "row long, doi string, words array<string>").repartition(2)
+    tf = T.term_freq(words)
+    assert "Exchange hashpartitioning" not in tf._jdf.queryExecution().executedPlan().toString()
+    want = [(1, "a", None, 2), (1, "a", "x", 2), (1, "a", "y", 1), (2, "a", "x", 1), (5, "b", "z", 1), (5, "b", "ä", 7)]
+    assert sorted(map(tuple, tf.collect()), key=repr) == sorted(want, key=repr)
+    assert T.term_freq(words.where("row > 5")).collect() == []
+
+
+def test_long_lists_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(T, "COUNTED", 3)
+    lists = [(k, f"d{k}", [f"w{k % 3}", "x", "x"] * (k % 4)) for k in range(20)]
+    words = spark.createDataFrame(lists, "row long, doi string, words array<string>").coalesce(1)
+    got = {(r.row, r.word): r.tf for r in T.term_freq(words).collect()}
+    want = {(k, w): n * (k % 4) for k in range(20) if k % 4 for w, n in ((f"w{k % 3}", 1), ("x", 2))}
+    assert got == want
+
+
+def test_weights_of_common_words_are_sent(spark):
+    """Any number of common words gives the same weights; theirs are not shuffled."""
+    c = T.number_rows(T.clean_corpus(corpus(spark)))
+    _, tf, idf = T.corpus_statistics(c, ["the", "of"])
+    want = sorted(map(tuple, T.tfidf(tf, idf).collect()))
+    for size in (0, 2, 1000):
+        assert sorted(map(tuple, T.tfidf(tf, idf, T.common_words(idf, size)).collect())) == want
+    plan = T.tfidf(tf, idf, T.common_words(idf, 2))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2
