@@ -86,3 +86,14 @@ def test_registered_hashing_selects(spark):
     queries = docs.where("id % 20 = 0")
     pairs = S.similarity_candidates_lsh(docs, queries, **HASHING).count()
     assert pairs < 0.1 * docs.count() * queries.count()
+
+
+def test_buckets_travel_without_the_other_keys(spark, rows):
+    """A shuffled row holds a vector and one key, and pairs still count once."""
+    docs, queries = frame(spark, rows), frame(spark, rows[:40])
+    met = S.similarity_join_lsh(docs, queries, 0.8, dims=8, probes=30)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "array_contains" not in plan and "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 1
+    got = [(r["query"], r["id"]) for r in met.collect()]
+    want = brute(rows, rows[:40], 0.8)
+    assert all(got.count(p) <= want.count(p) for p in set(got)) and len(got) >= 0.9 * len(want)
