@@ -96,34 +96,36 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     raw = text.tobytes() + bytes(8)
     # ends are told from zero bytes by the suffix length, as the lower key
     key = np.ndarray((n,), dtype=">u8", buffer=raw, strides=(1,)).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    tail = np.arange(max(0, n - 7), n)
+    order = np.argsort(key)
     rank = np.empty(n, dtype=np.int64)
     sorted_ = key[order]
-    # among equal padded keys a suffix that ends within them is smaller the shorter it is
+    # among equal padded keys a suffix that ends within them is smaller the
+    # shorter it is: only the keys of the last seven can have such a tie
+    for value in np.unique(key[max(0, n - 7):]):
+        a, b = np.searchsorted(sorted_, value), np.searchsorted(sorted_, value, side="right")
+        if b - a > 1:
+            order[a:b] = order[a:b][np.argsort(np.minimum(n - order[a:b], 8), kind="stable")]
     short = np.minimum(n - order, 8)
-    if len(tail):
-        order = order[np.lexsort((short, sorted_))] if (np.diff(sorted_) == 0).any() else order
-        sorted_, short = key[order], np.minimum(n - order, 8)
     new = np.concatenate([[True], (np.diff(sorted_) != 0) | (np.diff(short) != 0)])
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     depth = 8
+    # tied rows: those that share their rank with a neighbour; later ones are among them
+    at, ranks = np.arange(n), rank[order]
     while True:
-        # tied rows: those that share their rank with a neighbour
-        ranks = rank[order]
         same = np.diff(ranks) == 0
-        tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+        tied = at[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if n else at
         if not len(tied):
             return order
         rows = order[tied]
         ahead = rows + depth
         after = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         pair = rank[rows] * (n + 1) + after
-        turn = np.argsort(pair, kind="stable")
+        turn = np.argsort(pair)
         rows, pair = rows[turn], pair[turn]
         order[tied] = rows
         new = np.concatenate([[True], np.diff(pair) != 0])
-        rank[rows] = tied[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        at, ranks = tied, tied[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        rank[rows] = ranks
         depth *= 2
 
 
@@ -203,7 +205,9 @@ def mark(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
             break
         link = further
     earliest = np.full(len(text), len(text))
-    np.minimum.at(earliest, link[whole], np.flatnonzero(whole))
+    # from the last place to the first, which stays
+    places = np.flatnonzero(whole)[::-1]
+    earliest[link[places]] = places
     later = whole & (earliest[link] < np.arange(len(text)))
     bounds = np.concatenate([[0], ends])
     return [np.flatnonzero(later[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]

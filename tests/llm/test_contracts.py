@@ -66,6 +66,16 @@ def test_run_index_marks_no_place_that_two_tasks_have_sent():
     assert {(r["rank"], r["twin"]) for r in found} == {(3, 9)}
 
 
+def test_suffix_order_sorts_ties_alone(monkeypatch):
+    """Short suffixes among equal keys stand right, without a sort of all keys by two columns."""
+    monkeypatch.setattr(run_index.np, "lexsort", None)
+    rng = np.random.default_rng(11)
+    for k in range(300):
+        text = rng.choice([0, 1, 97], rng.integers(1, 60)).astype(np.uint8) if k % 2 else np.zeros(1 + k % 40, np.uint8)
+        raw = text.tobytes()
+        assert run_index.suffix_order(text).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+
+
 def test_run_index_keeps_groups_that_cross_batches():
     piece, other = (b"".join(b"%d " % (k * m) for k in range(200))[:150] for m in (1, 7))
     rows = [(1, 2, 0, 0, other), (3, 2, 0, 0, other), (5, 2, 0, 0, piece), (5, 3, 0, 0, piece), (8, 4, 0, 0, None), (9, 5, 0, 0, other)]
