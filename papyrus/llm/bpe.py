@@ -197,6 +197,14 @@ class Vocabulary(Pieces):
             ids = np.delete(ids, at + 1)
 
 
+class Numbers(dict):
+    """Numbers things in the order in which they are first looked up."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
 class Encoder:
     """Encodes texts, remembering the ids of chunks seen before.
 
@@ -208,7 +216,7 @@ class Encoder:
     def __init__(self, vocab, memory: int = MEMORY):
         self.vocab, self.memory = vocab, memory
         self.letters = 0
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.flat = np.zeros(0, dtype=np.int32)
         self.count = np.zeros(0, dtype=np.int64)
         self.at = np.zeros(0, dtype=np.int64)
@@ -222,7 +230,7 @@ class Encoder:
         size = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
         kept = np.sort(kept[(self.used[kept] > 1) & (np.cumsum(size[kept]) <= LETTERS // 2)])
         self.letters = int(size[kept].sum())
-        self.known = {chunks[i]: k for k, i in enumerate(kept.tolist())}
+        self.known = Numbers((chunks[i], k) for k, i in enumerate(kept.tolist()))
         self.flat = self._gather(kept)
         self.count = self.count[kept]
         self.at = np.cumsum(self.count) - self.count
@@ -268,26 +276,28 @@ class Encoder:
                 block += part
         yield counts, block
 
-    def _learn(self, new: list[str]) -> None:
+    def _ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, joined, and how many each has."""
         ids = self.vocab.encode_chunks([c[1:] if c[:1] == BARE else " " + c for c in new])
         count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        new_flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(count.sum()))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(count.sum())), count
+
+    def _learn(self, new: list[str]) -> None:
+        new_flat, count = self._ids(new)
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.used = np.concatenate([self.used, np.zeros(len(new), dtype=np.int64)])
         self.flat = np.concatenate([self.flat, new_flat])
         self.letters += sum(map(len, new))
-        base = len(self.known)
-        self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts: list[list[np.ndarray]] = [[] for _ in texts]
         for counts, chunks in self._blocks(texts):
             if len(self.known) > self.memory or self.letters > LETTERS:
                 self._forget()
-            if new := list(set(chunks).difference(self.known)):
-                self._learn(new)
             which = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+            if len(self.known) > len(self.count):
+                self._learn(list(islice(reversed(self.known), len(self.known) - len(self.count)))[::-1])
             self.used += np.bincount(which, minlength=len(self.used))
             ids = self._gather(which)
             cuts = np.concatenate([[0], np.cumsum(self.count[which])])[np.concatenate([[0], np.cumsum(counts)])].tolist()

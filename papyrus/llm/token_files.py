@@ -21,6 +21,8 @@ writes no shard; other columns are not read.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import compress as compress_list
+from operator import ne, not_
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ ROUND_RULES = 1 << 13
 LEAST_GAIN = 0.03
 #: Chunks that go through one call of the library.
 CALL = 1 << 10
+#: How a byte-level vocabulary spells a space.
+SPACE = "\u0120"
 _SLOTS = 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,9 +60,11 @@ def _frequent(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarr
     key = (left.astype(np.int64) << 32) | right
     slot = ((key.view(np.uint64) * _MUL) >> np.uint64(64 - _SLOTS)).astype(np.int64)
     busy = np.flatnonzero(np.bincount(slot, minlength=1 << _SLOTS)[slot] >= FREQUENT)
-    pairs, which, count = np.unique(key[busy], return_inverse=True, return_counts=True)
-    best = np.argsort(-count, kind="stable")[:ROUND_RULES]
-    best = best[count[best] >= FREQUENT]
+    coded = pa.array(key[busy]).dictionary_encode()
+    pairs, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    count = np.bincount(which, minlength=len(pairs))
+    best = np.flatnonzero(count >= FREQUENT)
+    best = best[np.lexsort((pairs[best], -count[best]))][:ROUND_RULES]
     rank_of = np.full(len(pairs) + 1, len(best))
     rank_of[best] = np.arange(len(best))
     rank = np.full(len(key), len(best))
@@ -158,6 +164,9 @@ class Library:
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in added.values()]
         self.stop = next(((t.content, i) for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word)), None)
+        vocab = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocab.values(), default=-1) + 1, dtype=bool)
+        self.spaced[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -178,10 +187,44 @@ class Library:
         return out
 
 
+    def encode_spaced(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """``(ids, ids per chunk)`` of chunks that begin with their only space
+        and have no white space after it or at their end: as one text, where
+        each space begins a piece and so a token, and no other token begins
+        with one.  None where the tokenizer marks spaces in another way."""
+        flat, counts = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for k in range(0, len(chunks), CALL):
+            part = chunks[k:k + CALL]
+            ids = self.whole(["".join(part)])[0]
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(part) or starts[0]:
+                return None
+            flat.append(ids)
+            counts.append(np.diff(starts, append=len(ids)))
+        return np.concatenate(flat), np.concatenate(counts)
+
+
 class LibraryEncoder(Encoder):
     """Ids as the library gives them for the whole text: a text that spells
     out a special token goes to the library uncut."""
 
+    def _ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Most chunks go to the library side by side; those with white space
+        at an end, where two could run into one piece, are kept apart."""
+        apart = np.fromiter(map(ne, new, map(str.strip, new)), dtype=bool, count=len(new))
+        apart |= np.fromiter(map(not_, new), dtype=bool, count=len(new))
+        found = self.vocab.encode_spaced([" " + c for c in compress_list(new, ~apart)])
+        if found is None:
+            return super()._ids(new)
+        rest, rest_count = super()._ids(list(compress_list(new, apart)))
+        # the two results, laid in the order of ``new``
+        count = np.empty(len(new), dtype=np.int64)
+        count[~apart], count[apart] = found[1], rest_count
+        flat = np.empty(int(count.sum()), dtype=np.int32)
+        mine = np.repeat(apart, count)
+        flat[~mine], flat[mine] = found[0], rest
+        return flat, count
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = ["" if any(s in t for s in self.vocab.special) else t for t in texts]
         ids = super().encode(plain)

@@ -321,6 +321,22 @@ def test_token_files(spark, docs, nothing):
     assert token_files.read_tokens(spark, empty).collect() == []
 
 
+def test_new_chunks_go_to_the_library_side_by_side():
+    """Marks stand only beside chunks with white space at an end."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(vocabulary)
+    encoder = token_files.LibraryEncoder(token_files.Library(vocabulary, public_tokenizers.PATTERN))
+    marked, inner = [], encoder.vocab.encode_chunks
+    encoder.vocab.encode_chunks = lambda chunks: marked.extend(chunks) or inner(chunks)
+    texts = ["Start the line\nhere, it's \u00e9t\u00e9 'so' 12.5\n and \t on", "", " ", "the 'so' end\xa0", "\u0120a \u0120 b"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in encoder.encode(texts)] == want
+    assert "Start" in marked and " the" not in marked and " it's" not in marked
+    encoder.vocab.spaced[:] = False  # a tokenizer that spells spaces in another way
+    assert [i.tolist() for i in encoder.encode(["other words " + t for t in texts])] == [
+        library.encode("other words " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_ids_over_runs_of_white_space():
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(vocabulary)
