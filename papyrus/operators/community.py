@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from papyrus.operators import rank
 from papyrus.operators.rank import CHECKPOINT_EVERY
-from papyrus.operators.graph import Graph, SlicedEdges, internal_edges, undirected
+from papyrus.operators.graph import Graph, Numbered, SlicedEdges, undirected
 from papyrus.session import cut_lineage, release
 
 
 def _symmetric_weights(graph: Graph) -> SlicedEdges:
-    """``(src, dst, m)``: symmetric internal edges with multiplicity, hubs in
-    slices, written once and read by every step."""
-    sym = undirected(internal_edges(graph).select("src", "dst"))
+    """``(src, dst, m)``: symmetric edges of a numbered graph with multiplicity,
+    hubs in slices, written once and read by every step."""
+    sym = undirected(graph.edges.select("src", "dst"))
     return SlicedEdges.of(sym.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")))
 
 
@@ -34,13 +34,14 @@ def label_propagation(graph: Graph, max_iter: int = 30, checkpoint_every: int =
     neighbourhood is reduced map-side and never gathered in one task.
     Vertices without edges never change and are added back at the end.
     """
-    sym = _symmetric_weights(graph)
-    ids = graph.vertices.select("id").distinct()
+    numbered = Numbered.of(graph)
+    sym = _symmetric_weights(numbered.graph)
+    ids = numbered.names.select("id", F.col("n").alias("v"))
     linked = cut_lineage(sym.table.select(F.col("src").alias("id")).distinct())
     labels = linked.select("id", F.col("id").alias("label"))
     written = None
     for i in range(1, max_iter + 1):
-        counts = (sym.meet(labels, "id")
+        counts = (sym.meet(labels.hint("shuffle_hash"), "id")
                   .groupBy(F.col("dst").alias("v"), F.col("label"))
                   .agg(F.sum("m").alias("n")))
         labels = (counts.groupBy("v")
@@ -51,8 +52,10 @@ def label_propagation(graph: Graph, max_iter: int = 30, checkpoint_every: int =
             if written is not None:
                 release(written)
             written = labels
-    alone = ids.join(linked, "id", "left_anti").select("id", F.col("id").alias("label"))
-    return labels.unionByName(alone)
+    named = numbered.name(numbered.name(labels, "label"), "id")
+    alone = (ids.join(linked.select(F.col("id").alias("v")), "v", "left_anti")
+             .select("id", F.col("id").alias("label")))
+    return named.unionByName(alone)
 
 
 def _source_frame(graph: Graph, source) -> tuple[DataFrame, bool]:

@@ -69,3 +69,37 @@ def test_max_out_degree_vertex_ties_to_smallest(spark):
     g = G.citation_graph(papers(spark))
     assert G.max_out_degree_vertex(g).first()[0] == "a"
     assert G.out_degree(G.internal_edges(g)).filter(F.col("id") == "b").first()[1] == 2
+
+
+def test_numbers_rise_with_ids(spark):
+    """Numbers keep the order of ids, edges to no vertex go, null stays a vertex."""
+    ids = [f"p{k}" for k in range(50)] + ["p3", None]
+    v = spark.createDataFrame([(i,) for i in ids], "id string").repartition(5)
+    e = spark.createDataFrame([("p1", "p2"), ("p1", "p2"), ("p2", "x"), ("x", "p1"), (None, "p1"), ("p7", "p7")], "src string, dst string")
+    numbered = G.Numbered.of(G.Graph(v, e))
+    names = {r["id"]: r["n"] for r in numbered.names.collect()}
+    assert len(names) == 51 and None in names
+    known = sorted(i for i in names if i is not None)
+    assert [names[i] for i in known] == sorted(names[i] for i in known)
+    got = sorted((r["src"], r["dst"]) for r in numbered.graph.edges.collect())
+    assert got == sorted((names[a], names[b]) for a, b in [("p1", "p2"), ("p1", "p2"), ("p7", "p7")])
+    back = numbered.name(numbered.number(e, "src"), "src")
+    assert sorted(r["src"] for r in back.collect()) == ["p1", "p1", "p2", "p7"]
+
+
+def test_steps_run_on_numbers(spark, monkeypatch):
+    """Ranks and labels shuffle numbers, not names."""
+    from papyrus.operators import community, rank
+
+    kinds = []
+    of = G.SlicedEdges.of.__func__
+    monkeypatch.setattr(G.SlicedEdges, "of", classmethod(lambda cls, edges, *a, **k: kinds.append(edges.schema["src"].dataType.typeName()) or of(cls, edges, *a, **k)))
+    v = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c")], "src string, dst string")
+    g = G.Graph(v, e)
+    rank.pagerank(g, max_iter=1)
+    rank.pagerank(g, max_iter=None, tol=0.5)
+    rank.topic_pagerank(g, "a", max_iter=1)
+    rank.top_related(g, 2, max_iter=1)
+    community.label_propagation(g, 1)
+    assert kinds == ["long"] * 5
