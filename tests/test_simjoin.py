@@ -97,3 +97,27 @@ def test_buckets_travel_without_the_other_keys(spark, rows):
     got = [(r["query"], r["id"]) for r in met.collect()]
     want = brute(rows, rows[:40], 0.8)
     assert all(got.count(p) <= want.count(p) for p in set(got)) and len(got) >= 0.9 * len(want)
+
+
+def test_exact_join_judges_blocks(spark, rows, monkeypatch):
+    """Slices of cells meet chunks of queries by matrix products, no row by row join; sums are those of SQL."""
+    monkeypatch.setattr(S, "CHUNK", 15)
+    some = [r for r in rows if r[0] % 4 == 0]
+    docs, queries = frame(spark, rows), frame(spark, some)
+    found = S.similarity_join_exact(docs, queries, 0.8, pivots=4, cell=40)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    assert [r[:2] for r in got] == brute(rows, some, 0.8)
+    vectors = {r[0]: r[1] for r in rows}
+    for q, i, d in got[:200]:
+        square = 0.0
+        for x, y in zip(vectors[i], vectors[q]):
+            square += (x - y) * (x - y)
+        assert d == square ** 0.5
+
+
+def test_exact_join_at_the_border(spark):
+    """Far from the origin, products of matrices are too rough to decide."""
+    rows = [(k, [1e6 + 0.25 * k, 1e6]) for k in range(40)]
+    got = S.similarity_join_exact(frame(spark, rows), frame(spark, rows), 0.5, pivots=3, cell=7)
+    assert sorted((r["query"], r["id"]) for r in got.collect()) == brute(rows, rows, 0.5)
