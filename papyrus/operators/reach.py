@@ -17,6 +17,8 @@ from papyrus.session import cut_lineage, release
 #: Logarithm of the registers of a sketch: about 3 % standard error and, for
 #: a large set, 1 KB.  Small sets are kept as lists and counted exactly.
 LG_REGISTERS = 10
+#: Steps between written states (bounds the plan and what a lost task repeats).
+CHECKPOINT_EVERY = 5
 #: Sources whose reaches a task adds up.
 BUCKET_SOURCES = 100_000
 
@@ -39,13 +41,16 @@ def reach(graph: Graph, max_iter: int, lg_registers: int = LG_REGISTERS) -> Data
     pointing = internal_edges(Graph(ids, graph.edges)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     edges = SlicedEdges.of(pointing.distinct())
     own = cut_lineage(ids.groupBy("id").agg(F.hll_sketch_agg("id", lg_registers).alias("sketch")))
-    state = own
-    for _ in range(max_iter):
+    state, written = own, None
+    for i in range(1, max_iter + 1):
         met = edges.meet(state, "id").select(F.col("dst").alias("id"), "sketch")
-        merged = cut_lineage(met.unionByName(own).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch")))
-        if state is not own:
-            release(state)
-        state = merged
+        state = met.unionByName(own).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch"))
+        # each state is read once, so few are written; between, sketches lie where the next step reads them
+        if i % CHECKPOINT_EVERY == 0 or i == max_iter:
+            state = cut_lineage(state)
+            if written is not None:
+                release(written)
+            written = state
     return state.select("id", F.hll_sketch_estimate("sketch").alias("reach"))
 
 

@@ -101,3 +101,17 @@ def test_all_papers_in_blocks_by_reach(spark, tmp_path):
         rank.all_topic_pagerank(g, max_state=60)
     with pytest.raises(ValueError):
         rank.all_topic_pagerank(g, max_state=60, source_blocks=2, output_path=str(tmp_path / "x"))
+
+
+def test_few_states_are_written(spark, monkeypatch):
+    """Sketches are written every few steps, not after each."""
+    from papyrus.operators import reach as R
+
+    written = []
+    cut = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    e = spark.createDataFrame([(f"v{k:02d}", f"v{k + 1:02d}") for k in range(12)], "src string, dst string")
+    v = spark.createDataFrame([(f"v{k:02d}",) for k in range(13)], "id string")
+    got = {r["id"]: round(r["reach"]) for r in R.reach(Graph(v, e), 10).collect()}
+    assert got == {f"v{k:02d}": min(11, 13 - k) for k in range(13)}
+    assert written.count(["id", "sketch"]) == 1 + 10 // R.CHECKPOINT_EVERY
