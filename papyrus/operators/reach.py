@@ -17,8 +17,10 @@ from papyrus.session import cut_lineage, release
 #: Logarithm of the registers of a sketch: about 3 % standard error and, for
 #: a large set, 1 KB.  Small sets are kept as lists and counted exactly.
 LG_REGISTERS = 10
-#: Steps between written states (bounds the plan and what a lost task repeats).
-CHECKPOINT_EVERY = 5
+#: Steps between written states.  A step's shuffles hold a sketch an edge, a state
+#: one a vertex, and the shuffles go when a state is written: disk holds those of
+#: so many steps.
+CHECKPOINT_EVERY = 1
 #: Sources whose reaches a task adds up.
 BUCKET_SOURCES = 100_000
 
@@ -45,7 +47,6 @@ def reach(graph: Graph, max_iter: int, lg_registers: int = LG_REGISTERS) -> Data
     for i in range(1, max_iter + 1):
         met = edges.meet(state, "id").select(F.col("dst").alias("id"), "sketch")
         state = met.unionByName(own).groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch"))
-        # each state is read once, so few are written; between, sketches lie where the next step reads them
         if i % CHECKPOINT_EVERY == 0 or i == max_iter:
             state = cut_lineage(state)
             if written is not None:

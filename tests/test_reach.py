@@ -115,3 +115,14 @@ def test_few_states_are_written(spark, monkeypatch):
     got = {r["id"]: round(r["reach"]) for r in R.reach(Graph(v, e), 10).collect()}
     assert got == {f"v{k:02d}": min(11, 13 - k) for k in range(13)}
     assert written.count(["id", "sketch"]) == 1 + 10 // R.CHECKPOINT_EVERY
+
+
+def test_disk_holds_the_shuffles_of_one_step(spark, monkeypatch):
+    from papyrus.operators import reach as R
+
+    plans = []
+    cut = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    R.reach(graph(spark), 7).collect()
+    unions = [p.count("hll_union_agg") for p in plans if "hll_union_agg" in p]
+    assert len(unions) == 7 and max(unions) == min(unions)
