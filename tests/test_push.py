@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from papyrus.operators import rank
@@ -77,3 +78,30 @@ def test_edges_are_not_shuffled_in_a_step(spark):
             assert not any("Exchange" in lines[k] for k in above if k > join)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_blocks_of_sources_give_the_same_ranks(spark, monkeypatch):
+    """A state that would send too much is dealt by source on the way; the parts go on to the same ranks."""
+    g = graph(spark)
+    sources = g.vertices.select(F.col("id").alias("source"))
+    weights = rank.prepared_weights(g, with_degree=True)
+
+    def found():
+        push = {(r[0], r[1]): r[2] for r in rank.push_ranks(weights, sources, 1e-3, max_iter=2).collect()}
+        return push, {(r[0], r[1]): r[2] for r in rank.personalized_ranks(weights, sources, max_iter=2).collect()}
+
+    want, most, step = found(), [], SlicedEdges.meet
+    monkeypatch.setattr(rank, "BLOCK_MESSAGES", 60)
+    monkeypatch.setattr(rank, "MESSAGES_PER_EDGE", 0)
+    monkeypatch.setattr(SlicedEdges, "meet", lambda self, state, *a, **k: most.append(state.select("source").distinct().count()) or step(self, state, *a, **k))
+    push, whole = found()
+    assert len(most) > 4 and max(most) < sources.count()
+    assert push == pytest.approx(want[0]) and whole == pytest.approx(want[1])
+
+
+def test_best_ranks_with_ties_by_rounding(spark):
+    """Rows that only rounding makes equal are ordered by id, also around the last place."""
+    rows = [("s", i, v) for i, v in ((5, 0.3), (4, 0.2), (3, 0.2 + 3e-13), (2, 0.2 - 3e-13), (1, 0.1))] + [("t", 1, 0.5)]
+    ranks = spark.createDataFrame(rows, "source string, id long, r double")
+    got = sorted((r["source"], r["rank"], r["id"]) for r in rank._first_by_rank(ranks, 2).collect())
+    assert got == [("s", 1, 5), ("s", 2, 2), ("t", 1, 1)]

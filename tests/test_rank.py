@@ -242,3 +242,16 @@ def test_label_propagation_self_loop_counts_twice(spark):
     e = spark.createDataFrame([("z", "b"), ("z", "c"), ("z", "z")], "src string, dst string")
     labels = {r.id: r.label for r in community.label_propagation(Graph(v, e), 1).collect()}
     assert labels == {"z": "z", "b": "z", "c": "z"}
+
+
+def test_plain_steps_take_the_partitions_of_the_edges(spark, monkeypatch):
+    """Few edges are one bucket, and a step then shuffles its sums to one partition, once."""
+    plans, cut = [], rank.cut_lineage
+    monkeypatch.setattr(rank, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    rank.pagerank(golden(spark), max_iter=12).count()
+    steps = [p for p in plans if "sum(m" in p]
+    assert len(steps) == 2
+    for p in steps:
+        # one exchange a step, and one of the state that was read back
+        assert p.count("Exchange hashpartitioning") <= 6 + 1
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
